@@ -76,18 +76,27 @@ def _join_lookup(df, col, out, vocab, id_col, key, value, default):
     return df.join(found, id_col, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
+def _settled(df: DataFrame, col: str) -> DataFrame:
+    """Fix ``col`` as the output of its own projection.
+
+    Inlined into a Python call, arguments with nested lambdas escape Spark 4.1's
+    extraction of such calls; a non-deterministic guard keeps them apart.
+    """
+    return df.withColumn(col, F.when(F.spark_partition_id() >= 0, F.col(col)))
+
+
 def lookup_ids(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id") -> DataFrame:
     tokens = inline_tokens(vocab)
     if tokens is None:
         return _join_lookup(df, col, out, vocab, id_col, "token", "token_id", UNK)
-    return df.withColumn(out, _to_ids(tokens)(F.col(col)))
+    return _settled(df, col).withColumn(out, _to_ids(tokens)(F.col(col)))
 
 
 def lookup_tokens(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id") -> DataFrame:
     tokens = inline_tokens(vocab)
     if tokens is None:
         return _join_lookup(df, col, out, vocab, id_col, "token_id", "token", None)
-    return df.withColumn(out, _to_tokens(tokens)(F.col(col)))
+    return _settled(df, col).withColumn(out, _to_tokens(tokens)(F.col(col)))
 
 
 def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
