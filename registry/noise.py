@@ -1 +1,214 @@
-"""Placeholder."""
+"""Noise on encoded rows, schedules."""
+
+from pyspark.sql import functions as F
+
+from duolex.functions.rng import row_seed
+from duolex.operators import backtrans as B
+from duolex.operators import noise as N
+from duolex.operators.batches import assemble_batches
+from duolex.operators.encode import encode
+from duolex.operators.frequency import (
+    token_frequency, token_probabilities, top_k_side_by_side, top_k_tokens, zipped_long,
+)
+from duolex.plans.recipes import denoise_data, keyword_ids, masked_language_data
+from duolex.session import materialise
+from registry.base import (
+    LANGS, PAIR, SEED, below_sql, docs, joined_sql, mix_sql, mixu_sql, padded_sql, query, row_seed_sql,
+)
+from registry.corpora import TOP_SQL
+from registry.vocabulary import BASE, LENGTH, PADDED, PROBS_SQL, SIDE_SQL, shown, vocabulary
+
+WORDS = {
+    "en": "the and of to in that with for is as".split(),
+    "fr": "le la les des de et un une que qui".split(),
+}
+OTHER = "CASE lang WHEN 'en' THEN 'fr' ELSE 'en' END"
+
+# encoded rows x with content length l and row seed s
+ROWS = f"""
+rows0 AS (SELECT row_id, lang, {PADDED} AS x, {row_seed_sql(SEED, 'row_id')} AS s FROM enc),
+rows AS (SELECT *, CASE WHEN list_position(x, 2) > 0 THEN list_position(x, 2) - 1 ELSE len(x) END AS l FROM rows0)"""
+
+
+def rows(spark, sf, langs=LANGS):
+    """Padded rows with their seed ``s`` and content length ``l``."""
+    vocab = vocabulary(spark, sf)
+    part = docs(spark, sf).where(F.col("lang").isin(*langs))
+    out = encode(part, vocab, max_length=LENGTH, padding="max").select("row_id", "lang", "input_ids")
+    out = out.withColumn("s", row_seed(SEED, "row_id")).withColumn("l", N.content_length(F.col("input_ids")))
+    return out, vocab
+
+
+def xls():
+    """The row, its content length and its seed."""
+    return F.col("input_ids"), F.col("l"), F.col("s")
+
+
+@query("content_length", f"WITH {BASE}, {ROWS} SELECT row_id, l FROM rows")
+def content_length(spark, sf):
+    return rows(spark, sf)[0].select("row_id", "l")
+
+
+@query("noise_mask", f"""
+WITH {BASE}, {ROWS},
+h AS (SELECT row_id, x, list_transform(range(0, CAST(floor(l * 0.15) AS BIGINT)), lambda k: {below_sql('s', 'k', 'l - 1', 1)} + 1) AS h FROM rows)
+SELECT row_id, {joined_sql('list_transform(x, lambda v, i: CASE WHEN list_contains(h, i - 1) THEN 4 ELSE v END)')} AS input_ids FROM h""")
+def noise_mask(spark, sf):
+    x, l, s = xls()
+    out = rows(spark, sf)[0].select("row_id", N.noise_mask(x, l, 0.15, s).alias("input_ids"))
+    return shown(out)
+
+
+def _word_list(lang):
+    return ", ".join(f"'{w}'" for w in WORDS[lang])
+
+
+# pieces of the keywords, four characters long at most: a keyword is its own piece
+KEYWORD_SQL = f"""
+kw AS (SELECT 'en' AS lang, list(token_id) AS kw FROM vocab WHERE NOT is_special AND token IN ({_word_list('en')})
+       UNION ALL SELECT 'fr', list(token_id) FROM vocab WHERE NOT is_special AND token IN ({_word_list('fr')}))"""
+
+
+@query("noise_dropout", f"""
+WITH {BASE}, {ROWS}, {KEYWORD_SQL},
+n AS (SELECT *, CAST(floor(l * 0.2) AS BIGINT) AS n FROM rows JOIN kw USING (lang)),
+d AS (SELECT *, list_transform(list_sort(list_transform(range(1, l), lambda i: {{
+  'key': -CASE WHEN list_contains(kw, x[i + 1]) THEN sqrt({mixu_sql('s', 'i', 2)}) ELSE {mixu_sql('s', 'i', 2)} END, 'pos': i}}))[1:n],
+  lambda p: p.pos) AS gone FROM n),
+k AS (SELECT row_id, list_filter(x, lambda v, i: NOT list_contains(gone, i - 1)) AS k FROM d)
+SELECT row_id, {joined_sql(padded_sql('k', LENGTH))} AS input_ids FROM k""")
+def noise_dropout(spark, sf):
+    data, vocab = rows(spark, sf, PAIR)
+    ids = keyword_ids(vocab, WORDS)
+    x, l, s = xls()
+    noisy = F.when(F.col("lang") == "en", N.noise_dropout(x, l, 0.2, s, ids["en"])).otherwise(
+        N.noise_dropout(x, l, 0.2, s, ids["fr"])
+    )
+    return shown(data.select("row_id", noisy.alias("input_ids")))
+
+
+def sampler(data, vocab):
+    """Frequencies of the encoded rows, cut to the top and zipped."""
+    freq = token_frequency(data)
+    side = top_k_side_by_side(top_k_tokens(freq, vocab, 3000), *PAIR)
+    return N.TokenSampler.from_table(token_probabilities(zipped_long(side, *PAIR)))
+
+
+def drawn_sql(n, salt_at, salt_token, stop):
+    """CTEs ``picked(row_id, at, tokens)``: positions and tokens drawn for each row.
+
+    A token is the one whose span of running sums holds the draw; first
+    occurrences are kept.
+    """
+    return f"""
+cdf AS (SELECT lang, token_id, freq, sum(freq) OVER (PARTITION BY lang ORDER BY freq DESC, token_id) - freq AS lo,
+               sum(freq) OVER (PARTITION BY lang) AS total FROM cut),
+tot AS (SELECT lang AS other, max(total) AS total FROM cdf GROUP BY lang),
+need AS (SELECT r.*, {OTHER} AS other, {n} AS n FROM rows r WHERE lang IN ('en', 'fr')),
+dr AS (SELECT row_id, other, n, k, floor({mixu_sql('s', 'k', salt_token)} * total) AS r
+       FROM (SELECT need.*, total, unnest(range(0, 4 * n + 16)) AS k FROM need JOIN tot USING (other))),
+tk AS (SELECT row_id, n, k, token_id FROM dr ASOF JOIN cdf ON dr.other = cdf.lang AND dr.r >= cdf.lo),
+fi AS (SELECT row_id, n, token_id, min(k) AS k FROM tk GROUP BY ALL),
+ti AS (SELECT row_id, list(token_id ORDER BY k) AS tokens FROM (
+         SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k) AS q FROM fi) WHERE q <= n GROUP BY row_id),
+picked AS (SELECT need.*, coalesce(tokens, []) AS tokens,
+                  list_transform(list_sort(list_transform(range(1, {stop}), lambda i: ({mix_sql('s', 'i', salt_at)} << 20) + i))[1:n],
+                                 lambda v: v & 1048575) AS at
+           FROM need LEFT JOIN ti USING (row_id))"""
+
+
+@query("noise_replace", f"""
+WITH {TOP_SQL}, {SIDE_SQL}, {PROBS_SQL}, {ROWS}, {drawn_sql('CAST(floor(l * 0.1) AS BIGINT)', 4, 5, 'l')}
+SELECT row_id, {joined_sql('list_transform(x, lambda v, i: coalesce(tokens[list_position("at", i - 1)], v))')} AS input_ids FROM picked""")
+def noise_replace(spark, sf):
+    data, vocab = rows(spark, sf, PAIR)
+    data = materialise(data, "encoded")
+    other = F.when(F.col("lang") == "en", F.lit("fr")).otherwise(F.lit("en"))
+    x, l, s = xls()
+    noisy = N.noise_replace(x, l, 0.1, s, sampler(unpadded(data), vocab), other)
+    return shown(data.select("row_id", noisy.alias("input_ids")))
+
+
+def unpadded(data):
+    return data.withColumn("input_ids", F.filter("input_ids", lambda v: v != 1))
+
+
+@query("noise_insert", f"""
+WITH {TOP_SQL}, {SIDE_SQL}, {PROBS_SQL}, {ROWS}, {drawn_sql('CAST(floor(l * 0.1) AS BIGINT)', 7, 8, 'l - 1')},
+i AS (SELECT row_id, flatten(list_transform(x, lambda v, i: CASE WHEN tokens[list_position("at", i - 1)] IS NULL THEN [v]
+        ELSE [tokens[list_position("at", i - 1)], v] END)) AS y FROM picked),
+m AS (SELECT *, coalesce(nullif(list_position(y, 2), 0), len(y) + 1) AS m FROM i)
+SELECT row_id, {joined_sql(f"CASE WHEN m >= {LENGTH} THEN list_concat(y[1:{LENGTH - 1}], [2]) ELSE {padded_sql('y[1:m]', LENGTH)} END")} AS input_ids FROM m""")
+def noise_insert(spark, sf):
+    data, vocab = rows(spark, sf, PAIR)
+    data = materialise(data, "encoded")
+    other = F.when(F.col("lang") == "en", F.lit("fr")).otherwise(F.lit("en"))
+    x, l, s = xls()
+    noisy = N.noise_insert(x, l, 0.1, s, sampler(unpadded(data), vocab), other)
+    return shown(data.select("row_id", noisy.alias("input_ids")))
+
+
+@query("noise_shuffle", f"""
+WITH {BASE}, {ROWS},
+p AS (SELECT *, {below_sql('s', '0', 'l - 1', 10)} + 1 AS p, {below_sql('s', '1', 'l - 2', 10)} + 1 AS q0 FROM rows),
+q AS (SELECT *, CASE WHEN q0 >= p THEN q0 + 1 ELSE q0 END AS q FROM p),
+ab AS (SELECT *, least(p, q) AS a, greatest(p, q) AS b FROM q),
+o AS (SELECT *, list_transform(list_sort(list_transform(range(0, b - a), lambda k: {{
+        'key': {mix_sql('s', 'k', 11)}, 'k': k, 'v': x[a + k + 1]}})), lambda z: z.v) AS mid FROM ab)
+SELECT row_id, {joined_sql('CASE WHEN l < 10 OR b - a < 2 THEN x ELSE list_concat(list_concat(x[1:a], mid), x[b + 1:]) END')} AS input_ids FROM o""")
+def noise_shuffle(spark, sf):
+    x, l, s = xls()
+    out = rows(spark, sf)[0].select("row_id", N.noise_shuffle(x, l, 1, s).alias("input_ids"))
+    return shown(out)
+
+
+@query("denoise_examples")
+def denoise_examples(spark, sf):
+    data, vocab = rows(spark, sf, PAIR)
+    data = materialise(data.drop("s", "l"), "encoded")
+    out = N.denoise_examples(
+        data, N.Ratios(0.15, 0.2, 0.05, 0.15, 1), sampler(unpadded(data), vocab), keyword_ids(vocab, WORDS),
+        PAIR, ["row_id"], SEED,
+    )
+    return shown(out, "row_id", "lang", "input_ids", "attention_mask", "labels")
+
+
+def steps(spark, sf):
+    """One row per batch of the documents, counted from 1."""
+    batches = assemble_batches(docs(spark, sf).select("row_id"), 4).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return batches.select((F.col("batch_id") + 1).alias("step"), "n_rows")
+
+
+STEPS = """
+b AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS b FROM documents),
+st AS (SELECT b + 1 AS step, count(*) AS n_rows FROM b GROUP BY b)"""
+
+
+@query("noise_schedule", f"""
+WITH {STEPS},
+u AS (SELECT *, least(step // 10, (SELECT min(n) FROM range(200) t(n) WHERE 0.15 + n * 0.05 >= 0.58)) AS updates FROM st)
+SELECT step, n_rows, updates, round(0.05 + updates * 0.02, 6) AS mask_ratio, round(0.05 + updates * 0.01, 6) AS dropout_ratio,
+       0.0::DOUBLE AS replace_ratio, round(0.05 + updates * 0.02, 6) AS insert_ratio FROM u""")
+def noise_schedule(spark, sf):
+    out = B.noise_schedule(steps(spark, sf), 10, 0.05, 0.05, 0.0, 0.05, 0.02, 0.01, 0.58)
+    ratios = [c for c in out.columns if c.endswith("_ratio")]
+    return out.withColumns({c: F.round(c, 6) for c in ratios})
+
+
+@query("objective_schedule", f"""
+WITH {STEPS}
+SELECT step, n_rows, CASE WHEN step < 6 OR step % 2 = 0 THEN 'denoise' ELSE 'back_translate' END AS objective FROM st""")
+def objective_schedule(spark, sf):
+    return B.objective_schedule(steps(spark, sf), 6)
+
+
+@query("recipe_masked_language")
+def recipe_masked_language(spark, sf):
+    out = masked_language_data(docs(spark, sf), LANGS, 4000, 128, seed=SEED)
+    return shown(out, "pack_group", "chunk", "input_ids", "labels")
+
+
+@query("recipe_denoise")
+def recipe_denoise(spark, sf):
+    out = denoise_data(docs(spark, sf), PAIR, WORDS, 4000, 256, 8, seed=SEED)
+    return shown(out, "row_id", "lang", "batch_id", "slot", "objective", "input_ids", "labels")
