@@ -35,6 +35,17 @@ def mix(s: Column, pos: Column, salt: int = 0) -> Column:
     return (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MUL2)).bitwiseAND(F.lit(MASK31))
 
 
+def mix_each(s: Column, positions: Column, salt: int = 0) -> Column:
+    """``mix`` for every element of an array of positions; each round is its own
+    pass, so no intermediate value is computed twice."""
+    h = F.transform(
+        positions,
+        lambda i: (s + (i.cast("bigint") + F.lit(salt * 1048576)) * F.lit(STEP)).bitwiseAND(F.lit(MASK31)),
+    )
+    h = F.transform(h, lambda v: (v.bitwiseXOR(F.shiftright(v, 16)) * F.lit(MUL1)).bitwiseAND(F.lit(MASK31)))
+    return F.transform(h, lambda v: (v.bitwiseXOR(F.shiftright(v, 15)) * F.lit(MUL2)).bitwiseAND(F.lit(MASK31)))
+
+
 def mix_uniform(s: Column, pos: Column, salt: int = 0) -> Column:
     """DOUBLE in [0, 1)."""
     return mix(s, pos, salt) / F.lit(2147483648.0)

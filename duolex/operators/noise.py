@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions import arrays as A
-from duolex.functions.rng import mix, mix_below, mix_uniform, row_seed
+from duolex.functions.rng import mix_below, mix_each, row_seed
 from duolex.operators.encode import mask_pad
 from duolex.schemas import EOS, MASK, PAD
 
@@ -43,10 +43,10 @@ def _share(l: Column, ratio) -> Column:
 def _pick(s: Column, start: int, stop: Column, n: Column, salt: int) -> Column:
     """``n`` distinct positions of [start, stop), in random order."""
     keyed = F.transform(
-        A.positions(stop, start), lambda i: F.shiftleft(mix(s, i, salt), POS_BITS) + i
+        mix_each(s, A.positions(stop, start), salt), lambda h, i: F.shiftleft(h, POS_BITS) + i + start
     )
     return F.transform(
-        A.take(F.array_sort(keyed), n), lambda v: v.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int")
+        A.take(F.sort_array(keyed), n), lambda v: v.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int")
     )
 
 
@@ -54,7 +54,9 @@ def noise_mask(x: Column, l: Column, ratio, s: Column) -> Column:
     """``int(l * ratio)`` draws with replacement become the mask id."""
 
     def body(n):
-        hits = F.transform(A.positions(n), lambda k: mix_below(s, k, l - 1, 1).cast("int") + 1)
+        hits = F.transform(
+            mix_each(s, A.positions(n), 1), lambda h: F.shiftright(h * (l - 1), 31).cast("int") + 1
+        )
         return A.let(hits, lambda h: F.transform(x, lambda v, i: F.when(F.array_contains(h, i), F.lit(MASK)).otherwise(v)))
 
     return A.let(_share(l, ratio), lambda n: F.when((n < 1) | (l < 2), x).otherwise(body(n)))
@@ -66,25 +68,27 @@ def noise_dropout(x: Column, l: Column, ratio, s: Column, keyword_ids) -> Column
 
     Taking the n largest u**(1/weight) has the law of n successive weighted draws.
     """
-    heavy = (lambda v: v.isin(*keyword_ids)) if keyword_ids else (lambda v: F.lit(False))
 
-    def body(n):
-        keyed = F.transform(
-            A.positions(l, 1),
-            lambda i: A.let(
-                mix_uniform(s, i, 2),
-                lambda u: F.struct((-F.when(heavy(F.get(x, i)), F.sqrt(u)).otherwise(u)).alias("key"), i.alias("pos")),
-            ),
-        )
-        drop = F.transform(A.take(F.array_sort(keyed), n), lambda p: p["pos"])
+    def key(h, i):
+        if keyword_ids:
+            root = F.floor(F.sqrt(h / F.lit(2147483648.0)) * F.lit(2147483648.0))
+            h = F.when(F.get(x, i + 1).isin(*keyword_ids), root).otherwise(h)
+        return F.shiftleft(h, POS_BITS) + i
 
-        def without(d):
-            kept = F.filter(x, lambda v, i: ~F.array_contains(d, i))
-            return A.let(kept, lambda k: A.pad_to(k, F.size(x), PAD))
+    def body(n):
+        def without(k):
+            least = F.get(F.sort_array(k, asc=False), F.least(n, F.size(k)) - 1)
+            return A.let(
+                least,
+                lambda t: A.let(
+                    F.filter(x, lambda v, i: F.coalesce(F.get(k, i - 1) < t, F.lit(True))),
+                    lambda kept: A.pad_to(kept, F.size(x), PAD),
+                ),
+            )
 
-        return A.let(drop, without)
+        return A.let(F.transform(mix_each(s, A.positions(l, 1), 2), key), without)
 
-    return A.let(_share(l, ratio), lambda n: F.when(n < 1, x).otherwise(body(n)))
+    return A.let(_share(l, ratio), lambda n: F.when((n < 1) | (l < 2), x).otherwise(body(n)))
 
 
 class TokenSampler:
@@ -119,7 +123,8 @@ class TokenSampler:
 
     @staticmethod
     def _longs(values):
-        return F.lit(list(values)).cast("array<bigint>")
+        # one literal, folded into an array by the optimizer
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
     def draw(self, lang: Column, n: Column, s: Column, salt: int) -> Column:
         """``n`` distinct ids (all of them when there are fewer)."""
@@ -130,19 +135,20 @@ class TokenSampler:
 
     def _draw_one(self, table, n, s, salt):
         ids, freqs, upto, total = table
-        cdf, token_ids = self._longs(upto), self._longs(ids)
-        steps = F.lit([1 << b for b in reversed(range(max(len(ids), 1).bit_length()))]).cast("array<int>")
-
-        def one(k):
-            r = F.floor(mix_uniform(s, k, salt) * F.lit(float(total)))
-            # number of running sums that are <= r
+        token_ids = self._longs(ids)
+        bits = max(len(ids), 1).bit_length()
+        # running sums, filled up to a power of two for the binary search
+        cdf = self._longs(upto + [1 << 62] * ((1 << bits) - len(upto)))
+        steps = F.lit([1 << b for b in reversed(range(bits))]).cast("array<int>")
+
+        def token(h):
+            # number of running sums that are <= the draw
+            r = F.floor(h / F.lit(2147483648.0) * F.lit(float(total)))
             at = A.let(
                 r,
                 lambda v: F.aggregate(
                     steps, F.lit(0),
-                    lambda lo, d: F.when(
-                        (lo + d <= len(ids)) & (F.coalesce(F.get(cdf, lo + d - 1), F.lit(total)) <= v), lo + d
-                    ).otherwise(lo),
+                    lambda lo, d: F.when(F.get(cdf, lo + d - 1) <= v, lo + d).otherwise(lo),
                 ),
             )
             return F.get(token_ids, at).cast("int")
@@ -150,19 +156,19 @@ class TokenSampler:
         # Drawing again what was drawn before, and keeping first occurrences, is
         # drawing without replacement.  Where the spare draws do not yield enough
         # distinct tokens, the exact weighted order of the whole list is used.
-        drawn = F.array_distinct(F.transform(A.positions(4 * n + 16), one))
+        drawn = F.array_distinct(F.transform(mix_each(s, A.positions(2 * n + 32), salt), token))
 
-        def whole(_):
+        def whole():
             keyed = F.transform(
-                A.positions(F.lit(len(ids))),
-                lambda i: F.struct(
-                    (-F.ln(F.greatest(mix_uniform(s, i, salt + 1), F.lit(1e-12))) / F.get(self._longs(freqs), i)).alias("key"),
+                mix_each(s, A.positions(F.lit(len(ids))), salt + 1),
+                lambda h, i: F.struct(
+                    (-F.ln((h + F.lit(1)) / F.lit(2147483649.0)) / F.get(self._longs(freqs), i)).alias("key"),
                     i.alias("pos"),
                 ),
             )
-            return F.transform(A.take(F.array_sort(keyed), n), lambda p: F.get(token_ids, p["pos"]).cast("int"))
+            return F.transform(A.take(F.sort_array(keyed), n), lambda p: F.get(token_ids, p["pos"]).cast("int"))
 
-        return A.let(drawn, lambda d: F.when(F.size(d) >= n, A.take(d, n)).otherwise(whole(d)))
+        return A.let(drawn, lambda d: F.when(F.size(d) >= n, A.take(d, n)).otherwise(whole()))
 
 
 def noise_replace(x: Column, l: Column, ratio, s: Column, sampler: TokenSampler, other: Column) -> Column:
@@ -216,11 +222,12 @@ def noise_shuffle(x: Column, l: Column, flag, s: Column) -> Column:
 
     def body(ab):
         a, b = F.array_min(ab), F.array_max(ab)
-        inner = F.transform(
-            A.positions(b - a),
-            lambda k: F.struct(mix(s, k, 11).alias("key"), k.alias("k"), F.get(x, a + k).alias("v")),
+        order = F.transform(
+            mix_each(s, A.positions(b - a), 11), lambda h, k: F.shiftleft(h, POS_BITS) + k
+        )
+        shuffled = F.transform(
+            F.sort_array(order), lambda v: F.get(x, a + v.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int"))
         )
-        shuffled = F.transform(F.array_sort(inner), lambda p: p["v"])
         return F.when(b - a < 2, x).otherwise(F.concat(A.take(x, a), shuffled, A.drop_first(x, b)))
 
     # two distinct positions: the second is drawn from the l-2 others

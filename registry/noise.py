@@ -72,9 +72,9 @@ kw AS (SELECT 'en' AS lang, list(token_id) AS kw FROM vocab WHERE NOT is_special
 @query("noise_dropout", f"""
 WITH {BASE}, {ROWS}, {KEYWORD_SQL},
 n AS (SELECT *, CAST(floor(l * 0.2) AS BIGINT) AS n FROM rows JOIN kw USING (lang)),
-d AS (SELECT *, list_transform(list_sort(list_transform(range(1, l), lambda i: {{
-  'key': -CASE WHEN list_contains(kw, x[i + 1]) THEN sqrt({mixu_sql('s', 'i', 2)}) ELSE {mixu_sql('s', 'i', 2)} END, 'pos': i}}))[1:n],
-  lambda p: p.pos) AS gone FROM n),
+d AS (SELECT *, list_transform(list_reverse_sort(list_transform(range(1, l), lambda i:
+  ((CASE WHEN list_contains(kw, x[i + 1]) THEN CAST(floor(sqrt({mixu_sql('s', 'i', 2)}) * 2147483648.0::DOUBLE) AS BIGINT)
+         ELSE {mix_sql('s', 'i', 2)} END) << 20) + i))[1:n], lambda p: p & 1048575) AS gone FROM n),
 k AS (SELECT row_id, list_filter(x, lambda v, i: NOT list_contains(gone, i - 1)) AS k FROM d)
 SELECT row_id, {joined_sql(padded_sql('k', LENGTH))} AS input_ids FROM k""")
 def noise_dropout(spark, sf):
@@ -106,7 +106,7 @@ cdf AS (SELECT lang, token_id, freq, sum(freq) OVER (PARTITION BY lang ORDER BY
 tot AS (SELECT lang AS other, max(total) AS total FROM cdf GROUP BY lang),
 need AS (SELECT r.*, {OTHER} AS other, {n} AS n FROM rows r WHERE lang IN ('en', 'fr')),
 dr AS (SELECT row_id, other, n, k, floor({mixu_sql('s', 'k', salt_token)} * total) AS r
-       FROM (SELECT need.*, total, unnest(range(0, 4 * n + 16)) AS k FROM need JOIN tot USING (other))),
+       FROM (SELECT need.*, total, unnest(range(0, 2 * n + 32)) AS k FROM need JOIN tot USING (other))),
 tk AS (SELECT row_id, n, k, token_id FROM dr ASOF JOIN cdf ON dr.other = cdf.lang AND dr.r >= cdf.lo),
 fi AS (SELECT row_id, n, token_id, min(k) AS k FROM tk GROUP BY ALL),
 ti AS (SELECT row_id, list(token_id ORDER BY k) AS tokens FROM (
