@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from duolex.functions import arrays as A
 from duolex.schemas import IGNORE, TAG_NAMES
 
 
@@ -11,13 +12,19 @@ def aligned(tags: Column, word_ids: Column) -> Column:
     later one turns an odd (B-) tag into the I- tag behind it, tokens outside
     words are ignored."""
 
-    def one(w, i):
-        tag = F.get(tags, w)
-        same = F.get(word_ids, i - 1) == w
-        inside = F.when(tag % 2 == 1, tag + 1).otherwise(tag)
-        return F.when(w.isNull(), F.lit(IGNORE)).when(same, inside).otherwise(tag)
+    def spread(tags, words):
+        def one(w, i):
+            tag = F.get(tags, w)
+            inside = F.when(tag % 2 == 1, tag + 1).otherwise(tag)
+            return (
+                F.when(w.isNull(), F.lit(IGNORE))
+                .when(F.get(words, i - 1) == w, inside)
+                .otherwise(tag)
+            )
 
-    return F.transform(word_ids, one)
+        return F.transform(words, one)
+
+    return A.let(tags, lambda t: A.let(word_ids, lambda w: spread(t, w)))
 
 
 def align_labels(df: DataFrame, tags="tags", word_ids="word_ids", out="labels") -> DataFrame:

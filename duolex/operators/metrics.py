@@ -130,7 +130,10 @@ def prediction_table(candidates: DataFrame, references: DataFrame, key="pair_id"
 
 def _spans(tags: Column) -> Column:
     """Entity spans of a tag-id array, each packed into one BIGINT (type, start, end)."""
+    return A.let(tags, _spans_of)
 
+
+def _spans_of(tags: Column) -> Column:
     def kind(t):
         return F.floor((t + 1) / 2)
 

@@ -239,8 +239,9 @@ def noise_shuffle(x: Column, l: Column, flag, s: Column) -> Column:
 
 def _staged(df, col, step):
     """One noise step over the current array and its current content length."""
-    x = F.col(col)
-    return df.withColumn(col, A.let(content_length(x), lambda l: step(x, l)))
+    return df.withColumn(
+        col, A.let(F.col(col), lambda x: A.let(content_length(x), lambda l: step(x, l)))
+    )
 
 
 def denoise_examples(df: DataFrame, ratios: Ratios, sampler: TokenSampler, keyword_ids: dict,
