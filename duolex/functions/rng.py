@@ -35,14 +35,23 @@ def mix(s: Column, pos: Column, salt: int = 0) -> Column:
     return (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MUL2)).bitwiseAND(F.lit(MASK31))
 
 
-def mix_each(s: Column, positions: Column, salt: int = 0) -> Column:
-    """``mix`` for every element of an array of positions; each round is its own
-    pass, so no intermediate value is computed twice."""
+def mix_each(s: Column, n: Column, salt: int = 0, start: int = 0) -> Column:
+    """``mix`` for the positions start .. start+n-1, as an array.
+
+    The first round is a native arithmetic sequence; the others run as one pass
+    each, so no intermediate value is computed twice.
+    """
+    first = s + F.lit((start + salt * 1048576) * STEP)
+    h = F.when(n > 0, F.sequence(first, first + (n - 1) * F.lit(STEP), F.lit(STEP))).otherwise(
+        F.array().cast("array<bigint>")
+    )
+    half = MASK31 >> 16
     h = F.transform(
-        positions,
-        lambda i: (s + (i.cast("bigint") + F.lit(salt * 1048576)) * F.lit(STEP)).bitwiseAND(F.lit(MASK31)),
+        h,
+        lambda v: (
+            v.bitwiseAND(F.lit(MASK31)).bitwiseXOR(F.shiftright(v, 16).bitwiseAND(F.lit(half))) * F.lit(MUL1)
+        ).bitwiseAND(F.lit(MASK31)),
     )
-    h = F.transform(h, lambda v: (v.bitwiseXOR(F.shiftright(v, 16)) * F.lit(MUL1)).bitwiseAND(F.lit(MASK31)))
     return F.transform(h, lambda v: (v.bitwiseXOR(F.shiftright(v, 15)) * F.lit(MUL2)).bitwiseAND(F.lit(MASK31)))
 
 

@@ -6,6 +6,7 @@ position: the same row gets the same noise on any cluster.  All of it is one
 projection; nothing is shuffled.
 """
 
+from bisect import bisect_right
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +18,8 @@ from duolex.operators.encode import mask_pad
 from duolex.schemas import EOS, MASK, PAD
 
 POS_BITS = 20  # (random, position) pairs are sorted as one BIGINT
+POS_MASK = (1 << POS_BITS) - 1
+GUIDE_BITS = 12
 
 
 @dataclass(frozen=True)
@@ -43,21 +46,32 @@ def _share(l: Column, ratio) -> Column:
 def _pick(s: Column, start: int, stop: Column, n: Column, salt: int) -> Column:
     """``n`` distinct positions of [start, stop), in random order."""
     keyed = F.transform(
-        mix_each(s, A.positions(stop, start), salt), lambda h, i: F.shiftleft(h, POS_BITS) + i + start
+        mix_each(s, stop - start, salt, start), lambda h, i: F.shiftleft(h, POS_BITS) + i + start
     )
     return F.transform(
-        A.take(F.sort_array(keyed), n), lambda v: v.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int")
+        A.take(F.sort_array(keyed), n), lambda v: v.bitwiseAND(F.lit(POS_MASK)).cast("int")
     )
 
 
+def _splice(x: Column, at: Column, values, skip: int) -> Column:
+    """``x`` with ``values(j)`` (an array) put in at ``at[j]``, ascending; the element
+    there is left out when ``skip`` is 1.  Works on slices, not on elements."""
+
+    def part(p, j):
+        before = F.when(j == 0, F.lit(0)).otherwise(F.get(at, j - 1) + skip)
+        return F.concat(F.slice(x, before + 1, p - before), values(j))
+
+    last = F.when(F.size(at) == 0, F.lit(0)).otherwise(F.get(at, F.size(at) - 1) + skip)
+    return F.concat(F.flatten(F.transform(at, part)), A.drop_first(x, last))
+
+
 def noise_mask(x: Column, l: Column, ratio, s: Column) -> Column:
     """``int(l * ratio)`` draws with replacement become the mask id."""
 
     def body(n):
-        hits = F.transform(
-            mix_each(s, A.positions(n), 1), lambda h: F.shiftright(h * (l - 1), 31).cast("int") + 1
-        )
-        return A.let(hits, lambda h: F.transform(x, lambda v, i: F.when(F.array_contains(h, i), F.lit(MASK)).otherwise(v)))
+        hits = F.transform(mix_each(s, n, 1), lambda h: F.shiftright(h * (l - 1), 31).cast("int") + 1)
+        mask = F.array(F.lit(MASK))
+        return A.let(F.sort_array(F.array_distinct(hits)), lambda at: _splice(x, at, lambda j: mask, 1))
 
     return A.let(_share(l, ratio), lambda n: F.when((n < 1) | (l < 2), x).otherwise(body(n)))
 
@@ -73,20 +87,16 @@ def noise_dropout(x: Column, l: Column, ratio, s: Column, keyword_ids) -> Column
         if keyword_ids:
             root = F.floor(F.sqrt(h / F.lit(2147483648.0)) * F.lit(2147483648.0))
             h = F.when(F.get(x, i + 1).isin(*keyword_ids), root).otherwise(h)
-        return F.shiftleft(h, POS_BITS) + i
+        return F.shiftleft(h, POS_BITS) + i + 1
 
     def body(n):
-        def without(k):
-            least = F.get(F.sort_array(k, asc=False), F.least(n, F.size(k)) - 1)
-            return A.let(
-                least,
-                lambda t: A.let(
-                    F.filter(x, lambda v, i: F.coalesce(F.get(k, i - 1) < t, F.lit(True))),
-                    lambda kept: A.pad_to(kept, F.size(x), PAD),
-                ),
-            )
-
-        return A.let(F.transform(mix_each(s, A.positions(l, 1), 2), key), without)
+        top = A.take(F.sort_array(F.transform(mix_each(s, l - 1, 2, 1), key), asc=False), n)
+        drop = F.sort_array(F.transform(top, lambda v: v.bitwiseAND(F.lit(POS_MASK)).cast("int")))
+        none = F.array().cast("array<int>")
+        return A.let(
+            drop,
+            lambda at: A.let(_splice(x, at, lambda j: none, 1), lambda kept: A.pad_to(kept, F.size(x), PAD)),
+        )
 
     return A.let(_share(l, ratio), lambda n: F.when((n < 1) | (l < 2), x).otherwise(body(n)))
 
@@ -136,19 +146,24 @@ class TokenSampler:
     def _draw_one(self, table, n, s, salt):
         ids, freqs, upto, total = table
         token_ids = self._longs(ids)
-        bits = max(len(ids), 1).bit_length()
-        # running sums, filled up to a power of two for the binary search
-        cdf = self._longs(upto + [1 << 62] * ((1 << bits) - len(upto)))
-        steps = F.lit([1 << b for b in reversed(range(bits))]).cast("array<int>")
+        # The upper bits of a draw tell where its binary search may start; the
+        # steps cover the widest gap between two such starts.
+        starts = [
+            bisect_right(upto, int((j << (31 - GUIDE_BITS)) / 2147483648.0 * float(total)))
+            for j in range(1 << GUIDE_BITS)
+        ]
+        gap = max((b - a for a, b in zip(starts, starts[1:] + [len(ids)])), default=0)
+        bits = gap.bit_length()
+        steps = F.array(*[F.lit(1 << b) for b in reversed(range(bits))]).cast("array<int>")
+        cdf, guide = self._longs(upto + [1 << 62] * (1 << bits)), self._longs(starts)
 
         def token(h):
             # number of running sums that are <= the draw
-            r = F.floor(h / F.lit(2147483648.0) * F.lit(float(total)))
             at = A.let(
-                r,
-                lambda v: F.aggregate(
-                    steps, F.lit(0),
-                    lambda lo, d: F.when(F.get(cdf, lo + d - 1) <= v, lo + d).otherwise(lo),
+                F.floor(h / F.lit(2147483648.0) * F.lit(float(total))),
+                lambda r: F.aggregate(
+                    steps, F.get(guide, F.shiftright(h, 31 - GUIDE_BITS).cast("int")).cast("int"),
+                    lambda lo, d: F.when(F.get(cdf, lo + d - 1) <= r, lo + d).otherwise(lo),
                 ),
             )
             return F.get(token_ids, at).cast("int")
@@ -156,11 +171,11 @@ class TokenSampler:
         # Drawing again what was drawn before, and keeping first occurrences, is
         # drawing without replacement.  Where the spare draws do not yield enough
         # distinct tokens, the exact weighted order of the whole list is used.
-        drawn = F.array_distinct(F.transform(mix_each(s, A.positions(2 * n + 32), salt), token))
+        drawn = F.array_distinct(F.transform(mix_each(s, 2 * n + 32, salt), token))
 
         def whole():
             keyed = F.transform(
-                mix_each(s, A.positions(F.lit(len(ids))), salt + 1),
+                mix_each(s, F.lit(len(ids)), salt + 1),
                 lambda h, i: F.struct(
                     (-F.ln((h + F.lit(1)) / F.lit(2147483649.0)) / F.get(self._longs(freqs), i)).alias("key"),
                     i.alias("pos"),
@@ -171,6 +186,19 @@ class TokenSampler:
         return A.let(drawn, lambda d: F.when(F.size(d) >= n, A.take(d, n)).otherwise(whole()))
 
 
+def _put_tokens(x, at, tokens, skip):
+    """The j-th drawn token goes to the j-th drawn position."""
+    pairs = F.sort_array(F.transform(A.take(at, F.size(tokens)), lambda p, k: F.struct(p.alias("p"), k.alias("k"))))
+
+    def put(o):
+        def value(j):
+            return F.array(F.get(tokens, F.get(o, j)["k"]))
+
+        return A.let(F.transform(o, lambda z: z["p"]), lambda ps: _splice(x, ps, value, skip))
+
+    return A.let(pairs, put)
+
+
 def noise_replace(x: Column, l: Column, ratio, s: Column, sampler: TokenSampler, other: Column) -> Column:
     """``int(l * ratio)`` distinct content positions get distinct tokens drawn by the
     other language's frequencies."""
@@ -178,9 +206,7 @@ def noise_replace(x: Column, l: Column, ratio, s: Column, sampler: TokenSampler,
     def body(n):
         return A.let(
             F.struct(_pick(s, 1, l, n, 4).alias("at"), sampler.draw(other, n, s, 5).alias("tokens")),
-            lambda d: F.transform(
-                x, lambda v, i: F.coalesce(F.get(d["tokens"], (F.array_position(d["at"], i.cast("int")) - 1).cast("int")), v)
-            ),
+            lambda d: _put_tokens(x, d["at"], d["tokens"], 1),
         )
 
     return A.let(_share(l, ratio), lambda n: F.when(n < 1, x).otherwise(body(n)))
@@ -191,20 +217,12 @@ def noise_insert(x: Column, l: Column, ratio, s: Column, sampler: TokenSampler,
     of 1..l-2; the result is cut to the old size, ending in ``</s>``, or padded."""
 
     def body(n):
-        def insert(d):
-            longer = F.flatten(
-                F.transform(
-                    x,
-                    lambda v, i: A.let(
-                        F.get(d["tokens"], (F.array_position(d["at"], i.cast("int")) - 1).cast("int")),
-                        lambda t: F.when(t.isNull(), F.array(v)).otherwise(F.array(t, v)),
-                    ),
-                )
-            )
-            return A.let(longer, lambda y: A.let(content_length(y) + 1, lambda m: _refit(y, m, F.size(x))))
-
         return A.let(
-            F.struct(_pick(s, 1, l - 1, n, 7).alias("at"), sampler.draw(other, n, s, 8).alias("tokens")), insert
+            F.struct(_pick(s, 1, l - 1, n, 7).alias("at"), sampler.draw(other, n, s, 8).alias("tokens")),
+            lambda d: A.let(
+                _put_tokens(x, d["at"], d["tokens"], 0),
+                lambda y: A.let(content_length(y) + 1, lambda m: _refit(y, m, F.size(x))),
+            ),
         )
 
     return A.let(_share(l, ratio), lambda n: F.when(n < 1, x).otherwise(body(n)))
@@ -222,11 +240,9 @@ def noise_shuffle(x: Column, l: Column, flag, s: Column) -> Column:
 
     def body(ab):
         a, b = F.array_min(ab), F.array_max(ab)
-        order = F.transform(
-            mix_each(s, A.positions(b - a), 11), lambda h, k: F.shiftleft(h, POS_BITS) + k
-        )
+        order = F.transform(mix_each(s, b - a, 11), lambda h, k: F.shiftleft(h, POS_BITS) + k)
         shuffled = F.transform(
-            F.sort_array(order), lambda v: F.get(x, a + v.bitwiseAND(F.lit((1 << POS_BITS) - 1)).cast("int"))
+            F.sort_array(order), lambda v: F.get(x, a + v.bitwiseAND(F.lit(POS_MASK)).cast("int"))
         )
         return F.when(b - a < 2, x).otherwise(F.concat(A.take(x, a), shuffled, A.drop_first(x, b)))
 
