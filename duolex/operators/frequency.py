@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duolex.functions import text as X
+from duolex.operators.index import top_k
 
 
 def token_frequency(df: DataFrame, first_lang=None, ids="input_ids") -> DataFrame:
@@ -21,10 +22,8 @@ def token_frequency(df: DataFrame, first_lang=None, ids="input_ids") -> DataFram
 
 def top_k_tokens(freq: DataFrame, vocab: DataFrame, k=3000) -> DataFrame:
     """The k most frequent ids per language (ties by id), special ids removed
-    afterwards, so fewer than k may stay.  The input is one row per distinct
-    token; the rank is taken again over what stays."""
-    top = W.partitionBy("lang").orderBy(F.desc("freq"), "token_id")
-    best = freq.withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= k)
+    afterwards, so fewer than k may stay.  The rank is taken again over what stays."""
+    best = top_k(freq, ["lang"], F.desc("freq"), "token_id", k, "_r")
     named = best.join(vocab, "token_id").where(~F.col("is_special"))
     return named.select(
         "lang", F.row_number().over(W.partitionBy("lang").orderBy("_r")).alias("rank"), "token_id",

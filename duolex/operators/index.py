@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duolex.functions.rng import hash32
-from duolex.session import small_side
+from duolex.session import materialise, small_side
 
 HASH_BITS = 16  # buckets per group under a hashed order: 2**16
 ID_WIDTH = 100_000  # ids per bucket under file order
@@ -64,20 +64,24 @@ def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx") ->
     )
 
 
-def mark_first_k(df: DataFrame, limits: DataFrame, by, id_col, seed, out="in_sample") -> DataFrame:
+def mark_first_k(df: DataFrame, limits, by, id_col, seed, out="in_sample") -> DataFrame:
     """Add a boolean: is the row's seeded position in its ``by`` group below the
-    group's ``k`` (``limits``: by.., k)?
-
-    Only the bucket that holds the k-th row is ranked, on (key, id) alone; it
-    yields a cut value per group, and the full rows are compared with it without
-    a shuffle.  Groups without a limit row are dropped.
+    group's ``k``?
+
+    ``limits`` maps the group sizes (by.., n) to the limits (by.., k).  The input
+    is read twice, whatever it costs to compute: once to write its narrow keys
+    (group, id, hash), once for the result.  Of the keys only the bucket that
+    holds a group's k-th row is ranked; it yields a cut value per group, and the
+    full rows are compared with it without a shuffle.  Groups without a limit
+    are dropped.
     """
     by = list(by)
-    keys = _ordered(df.select(*by, id_col), by, id_col, seed)
-    counts = keys.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = bucket_offsets(counts, by).join(limits, by)
+    keys = materialise(_ordered(df.select(*by, id_col), by, id_col, seed), "keys")
+    counts = materialise(keys.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), "counts")
+    limits = limits(counts.groupBy(*by).agg(F.sum("_n").alias("n")))
     edge = (
-        offsets.where((F.col("_lo") < F.col("k")) & (F.col("k") <= F.col("_lo") + F.col("_n")))
+        bucket_offsets(counts, by).join(limits, by)
+        .where((F.col("_lo") < F.col("k")) & (F.col("k") <= F.col("_lo") + F.col("_n")))
         .select(*by, "_b", (F.col("k") - F.col("_lo")).alias("_need"))
     )
     rank = W.partitionBy(*by, "_b").orderBy("_k", id_col)
@@ -89,7 +93,7 @@ def mark_first_k(df: DataFrame, limits: DataFrame, by, id_col, seed, out="in_sam
     )
     # a group without an edge bucket is shorter than its limit and kept whole,
     # unless the limit is 0
-    bounds = limits.join(cut, by, "left")
+    bounds = limits.select(*by, "k").join(cut, by, "left")
     inside = (
         F.when(F.col("k") <= 0, F.lit(False))
         .when(F.col("_ck").isNull(), F.lit(True))
@@ -104,6 +108,22 @@ def mark_first_k(df: DataFrame, limits: DataFrame, by, id_col, seed, out="in_sam
     )
 
 
-def first_k(df: DataFrame, limits: DataFrame, by, id_col, seed) -> DataFrame:
+def first_k(df: DataFrame, limits, by, id_col, seed) -> DataFrame:
     """The rows that ``mark_first_k`` marks."""
     return mark_first_k(df, limits, by, id_col, seed, "_in").where("_in").drop("_in")
+
+
+def top_k(df: DataFrame, by, order, tie, k: int, out="rank", salts=64) -> DataFrame:
+    """The ``k`` first rows per group under ``order`` then ``tie`` (unique in the
+    group), numbered from 1.
+
+    A large group is ranked in ``salts`` parts first; only their best k meet.
+    """
+    by = list(by)
+    part = W.partitionBy(*by, "_salt").orderBy(order, tie)
+    whole = W.partitionBy(*by).orderBy(order, tie)
+    return (
+        df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
+        .withColumn(out, F.row_number().over(part)).where(F.col(out) <= k).drop("_salt")
+        .withColumn(out, F.row_number().over(whole)).where(F.col(out) <= k)
+    )

@@ -11,9 +11,11 @@ from duolex.operators.index import first_k, mark_first_k
 
 def balance_corpora(df: DataFrame, by="lang", id_col="row_id", seed=0) -> DataFrame:
     """Cut every corpus to a random subset as large as the smallest one."""
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    limits = sizes.select(by, F.min("n").over(W.partitionBy(F.lit(0))).alias("k"))
-    return first_k(df, limits, [by], id_col, seed)
+
+    def smallest(sizes):
+        return sizes.select(by, F.min("n").over(W.partitionBy(F.lit(0))).alias("k"))
+
+    return first_k(df, smallest, [by], id_col, seed)
 
 
 def downsample(df: DataFrame, k: int, by="lang", id_col="row_id", seed=0) -> DataFrame:
@@ -23,14 +25,16 @@ def downsample(df: DataFrame, k: int, by="lang", id_col="row_id", seed=0) -> Dat
     one pair is one row, so the sides stay together.  Fails when a corpus has
     fewer than ``k`` rows.
     """
-    sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
-    limits = sizes.select(
-        by,
-        F.when(F.col("n") >= k, F.lit(k).cast("bigint"))
-        .otherwise(F.raise_error(F.format_string("corpus %s has %s rows, fewer than the limit", F.col(by), F.col("n"))).cast("bigint"))
-        .alias("k"),
-    )
-    return first_k(df, limits, [by], id_col, seed)
+
+    def enough(sizes):
+        short = F.format_string("corpus %s has %s rows, fewer than the limit", F.col(by).cast("string"), F.col("n").cast("string"))
+        return sizes.select(
+            by,
+            F.when(F.col("n") >= k, F.lit(k).cast("bigint"))
+            .otherwise(F.raise_error(short).cast("bigint")).alias("k"),
+        )
+
+    return first_k(df, enough, [by], id_col, seed)
 
 
 def seeded_shuffle(df: DataFrame, id_col="row_id", seed=0) -> DataFrame:
@@ -41,6 +45,7 @@ def seeded_shuffle(df: DataFrame, id_col="row_id", seed=0) -> DataFrame:
 def sample_and_complement(df: DataFrame, n: int, id_col="row_id", text="text", seed=0) -> DataFrame:
     """Right-trimmed lines with ``in_sample`` true for exactly ``n`` of them."""
     keyed = df.withColumn("_all", F.lit(1)).withColumn(text, rstrip(F.col(text)))
-    limits = df.sparkSession.createDataFrame([(1, n)], "_all int, k bigint")
-    marked = mark_first_k(keyed, limits, ["_all"], id_col, seed)
+    marked = mark_first_k(
+        keyed, lambda sizes: sizes.select("_all", F.lit(n).cast("bigint").alias("k")), ["_all"], id_col, seed
+    )
     return marked.select(*df.columns, "in_sample")

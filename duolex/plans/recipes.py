@@ -2,7 +2,6 @@
 the shared folder, as later stages read them several times."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duolex.functions import text as X
@@ -14,6 +13,7 @@ from duolex.operators.filters import length_filter
 from duolex.operators.frequency import (
     token_frequency, token_probabilities, top_k_side_by_side, top_k_tokens, zipped_long,
 )
+from duolex.operators.index import top_k
 from duolex.operators.masking import whole_word_mask
 from duolex.operators.metrics import corpus_bleu, weighted_ngram_match
 from duolex.operators.noise import Ratios, TokenSampler, denoise_examples
@@ -30,8 +30,7 @@ def frequent_tokens(corpus: DataFrame, seed=0, k=3000) -> DataFrame:
         rows.select("lang", F.explode(X.words(F.col("text"))).alias("word"))
         .groupBy("lang", "word").agg(F.count(F.lit(1)).alias("freq"))
     )
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("freq"), "word"))
-    return token_probabilities(freq.withColumn("rank", rank).where(F.col("rank") <= k))
+    return token_probabilities(top_k(freq, ["lang"], F.desc("freq"), "word", k))
 
 
 def clean_corpus(corpus: DataFrame, strip_prefix=False, c_like=("cpp",), balance=True, seed=0) -> DataFrame:
@@ -40,8 +39,7 @@ def clean_corpus(corpus: DataFrame, strip_prefix=False, c_like=("cpp",), balance
     rows = length_filter(apply_cleaner_by_lang(rows, "text", c_like))
     if not balance:
         return rows
-    # cleaned once, read twice by the balancing
-    return balance_corpora(materialise(rows, "clean"), "lang", "row_id", seed)
+    return balance_corpora(rows, "lang", "row_id", seed)
 
 
 def vocabulary(rows: DataFrame, size: int, langs) -> DataFrame:
