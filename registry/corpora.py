@@ -144,17 +144,22 @@ def top_tokens(spark, sf, k=3000):
     return top_k_tokens(freq, vocab, k)
 
 
-TOP_SQL = f"""
-{DOCS_SQL}, {vocab_sql(VOCAB)}, {encode_sql()},
-flat AS (SELECT lang, unnest({framed_sql(max_length=512)}) AS token_id FROM enc),
+def top_sql(flat):
+    """CTEs from (lang, token_id) occurrences to the ranked tokens ``top``."""
+    return f"""
+flat AS {flat},
 freq AS (SELECT lang, token_id, count(*) AS freq FROM flat GROUP BY ALL),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY freq DESC, token_id) AS r FROM freq),
 top AS (
-  SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY r.r) AS rank, r.token_id,
-         v.token, r.freq
+  SELECT r.lang, row_number() OVER (PARTITION BY r.lang ORDER BY r.r) AS rank, r.token_id, v.token, r.freq
   FROM ranked r JOIN vocab v USING (token_id) WHERE r.r <= 3000 AND NOT v.is_special)"""
 
 
+TOP_SQL = f"""
+{DOCS_SQL}, {vocab_sql(VOCAB)}, {encode_sql()},
+{top_sql(f"(SELECT lang, unnest({framed_sql(max_length=512)}) AS token_id FROM enc)")}"""
+
+
 @query("write_frequency_csv", f"WITH {TOP_SQL} SELECT lang, token_id, freq, rank FROM top")
 def write_frequency_csv(spark, sf):
     path = sinks.write_frequency_csv(top_tokens(spark, sf), work_path(spark, "freq"))

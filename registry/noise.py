@@ -13,10 +13,12 @@ from duolex.operators.frequency import (
 from duolex.plans.recipes import denoise_data, keyword_ids, masked_language_data
 from duolex.session import materialise
 from registry.base import (
-    LANGS, PAIR, SEED, below_sql, docs, joined_sql, mix_sql, mixu_sql, padded_sql, query, row_seed_sql,
+    LANGS, PAIR, SEED, below_sql, docs, encode_sql, framed_sql, h32, joined_sql, mix_sql, mixu_sql, padded_sql, query,
+    row_seed_sql, vocab_sql,
 )
-from registry.corpora import TOP_SQL
-from registry.vocabulary import BASE, LENGTH, PADDED, PROBS_SQL, SIDE_SQL, shown, vocabulary
+from registry.cleaning import LENGTH_OK, fortran_sql
+from registry.corpora import TOP_SQL, VOCAB, top_sql
+from registry.vocabulary import BASE, LENGTH, PADDED, PROBS_SQL, SIDE_SQL, packed_sql, shown, vocabulary
 
 WORDS = {
     "en": "the and of to in that with for is as".split(),
@@ -24,10 +26,109 @@ WORDS = {
 }
 OTHER = "CASE lang WHEN 'en' THEN 'fr' ELSE 'en' END"
 
-# encoded rows x with content length l and row seed s
-ROWS = f"""
-rows0 AS (SELECT row_id, lang, {PADDED} AS x, {row_seed_sql(SEED, 'row_id')} AS s FROM enc),
-rows AS (SELECT *, CASE WHEN list_position(x, 2) > 0 THEN list_position(x, 2) - 1 ELSE len(x) END AS l FROM rows0)"""
+# --- each kind of noise as CTEs from a table (row_id, lang, x, s) to the next ----
+
+
+def length_sql(src, dst):
+    return f"""
+{dst} AS (SELECT *, CASE WHEN list_position(x, 2) > 0 THEN list_position(x, 2) - 1 ELSE len(x) END AS l FROM {src})"""
+
+
+def seeded_sql(src, x, dst="rows0"):
+    return f"{dst} AS (SELECT row_id, lang, {x} AS x, {row_seed_sql(SEED, 'row_id')} AS s FROM {src})"
+
+
+ROWS = f"{seeded_sql('enc', PADDED)}, {length_sql('rows0', 'rows')}"
+
+
+def share_sql(ratio):
+    return f"CAST(floor(l * {ratio}::DOUBLE) AS BIGINT)"
+
+
+def mask_noise_sql(src, dst, ratio):
+    return f"""
+{dst}_h AS (SELECT *, list_transform(range(0, {share_sql(ratio)}), lambda k: {below_sql('s', 'k', 'l - 1', 1)} + 1) AS h FROM {src}),
+{dst} AS (SELECT row_id, lang, s, list_transform(x, lambda v, i: CASE WHEN list_contains(h, i - 1) THEN 4 ELSE v END) AS x FROM {dst}_h)"""
+
+
+def _word_list(lang):
+    return ", ".join(f"'{w}'" for w in WORDS[lang])
+
+
+def keyword_sql():
+    """A keyword has four characters at most, so it is its own piece."""
+    return f"""
+kw AS (SELECT 'en' AS lang, list(token_id) AS kw FROM vocab WHERE NOT is_special AND token IN ({_word_list('en')})
+       UNION ALL SELECT 'fr', list(token_id) FROM vocab WHERE NOT is_special AND token IN ({_word_list('fr')}))"""
+
+
+def dropout_sql(src, dst, ratio, size):
+    return f"""
+{dst}_n AS (SELECT *, {share_sql(ratio)} AS n FROM {src} JOIN kw USING (lang)),
+{dst}_d AS (SELECT *, list_transform(list_reverse_sort(list_transform(range(1, l), lambda i:
+  ((CASE WHEN list_contains(kw, x[i + 1]) THEN CAST(floor(sqrt({mixu_sql('s', 'i', 2)}) * 2147483648.0::DOUBLE) AS BIGINT)
+         ELSE {mix_sql('s', 'i', 2)} END) << 20) + i))[1:n], lambda p: p & 1048575) AS gone FROM {dst}_n),
+{dst}_k AS (SELECT *, list_filter(x, lambda v, i: NOT list_contains(gone, i - 1)) AS k FROM {dst}_d),
+{dst} AS (SELECT row_id, lang, s, {padded_sql('k', size)} AS x FROM {dst}_k)"""
+
+
+def drawn_sql(src, p, ratio, salt_at, salt_token, stop, freq="cut"):
+    """CTEs to ``{p}_picked``: positions and tokens drawn for each row.
+
+    A token is the one whose span of running sums holds the draw; first
+    occurrences are kept.
+    """
+    return f"""
+{p}_cdf AS (SELECT lang, token_id, freq, sum(freq) OVER (PARTITION BY lang ORDER BY freq DESC, token_id) - freq AS lo,
+               sum(freq) OVER (PARTITION BY lang) AS total FROM {freq}),
+{p}_tot AS (SELECT lang AS other, max(total) AS total FROM {p}_cdf GROUP BY lang),
+{p}_need AS (SELECT r.*, {OTHER} AS other, {share_sql(ratio)} AS n FROM {src} r WHERE lang IN ('en', 'fr')),
+{p}_dr AS (SELECT row_id, other, n, k, floor({mixu_sql('s', 'k', salt_token)} * total) AS r
+       FROM (SELECT q.*, total, unnest(range(0, 2 * n + 32)) AS k FROM {p}_need q JOIN {p}_tot USING (other))),
+{p}_tk AS (SELECT row_id, n, k, token_id FROM {p}_dr d ASOF JOIN {p}_cdf c ON d.other = c.lang AND d.r >= c.lo),
+{p}_fi AS (SELECT row_id, n, token_id, min(k) AS k FROM {p}_tk GROUP BY ALL),
+{p}_ti AS (SELECT row_id, list(token_id ORDER BY k) AS tokens FROM (
+         SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k) AS q FROM {p}_fi) WHERE q <= n GROUP BY row_id),
+{p}_picked AS (SELECT q.*, coalesce(tokens, []) AS tokens,
+                  list_transform(list_sort(list_transform(range(1, {stop}), lambda i: ({mix_sql('s', 'i', salt_at)} << 20) + i))[1:n],
+                                 lambda v: v & 1048575) AS spots
+           FROM {p}_need q LEFT JOIN {p}_ti USING (row_id))"""
+
+
+def replace_sql(src, dst, ratio, freq="cut"):
+    return f"""{drawn_sql(src, dst, ratio, 4, 5, 'l', freq)},
+{dst} AS (SELECT row_id, lang, s, l, list_transform(x, lambda v, i: coalesce(tokens[list_position(spots, i - 1)], v)) AS x FROM {dst}_picked)"""
+
+
+def insert_sql(src, dst, ratio, size, freq="cut"):
+    return f"""{drawn_sql(src, dst, ratio, 7, 8, 'l - 1', freq)},
+{dst}_i AS (SELECT *, flatten(list_transform(x, lambda v, i: CASE WHEN tokens[list_position(spots, i - 1)] IS NULL THEN [v]
+        ELSE [tokens[list_position(spots, i - 1)], v] END)) AS y FROM {dst}_picked),
+{dst}_m AS (SELECT *, coalesce(nullif(list_position(y, 2), 0), len(y) + 1) AS m FROM {dst}_i),
+{dst} AS (SELECT row_id, lang, s, CASE WHEN n < 1 THEN x WHEN m >= {size} THEN list_concat(y[1:{size - 1}], [2])
+                 ELSE {padded_sql('y[1:m]', size)} END AS x FROM {dst}_m)"""
+
+
+def shuffle_sql(src, dst):
+    return f"""
+{dst}_p AS (SELECT *, {below_sql('s', '0', 'l - 1', 10)} + 1 AS p, {below_sql('s', '1', 'l - 2', 10)} + 1 AS q0 FROM {src}),
+{dst}_q AS (SELECT *, CASE WHEN q0 >= p THEN q0 + 1 ELSE q0 END AS q FROM {dst}_p),
+{dst}_ab AS (SELECT *, least(p, q) AS a, greatest(p, q) AS b FROM {dst}_q),
+{dst}_o AS (SELECT *, list_transform(list_sort(list_transform(range(0, b - a), lambda k: {{
+        'key': {mix_sql('s', 'k', 11)}, 'k': k, 'v': x[a + k + 1]}})), lambda z: z.v) AS mid FROM {dst}_ab),
+{dst} AS (SELECT row_id, lang, s, l, CASE WHEN l < 10 OR b - a < 2 THEN x
+                 ELSE list_concat(list_concat(x[1:a], mid), x[b + 1:]) END AS x FROM {dst}_o)"""
+
+
+def denoise_sql(src, size, dropout, replace, insert, mask, freq="cut"):
+    """All kinds in order, from a table (row_id, lang, x, s) to ``noisy``."""
+    return f"""{length_sql(src, 'z0')}, {keyword_sql()}, {dropout_sql('z0', 'z1', dropout, size)},
+{length_sql('z1', 'z2')}, {replace_sql('z2', 'z3', replace, freq)}, {insert_sql('z3', 'z4', insert, size, freq)},
+{length_sql('z4', 'z5')}, {shuffle_sql('z5', 'z6')}, {mask_noise_sql('z6', 'noisy', mask)}"""
+
+
+NOISE_TABLES = f"{TOP_SQL}, {SIDE_SQL}, {PROBS_SQL}"
+SHOW_X = joined_sql("x")
 
 
 def rows(spark, sf, langs=LANGS):
@@ -49,34 +150,15 @@ def content_length(spark, sf):
     return rows(spark, sf)[0].select("row_id", "l")
 
 
-@query("noise_mask", f"""
-WITH {BASE}, {ROWS},
-h AS (SELECT row_id, x, list_transform(range(0, CAST(floor(l * 0.15) AS BIGINT)), lambda k: {below_sql('s', 'k', 'l - 1', 1)} + 1) AS h FROM rows)
-SELECT row_id, {joined_sql('list_transform(x, lambda v, i: CASE WHEN list_contains(h, i - 1) THEN 4 ELSE v END)')} AS input_ids FROM h""")
+@query("noise_mask", f"WITH {BASE}, {ROWS}, {mask_noise_sql('rows', 'done', 0.15)} SELECT row_id, {SHOW_X} AS input_ids FROM done")
 def noise_mask(spark, sf):
     x, l, s = xls()
     out = rows(spark, sf)[0].select("row_id", N.noise_mask(x, l, 0.15, s).alias("input_ids"))
     return shown(out)
 
 
-def _word_list(lang):
-    return ", ".join(f"'{w}'" for w in WORDS[lang])
-
-
-# pieces of the keywords, four characters long at most: a keyword is its own piece
-KEYWORD_SQL = f"""
-kw AS (SELECT 'en' AS lang, list(token_id) AS kw FROM vocab WHERE NOT is_special AND token IN ({_word_list('en')})
-       UNION ALL SELECT 'fr', list(token_id) FROM vocab WHERE NOT is_special AND token IN ({_word_list('fr')}))"""
-
-
 @query("noise_dropout", f"""
-WITH {BASE}, {ROWS}, {KEYWORD_SQL},
-n AS (SELECT *, CAST(floor(l * 0.2) AS BIGINT) AS n FROM rows JOIN kw USING (lang)),
-d AS (SELECT *, list_transform(list_reverse_sort(list_transform(range(1, l), lambda i:
-  ((CASE WHEN list_contains(kw, x[i + 1]) THEN CAST(floor(sqrt({mixu_sql('s', 'i', 2)}) * 2147483648.0::DOUBLE) AS BIGINT)
-         ELSE {mix_sql('s', 'i', 2)} END) << 20) + i))[1:n], lambda p: p & 1048575) AS gone FROM n),
-k AS (SELECT row_id, list_filter(x, lambda v, i: NOT list_contains(gone, i - 1)) AS k FROM d)
-SELECT row_id, {joined_sql(padded_sql('k', LENGTH))} AS input_ids FROM k""")
+WITH {BASE}, {ROWS}, {keyword_sql()}, {dropout_sql('rows', 'done', 0.2, LENGTH)} SELECT row_id, {SHOW_X} AS input_ids FROM done""")
 def noise_dropout(spark, sf):
     data, vocab = rows(spark, sf, PAIR)
     ids = keyword_ids(vocab, WORDS)
@@ -94,32 +176,8 @@ def sampler(data, vocab):
     return N.TokenSampler.from_table(token_probabilities(zipped_long(side, *PAIR)))
 
 
-def drawn_sql(n, salt_at, salt_token, stop):
-    """CTEs ``picked(row_id, at, tokens)``: positions and tokens drawn for each row.
-
-    A token is the one whose span of running sums holds the draw; first
-    occurrences are kept.
-    """
-    return f"""
-cdf AS (SELECT lang, token_id, freq, sum(freq) OVER (PARTITION BY lang ORDER BY freq DESC, token_id) - freq AS lo,
-               sum(freq) OVER (PARTITION BY lang) AS total FROM cut),
-tot AS (SELECT lang AS other, max(total) AS total FROM cdf GROUP BY lang),
-need AS (SELECT r.*, {OTHER} AS other, {n} AS n FROM rows r WHERE lang IN ('en', 'fr')),
-dr AS (SELECT row_id, other, n, k, floor({mixu_sql('s', 'k', salt_token)} * total) AS r
-       FROM (SELECT need.*, total, unnest(range(0, 2 * n + 32)) AS k FROM need JOIN tot USING (other))),
-tk AS (SELECT row_id, n, k, token_id FROM dr ASOF JOIN cdf ON dr.other = cdf.lang AND dr.r >= cdf.lo),
-fi AS (SELECT row_id, n, token_id, min(k) AS k FROM tk GROUP BY ALL),
-ti AS (SELECT row_id, list(token_id ORDER BY k) AS tokens FROM (
-         SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY k) AS q FROM fi) WHERE q <= n GROUP BY row_id),
-picked AS (SELECT need.*, coalesce(tokens, []) AS tokens,
-                  list_transform(list_sort(list_transform(range(1, {stop}), lambda i: ({mix_sql('s', 'i', salt_at)} << 20) + i))[1:n],
-                                 lambda v: v & 1048575) AS at
-           FROM need LEFT JOIN ti USING (row_id))"""
-
-
 @query("noise_replace", f"""
-WITH {TOP_SQL}, {SIDE_SQL}, {PROBS_SQL}, {ROWS}, {drawn_sql('CAST(floor(l * 0.1) AS BIGINT)', 4, 5, 'l')}
-SELECT row_id, {joined_sql('list_transform(x, lambda v, i: coalesce(tokens[list_position("at", i - 1)], v))')} AS input_ids FROM picked""")
+WITH {NOISE_TABLES}, {ROWS}, {replace_sql('rows', 'done', 0.1)} SELECT row_id, {SHOW_X} AS input_ids FROM done""")
 def noise_replace(spark, sf):
     data, vocab = rows(spark, sf, PAIR)
     data = materialise(data, "encoded")
@@ -134,11 +192,7 @@ def unpadded(data):
 
 
 @query("noise_insert", f"""
-WITH {TOP_SQL}, {SIDE_SQL}, {PROBS_SQL}, {ROWS}, {drawn_sql('CAST(floor(l * 0.1) AS BIGINT)', 7, 8, 'l - 1')},
-i AS (SELECT row_id, flatten(list_transform(x, lambda v, i: CASE WHEN tokens[list_position("at", i - 1)] IS NULL THEN [v]
-        ELSE [tokens[list_position("at", i - 1)], v] END)) AS y FROM picked),
-m AS (SELECT *, coalesce(nullif(list_position(y, 2), 0), len(y) + 1) AS m FROM i)
-SELECT row_id, {joined_sql(f"CASE WHEN m >= {LENGTH} THEN list_concat(y[1:{LENGTH - 1}], [2]) ELSE {padded_sql('y[1:m]', LENGTH)} END")} AS input_ids FROM m""")
+WITH {NOISE_TABLES}, {ROWS}, {insert_sql('rows', 'done', 0.1, LENGTH)} SELECT row_id, {SHOW_X} AS input_ids FROM done""")
 def noise_insert(spark, sf):
     data, vocab = rows(spark, sf, PAIR)
     data = materialise(data, "encoded")
@@ -148,21 +202,22 @@ def noise_insert(spark, sf):
     return shown(data.select("row_id", noisy.alias("input_ids")))
 
 
-@query("noise_shuffle", f"""
-WITH {BASE}, {ROWS},
-p AS (SELECT *, {below_sql('s', '0', 'l - 1', 10)} + 1 AS p, {below_sql('s', '1', 'l - 2', 10)} + 1 AS q0 FROM rows),
-q AS (SELECT *, CASE WHEN q0 >= p THEN q0 + 1 ELSE q0 END AS q FROM p),
-ab AS (SELECT *, least(p, q) AS a, greatest(p, q) AS b FROM q),
-o AS (SELECT *, list_transform(list_sort(list_transform(range(0, b - a), lambda k: {{
-        'key': {mix_sql('s', 'k', 11)}, 'k': k, 'v': x[a + k + 1]}})), lambda z: z.v) AS mid FROM ab)
-SELECT row_id, {joined_sql('CASE WHEN l < 10 OR b - a < 2 THEN x ELSE list_concat(list_concat(x[1:a], mid), x[b + 1:]) END')} AS input_ids FROM o""")
+@query("noise_shuffle", f"WITH {BASE}, {ROWS}, {shuffle_sql('rows', 'done')} SELECT row_id, {SHOW_X} AS input_ids FROM done")
 def noise_shuffle(spark, sf):
     x, l, s = xls()
     out = rows(spark, sf)[0].select("row_id", N.noise_shuffle(x, l, 1, s).alias("input_ids"))
     return shown(out)
 
 
-@query("denoise_examples")
+IGNORED = "list_transform({0}, lambda v: CASE WHEN v = 1 THEN -100 ELSE v END)"
+
+
+@query("denoise_examples", f"""
+WITH {NOISE_TABLES}, {seeded_sql('enc', PADDED)}, {denoise_sql('rows0', LENGTH, 0.2, 0.05, 0.15, 0.15)}
+SELECT row_id, CASE noisy.lang WHEN 'en' THEN 'fr' ELSE 'en' END AS lang, {joined_sql('noisy.x')} AS input_ids,
+       {joined_sql('list_transform(noisy.x, lambda v: CASE WHEN v = 1 THEN 0 ELSE 1 END)')} AS attention_mask,
+       {joined_sql(IGNORED.format('rows0.x'))} AS labels
+FROM noisy JOIN rows0 USING (row_id)""")
 def denoise_examples(spark, sf):
     data, vocab = rows(spark, sf, PAIR)
     data = materialise(data.drop("s", "l"), "encoded")
@@ -202,13 +257,46 @@ def objective_schedule(spark, sf):
     return B.objective_schedule(steps(spark, sf), 6)
 
 
-@query("recipe_masked_language")
+R_CHUNK, R_LENGTH, R_BATCH = 128, 256, 8
+
+
+def cleaned_sql(langs):
+    """Comment-free documents of normal length."""
+    names = ", ".join(f"'{lang}'" for lang in langs)
+    return f"""
+cl AS (SELECT doc_id, lang, {fortran_sql('text')} AS text FROM documents WHERE lang IN ({names})),
+ok AS (SELECT doc_id AS row_id, lang, text FROM cl WHERE {LENGTH_OK})"""
+
+
+@query("recipe_masked_language", f"""
+WITH {cleaned_sql(LANGS)},
+rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {h32(SEED, 'row_id')}, row_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM ok),
+src AS (SELECT row_id, lang, text FROM rk WHERE i < (SELECT min(n) FROM rk)),
+{vocab_sql(VOCAB)}, {encode_sql()}, {packed_sql(R_CHUNK, 1000, R_CHUNK)},
+sd AS (SELECT *, {row_seed_sql(SEED, 'pack_group', 'chunk')} AS s FROM chunks),
+fl AS (SELECT pack_group, chunk, ids, list_transform(ws, lambda w, i: w IS NOT NULL
+        AND {mixu_sql('xor(s, rs[i] & 2147483647)', 'coalesce(w, 0)')} < 0.15) AS f FROM sd)
+SELECT pack_group, chunk, {joined_sql('list_transform(ids, lambda v, i: CASE WHEN f[i] THEN 4 ELSE v END)')} AS input_ids,
+       {joined_sql('list_transform(ids, lambda v, i: CASE WHEN f[i] THEN v ELSE -100 END)')} AS labels FROM fl""")
 def recipe_masked_language(spark, sf):
-    out = masked_language_data(docs(spark, sf), LANGS, 4000, 128, seed=SEED)
+    out = masked_language_data(docs(spark, sf), LANGS, VOCAB, R_CHUNK, seed=SEED)
     return shown(out, "pack_group", "chunk", "input_ids", "labels")
 
 
-@query("recipe_denoise")
+@query("recipe_denoise", f"""
+WITH {cleaned_sql(PAIR)},
+src AS (SELECT * FROM ok), {vocab_sql(VOCAB, langs=PAIR)}, {encode_sql()},
+r AS (SELECT row_id, lang, row_number() OVER (PARTITION BY lang ORDER BY row_id) - 1 AS k, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS d FROM src),
+nb AS (SELECT min(n) // {R_BATCH} AS nb FROM (SELECT count(*) AS n FROM r GROUP BY lang)),
+inter AS (SELECT row_id, (k // {R_BATCH}) * 2 + d AS batch_id, k % {R_BATCH} AS slot FROM r, nb WHERE k < nb * {R_BATCH}),
+e AS (SELECT row_id, lang, batch_id, slot, {padded_sql(framed_sql(max_length=R_LENGTH), R_LENGTH)} AS x FROM enc JOIN inter USING (row_id)),
+{top_sql('(SELECT lang, unnest(x) AS token_id FROM e)')}, {SIDE_SQL}, {PROBS_SQL},
+{seeded_sql('e', 'x')}, {denoise_sql('rows0', R_LENGTH, 0.2, 0.05, 0.15, 0.15)},
+j AS (SELECT e.*, CASE batch_id % 2 WHEN 0 THEN 'denoise' ELSE 'back_translate' END AS objective FROM e)
+SELECT row_id, batch_id, slot, objective, {joined_sql(IGNORED.format('j.x'))} AS labels,
+       CASE WHEN objective <> 'denoise' THEN j.lang WHEN j.lang = 'en' THEN 'fr' ELSE 'en' END AS lang,
+       CASE objective WHEN 'denoise' THEN {joined_sql('noisy.x')} ELSE {joined_sql('j.x')} END AS input_ids
+FROM j JOIN noisy USING (row_id)""")
 def recipe_denoise(spark, sf):
-    out = denoise_data(docs(spark, sf), PAIR, WORDS, 4000, 256, 8, seed=SEED)
+    out = denoise_data(docs(spark, sf), PAIR, WORDS, VOCAB, R_LENGTH, R_BATCH, seed=SEED)
     return shown(out, "row_id", "lang", "batch_id", "slot", "objective", "input_ids", "labels")

@@ -221,18 +221,23 @@ def packed(spark, sf):
     return pack_chunks(materialise(rows, "encoded"), chunk_size=CHUNK, group_rows=GROUP), vocab
 
 
-PACKED_SQL = f"""
-f AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {GROUP} AS pack_group,
-             {framed_sql(max_length=LENGTH)} AS x,
-             list_concat(list_concat([NULL], owner[1:{LENGTH - 2}]), [NULL]) AS o FROM enc),
+def packed_sql(chunk, group, max_length):
+    """CTEs from ``enc`` to ``chunks``, token by token."""
+    return f"""
+f AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {group} AS pack_group,
+             {framed_sql(max_length=max_length)} AS x,
+             list_concat(list_concat([NULL], owner[1:{max_length - 2}]), [NULL]) AS o FROM enc),
 e AS (SELECT row_id, pack_group, unnest(x) AS id, unnest(o) AS w, unnest(range(0, len(x))) AS i FROM f),
 c AS (SELECT *, row_number() OVER (PARTITION BY pack_group ORDER BY row_id, i) - 1 AS p,
              count(*) OVER (PARTITION BY pack_group) AS total FROM e),
-k AS (SELECT * FROM c WHERE total < {CHUNK} OR p < total // {CHUNK} * {CHUNK}),
-chunks AS (SELECT pack_group, p // {CHUNK} AS chunk, list(id ORDER BY p) AS ids, list(w ORDER BY p) AS ws,
+k AS (SELECT * FROM c WHERE total < {chunk} OR p < total // {chunk} * {chunk}),
+chunks AS (SELECT pack_group, p // {chunk} AS chunk, list(id ORDER BY p) AS ids, list(w ORDER BY p) AS ws,
                   list(row_id ORDER BY p) AS rs FROM k GROUP BY ALL)"""
 
 
+PACKED_SQL = packed_sql(CHUNK, GROUP, LENGTH)
+
+
 @query("pack_chunks", f"""
 WITH {BASE}, {PACKED_SQL}
 SELECT pack_group, chunk, {joined_sql('ids')} AS input_ids, {joined_sql('ids')} AS labels,
