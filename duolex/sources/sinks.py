@@ -27,17 +27,22 @@ def write_frequency_csv(freq: DataFrame, path: str, columns=("lang", "token_id",
     return path
 
 
+# quotes doubled, line breaks inside quotes, blanks and empty texts kept
+_CSV = dict(
+    header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="",
+)
+
+
 def write_predictions(table: DataFrame, path: str, sep="|") -> str:
-    """``Label`` and ``Prediction``; quotes doubled, line breaks kept inside quotes."""
+    """Texts as ``Label`` and ``Prediction`` columns."""
     (
         table.selectExpr("label AS Label", "prediction AS Prediction")
-        .write.mode("overwrite").csv(path, sep=sep, header=True, quote='"', escape='"', quoteAll=True)
+        .write.mode("overwrite").csv(path, sep=sep, quoteAll=True, **_CSV)
     )
     return path
 
 
 def read_predictions(spark: SparkSession, path: str, sep="|") -> DataFrame:
     return spark.read.schema("Label string, Prediction string").csv(
-        path, sep=sep, header=True, quote='"', escape='"', multiLine=True,
-        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="",
+        path, sep=sep, multiLine=True, nullValue="\u0000", **_CSV
     )

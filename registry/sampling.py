@@ -30,10 +30,10 @@ def downsample(spark, sf):
 @query("downsample_pairs", f"""
 WITH {PAIRS_SQL}, r AS (
   SELECT *, row_number() OVER (PARTITION BY pair_id % 2 ORDER BY {h32(SEED, 'pair_id')}, pair_id) - 1 AS i FROM pairs)
-SELECT pair_id, src, tgt FROM r WHERE i < 4""")
+SELECT pair_id, src, tgt FROM r WHERE i < 2""")
 def downsample_pairs(spark, sf):
     rows = pairs(spark, sf).withColumn("part", F.col("pair_id") % 2)
-    return sampling.downsample(rows, 4, "part", "pair_id", SEED).select("pair_id", "src", "tgt")
+    return sampling.downsample(rows, 2, "part", "pair_id", SEED).select("pair_id", "src", "tgt")
 
 
 @query("seeded_shuffle", f"""

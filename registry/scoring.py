@@ -77,7 +77,7 @@ SELECT {b}round(CASE WHEN count(*) FILTER (m > 0) < 4 THEN 0.0
        ELSE exp(sum(CASE WHEN m > 0 THEN ln(m / {against}) END) / 4)
             * CASE WHEN max(hc) FILTER (n = 1) > max(rc) FILTER (n = 1) THEN 1.0
                    ELSE exp(1 - (max(rc) FILTER (n = 1)) / (max(hc) FILTER (n = 1))) END END, 9) AS {name},
-       max(hc) FILTER (n = 1) AS hyp_len, max(rc) FILTER (n = 1) AS ref_len
+       CAST(max(hc) FILTER (n = 1) AS BIGINT) AS hyp_len, CAST(max(rc) FILTER (n = 1) AS BIGINT) AS ref_len
 FROM tot {group}"""
 
 
@@ -199,7 +199,7 @@ def losses(spark, sf):
 LOSSES_SQL = """
 lo AS (SELECT user_id AS run_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS epoch, value / 100 AS loss,
               CAST(json_extract_string(props, '$.k') AS BIGINT) AS n_rows FROM events),
-pp AS (SELECT run_id, epoch, round(exp(sum(loss * n_rows) / sum(n_rows)), 6) AS value, sum(n_rows) AS n FROM lo
+pp AS (SELECT run_id, epoch, round(exp(sum(loss * n_rows) / sum(n_rows)), 6) AS value, CAST(sum(n_rows) AS BIGINT) AS n FROM lo
        GROUP BY ALL HAVING sum(n_rows) > 0)"""
 
 
