@@ -66,3 +66,16 @@ def small_side(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if len(rows) > max_rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal rows out evenly when the input is too small to fill the cluster.
+
+    Below one full split per core, files and row groups decide how many tasks
+    hold rows, often a single one.  Larger inputs come back unchanged.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * split else df

@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from duolex.session import spread
+
 QUERIES, ORACLES = {}, {}
 LANGS = ["en", "fr", "de", "es"]
 PAIR = ["en", "fr"]
@@ -19,7 +21,7 @@ def query(name, sql=None):
 
 
 def table(spark, sf, name):
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf}/{name}.parquet"))
 
 
 def split_of(key):
