@@ -42,4 +42,4 @@ def not_equal_mask(a: Column, value: int) -> Column:
 
 def joined(a: Column, null="") -> Column:
     """Array as comma separated text."""
-    return F.array_join(F.transform(a, lambda x: x.cast("string")), ",", null)
+    return F.array_join(a.cast("array<string>"), ",", null)

@@ -48,12 +48,14 @@ def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx") ->
     """0-based position of every row inside its ``by`` group.
 
     Order: by ``id_col``, or, with a ``seed``, by (hash of id, id).  ``id_col``
-    is a unique BIGINT.  The window and the join share one partitioning.
+    is a unique BIGINT.  The input is read twice: for the bucket counts and for
+    the rows, which move once; the window and the join share one partitioning.
     """
     by = list(by)
-    counts = (
+    counts = materialise(
         _ordered(df.select(*by, id_col), by, id_col, seed)
-        .groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
+        .groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")),
+        "counts",
     )
     rank = W.partitionBy(*by, "_b").orderBy("_k", id_col)
     ranked = _ordered(df, by, id_col, seed).withColumn("_r", F.row_number().over(rank) - 1)

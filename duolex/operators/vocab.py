@@ -55,17 +55,30 @@ def _symbols(word):
     return F.regexp_replace(word, r"(?s)(.)", f"{_L}$1{_R}")
 
 
-def _pair_counts(state: DataFrame) -> DataFrame:
-    parts = F.split(F.substr(F.col("symbols"), F.lit(2), F.length("symbols") - 2), f"{_R}{_L}", -1)
-    pairs = F.arrays_zip(
-        F.slice(F.col("s"), F.lit(1), F.size("s") - 1).alias("left"),
-        F.slice(F.col("s"), F.lit(2), F.size("s") - 1).alias("right"),
-    )
-    return (
-        state.select(parts.alias("s"), "n").where(F.size("s") > 1)
-        .select(F.inline(pairs), "n")
-        .groupBy("left", "right").agg(F.sum("n").alias("n"))
+def _split_symbols(symbols):
+    return F.split(F.substr(symbols, F.lit(2), F.length(symbols) - 2), f"{_R}{_L}", -1)
+
+
+def _pairs(words: DataFrame) -> DataFrame:
+    """(left, right, n) for all adjacent symbols of (symbols, n)."""
+    count = F.size("s") - 1
+    zipped = F.arrays_zip(
+        F.slice("s", F.lit(1), count).alias("left"), F.slice("s", F.lit(2), count).alias("right")
     )
+    split = words.select(_split_symbols(F.col("symbols")).alias("s"), "n")
+    return split.where(F.size("s") > 1).select(F.inline(zipped), "n")
+
+
+def _pair_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("left", "right").agg(F.sum("n").alias("n")).where(F.col("n") > 0)
+
+
+def _merged(symbols, merges):
+    for left, right in merges:
+        symbols = F.replace(
+            symbols, F.lit(f"{_L}{left}{_R}{_L}{right}{_R}"), F.lit(f"{_L}{left}{right}{_R}")
+        )
+    return symbols
 
 
 def _independent(ranked, exhausted: bool, room: int):
@@ -95,36 +108,33 @@ def learn_bpe_merges(counts: DataFrame, n_merges: int, look=256, checkpoint_ever
     """Byte-pair merges over the distinct words.
 
     Returns (merges, words): ``merges`` holds (rank, left, right), ``words`` the
-    distinct words with their final symbols.  Each round counts adjacent pairs
-    with one distributed aggregation, fetches the best ``look`` pairs and applies
-    every merge that provably does not depend on another one of the round.
+    distinct words with their final pieces.  Each round fetches the best ``look``
+    pairs, applies every merge that provably does not depend on another one of the
+    round, and updates the pair counts from the words that changed only.
     """
     spark = counts.sparkSession
     state = materialise(counts.select("word", "n", _symbols(F.col("word")).alias("symbols")), "bpe")
+    pairs = materialise(_pair_counts(_pairs(state)), "pairs")
     merges, pending = [], 0
     while len(merges) < n_merges:
-        rows = _pair_counts(state).orderBy(F.desc("n"), "left", "right").limit(look).collect()
+        rows = pairs.orderBy(F.desc("n"), "left", "right").limit(look).collect()
         if not rows:
             break
         best = _independent([tuple(r) for r in rows], len(rows) < look, n_merges - len(merges))
-        for left, right in best:
-            state = state.withColumn(
-                "symbols",
-                F.replace(
-                    F.col("symbols"),
-                    F.lit(f"{_L}{left}{_R}{_L}{right}{_R}"),
-                    F.lit(f"{_L}{left}{right}{_R}"),
-                ),
-            )
         merges += best
+        after = _merged(F.col("symbols"), best)
+        if len(merges) < n_merges:
+            changed = state.select("n", F.col("symbols").alias("old"), after.alias("new")).where("old <> new")
+            both = changed.select(F.inline(F.array(
+                F.struct(F.col("old").alias("symbols"), (-F.col("n")).alias("n")),
+                F.struct(F.col("new").alias("symbols"), "n"),
+            )))
+            pairs = materialise(_pair_counts(pairs.unionByName(_pairs(both))), "pairs")
+        state = state.withColumn("symbols", after)
         pending += len(best)
         if pending >= checkpoint_every:
             state, pending = materialise(state, "bpe"), 0
     table = spark.createDataFrame(
         [(i + 1, l, r) for i, (l, r) in enumerate(merges)], "rank int, left string, right string"
     )
-    words = state.select(
-        "word", "n",
-        F.split(F.substr(F.col("symbols"), F.lit(2), F.length("symbols") - 2), f"{_R}{_L}", -1).alias("pieces"),
-    )
-    return table, words
+    return table, state.select("word", "n", _split_symbols(F.col("symbols")).alias("pieces"))

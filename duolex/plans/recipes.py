@@ -1,5 +1,5 @@
-"""The three dataflows, end to end.  Vocabulary and encoded tables are written to
-the shared folder, as later stages read them several times."""
+"""The three dataflows, end to end.  Cleaned rows, vocabulary and encoded rows are
+written to the shared folder, as later stages read them several times."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,7 +48,7 @@ def vocabulary(rows: DataFrame, size: int, langs) -> DataFrame:
 
 def masked_language_data(corpus: DataFrame, langs, vocab_size=30_000, chunk_size=512, p=0.15, seed=0) -> DataFrame:
     """read -> clean -> filter -> balance -> encode -> pack -> mask."""
-    rows = clean_corpus(corpus, seed=seed)
+    rows = materialise(clean_corpus(corpus, seed=seed), "clean")
     vocab = vocabulary(rows, vocab_size, langs)
     encoded = materialise(E.encode(rows, vocab, max_length=chunk_size).drop("text"), "encoded")
     packed = pack_chunks(encoded, chunk_size=chunk_size)
@@ -62,9 +62,10 @@ def denoise_data(corpus: DataFrame, langs, keywords, vocab_size=30_000, chunk_si
     Batches scheduled for back-translation leave with their clean ids; pair them
     with generated outputs by ``back_translation_pairs``.
     """
-    rows = clean_corpus(corpus.where(F.col("lang").isin(*langs)), balance=False, seed=seed)
+    part = corpus.where(F.col("lang").isin(*langs))
+    rows = materialise(clean_corpus(part, balance=False, seed=seed), "clean")
     vocab = vocabulary(rows, vocab_size, langs)
-    mixed = interleave_batches(materialise(rows, "clean"), langs, batch_size)
+    mixed = interleave_batches(rows, langs, batch_size)
     encoded = materialise(
         E.encode(mixed, vocab, max_length=chunk_size, padding="max").drop("text", "word_ids"), "encoded"
     )

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # the work per row is heavy: rather small tasks than idle cores
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
     "spark.sql.session.timeZone": "UTC",
     # top-k frequent tokens keeps up to 3000 ranks per language
     "spark.sql.optimizer.windowGroupLimitThreshold": "5000",

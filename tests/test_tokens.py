@@ -66,14 +66,14 @@ def brute_bpe(counts, n):
     return merges, words
 
 
-@pytest.mark.parametrize("seed,look", [(0, 256), (1, 4), (2, 1)])
-def test_bpe_against_brute_force(spark, seed, look):
+@pytest.mark.parametrize("seed,look,n", [(0, 256, 25), (1, 4, 12), (2, 1, 6)])
+def test_bpe_against_brute_force(spark, seed, look, n):
     rng = random.Random(seed)
     counts = {"".join(rng.choices("abcd", k=rng.randint(1, 9))): rng.randint(1, 6) for _ in range(40)}
     counts["aaaa"] = 9
     df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
-    merges, words = learn_bpe_merges(df, 25, look=look, checkpoint_every=7)
-    want, pieces = brute_bpe(counts, 25)
+    merges, words = learn_bpe_merges(df, n, look=look, checkpoint_every=7)
+    want, pieces = brute_bpe(counts, n)
     assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == want
     assert {r.word: r.pieces for r in words.collect()} == pieces
 
@@ -219,3 +219,26 @@ def test_frequencies(spark, vocab):
     assert [(r.token_1, r.token_2) for r in side.orderBy("rank").collect()] == [("a", "="), ("x", "a")]  # padding took a place
     probs = token_probabilities(zipped_long(side, "en", "other")).where("lang = 'en'").orderBy("rank").collect()
     assert [round(r.prob, 6) for r in probs] == [0.666667, 0.333333]
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    """The same lookup from a folder where workers cannot import the package."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "job.py"
+    script.write_text(f"""
+import sys
+sys.path.insert(0, {root!r})
+from duolex.operators.encode import encode
+from duolex.operators.vocab import learn_vocab, word_counts
+from duolex.session import build_session
+spark = build_session("far", "local[1]", **{{"spark.ui.enabled": "false"}})
+df = spark.createDataFrame([(0, "a b")], "row_id bigint, text string")
+print("IDS", encode(df, learn_vocab(word_counts(df), 9, ["en"])).first().input_ids)
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "IDS [0, 7, 8, 2]" in done.stdout, done.stderr[-2000:]
