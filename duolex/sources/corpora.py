@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duolex.schemas import FREQUENCY_CSV, TAGGED_JSON, TEXT_JSON, pair_json
+from duolex.session import materialise, small_side
 
 SPLITS = {"train": "mono.train", "valid": "para.valid", "test": "para.test"}
 
@@ -30,38 +31,53 @@ def _tag(df, lang, split):
     return df.withColumn("lang", F.lit(lang)).withColumn("split", F.lit(split))
 
 
-def numbered_lines(df: DataFrame, out="row_index") -> DataFrame:
-    """Add the 0-based line number over all files of ``df`` (a file-based reader).
-
-    Lines are ranked inside their file block, in reading order; a prefix sum over
-    the blocks' line counts makes the rank global.  Blocks are bounded by
-    ``spark.sql.files.maxPartitionBytes``, so no task sees a whole file.
-    """
-    block = ["_file", "_start"]
-    lines = df.select(
+def _with_blocks(df):
+    """Add the file block a row was read from, and its place in reading order."""
+    return df.select(
         *df.columns,
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_start"),
         F.monotonically_increasing_id().alias("_seq"),
     )
-    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _number(lines: DataFrame, out: str) -> DataFrame:
+    """0-based numbers over all rows of ``_with_blocks``, file by file.
+
+    The rows are written once with their block, as another scan may cut the files
+    in other places.  A row's place in its block is the distance to the block's
+    first row; a prefix sum over the blocks' row counts makes it global.
+    """
+    block = ["_file", "_start"]
+    lines = materialise(lines, "lines")
+    counts = lines.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_seq").alias("_first"))
     before = W.partitionBy(F.lit(0)).orderBy(*block).rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.select(*block, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"))
-    rank = W.partitionBy(*block).orderBy("_seq")
+    offsets = counts.select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lo"))
     return (
-        lines.withColumn("_r", F.row_number().over(rank) - 1)
-        .join(offsets, block)
-        .withColumn(out, F.col("_lo") + F.col("_r"))
-        .select(*df.columns, out)
+        lines.join(small_side(offsets), block)
+        .withColumn(out, F.col("_lo") + F.col("_seq") - F.col("_first"))
+        .drop("_file", "_start", "_seq", "_first", "_lo")
     )
 
 
-def load_text_corpus(spark: SparkSession, root: str, langs, fmt="tok", splits=tuple(SPLITS)) -> DataFrame:
-    """(text, lang, split): one row per line."""
-    return _union([
-        _tag(spark.read.text(corpus_path(root, lang, split, fmt)).withColumnRenamed("value", "text"), lang, split)
+def numbered_lines(df: DataFrame, out="row_index") -> DataFrame:
+    """Add the 0-based line number over all files of a file reader."""
+    return _number(_with_blocks(df), out)
+
+
+def _load(parts, row_id):
+    """Union of (reader, lang, split), numbered when ``row_id`` names a column."""
+    if row_id is None:
+        return _union([_tag(df, lang, split) for df, lang, split in parts])
+    return _number(_union([_tag(_with_blocks(df), lang, split) for df, lang, split in parts]), row_id)
+
+
+def load_text_corpus(spark: SparkSession, root: str, langs, fmt="tok", splits=tuple(SPLITS), row_id=None) -> DataFrame:
+    """(text, lang, split): one row per line; with ``row_id``, numbered over all files."""
+    return _load([
+        (spark.read.text(corpus_path(root, lang, split, fmt)).withColumnRenamed("value", "text"), lang, split)
         for lang in langs for split in splits
-    ])
+    ], row_id)
 
 
 def load_parallel_only(spark: SparkSession, root: str, langs) -> DataFrame:
@@ -69,20 +85,20 @@ def load_parallel_only(spark: SparkSession, root: str, langs) -> DataFrame:
     return load_text_corpus(spark, root, langs, "tok", ("valid", "test"))
 
 
-def load_json_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), schema=TEXT_JSON) -> DataFrame:
+def load_json_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), schema=TEXT_JSON, row_id=None) -> DataFrame:
     """JSON lines with ``text``."""
-    return _union([
-        _tag(spark.read.schema(schema).json(corpus_path(root, lang, split, "jsonl")), lang, split)
+    return _load([
+        (spark.read.schema(schema).json(corpus_path(root, lang, split, "jsonl")), lang, split)
         for lang in langs for split in splits
-    ])
+    ], row_id)
 
 
-def load_tagged_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS)) -> DataFrame:
+def load_tagged_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), row_id=None) -> DataFrame:
     """JSON lines with ``tokens`` and ``tags``."""
-    return _union([
-        _tag(spark.read.schema(TAGGED_JSON).json(corpus_path(root, lang, split, "jsonl", True)), lang, split)
+    return _load([
+        (spark.read.schema(TAGGED_JSON).json(corpus_path(root, lang, split, "jsonl", True)), lang, split)
         for lang in langs for split in splits
-    ])
+    ], row_id)
 
 
 def load_parallel_text(spark: SparkSession, root: str, lang: str, split: str, fmt="tok") -> DataFrame:

@@ -27,6 +27,15 @@ def write_frequency_csv(freq: DataFrame, path: str, columns=("lang", "token_id",
     return path
 
 
+def write_frequent_words(side: DataFrame, path: str, first: str, second: str) -> str:
+    """The words of a side-by-side table, one column per language, by rank."""
+    (
+        side.orderBy("rank").selectExpr(f"token_1 AS `{first}`", f"token_2 AS `{second}`")
+        .write.mode("overwrite").csv(path, sep="|", header=True, quote='"', escape='"')
+    )
+    return path
+
+
 # quotes doubled, line breaks inside quotes, blanks and empty texts kept
 _CSV = dict(
     header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, emptyValue="",

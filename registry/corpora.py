@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from duolex.operators import clean
 from duolex.operators.combine import hconcat_columns, zip_parallel
 from duolex.operators.encode import encode
-from duolex.operators.frequency import token_frequency, token_probabilities, top_k_tokens
+from duolex.operators.frequency import token_frequency, token_probabilities, top_k_side_by_side, top_k_tokens
 from duolex.operators.index import global_index
 from duolex.operators.vocab import learn_vocab, word_counts
 from duolex.session import materialise, work_path
@@ -42,6 +42,21 @@ def load_text_corpus(spark, sf):
     return C.load_text_corpus(spark, written_lines(spark, sf), LANGS)
 
 
+@query("load_numbered_corpus", f"""
+SELECT {ONE_LINE} AS text, lang, {SPLIT_SQL.format('doc_id')} AS split,
+       row_number() OVER (ORDER BY lang || '.' || CASE {SPLIT_SQL.format('doc_id')} WHEN 'train' THEN 'mono.' ELSE 'para.' END
+                                   || {SPLIT_SQL.format('doc_id')}, doc_id) - 1 AS row_id
+FROM documents""")
+def load_numbered_corpus(spark, sf):
+    root = work_path(spark, "text")
+    rows = split_docs(spark, sf)
+    for lang in LANGS:
+        for split in C.SPLITS:
+            part = rows.where((F.col("lang") == lang) & (F.col("split") == split)).orderBy("row_id")
+            part.select(one_line(F.col("text"))).write.text(C.corpus_path(root, lang, split, "tok"))
+    return C.load_text_corpus(spark, root, LANGS, row_id="row_id")
+
+
 @query("load_parallel_only", f"SELECT * FROM ({LINES_SQL}) WHERE split <> 'train'")
 def load_parallel_only(spark, sf):
     return C.load_parallel_only(spark, written_lines(spark, sf, ("valid", "test")), LANGS)
@@ -137,6 +152,17 @@ def save_sharded(spark, sf):
     return sinks.load_if_cached(spark, path).select("row_id", "lang", F.col("split").cast("string").alias("split"), "text")
 
 
+@query("load_if_cached", """
+SELECT lang, count(*) AS n_rows, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM documents GROUP BY lang""")
+def load_if_cached(spark, sf):
+    path = work_path(spark, "cached")
+    for _ in range(2):  # built the first time, read the second
+        saved = sinks.load_if_cached(spark, path)
+        if saved is None:
+            sinks.save_sharded(split_docs(spark, sf), path)
+    return saved.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("text")).alias("n_chars"))
+
+
 def top_tokens(spark, sf, k=3000):
     rows = docs(spark, sf)
     vocab = materialise(learn_vocab(word_counts(rows), VOCAB, LANGS), "vocab")
@@ -166,6 +192,15 @@ def write_frequency_csv(spark, sf):
     return C.read_frequency_csv(spark, path)
 
 
+@query("write_frequent_words", f"""
+WITH {TOP_SQL}
+SELECT a.token AS en, b.token AS fr FROM top a JOIN top b ON a.rank = b.rank AND a.lang = 'en' AND b.lang = 'fr'""")
+def write_frequent_words(spark, sf):
+    side = top_k_side_by_side(top_tokens(spark, sf), "en", "fr")
+    path = sinks.write_frequent_words(side, work_path(spark, "words"), "en", "fr")
+    return spark.read.schema("en string, fr string").csv(path, sep="|", header=True, quote='"', escape='"')
+
+
 @query("read_frequency_csv", f"""
 WITH {TOP_SQL}
 SELECT lang, token_id, round(freq / sum(freq) OVER (PARTITION BY lang), 9) AS prob FROM top""")

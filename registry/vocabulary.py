@@ -140,6 +140,13 @@ def encode_padded_max(spark, sf):
     return shown(encoded(spark, sf, LENGTH, "max")[0], "row_id", "input_ids", "attention_mask")
 
 
+@query("encode_padded_untruncated", f"""
+WITH {BASE} SELECT row_id, {joined_sql(padded_sql(framed_sql(), LENGTH))} AS input_ids FROM enc""")
+def encode_padded_untruncated(spark, sf):
+    out = E.encode(docs(spark, sf), vocabulary(spark, sf), padding="max", pad_length=LENGTH)
+    return shown(out, "row_id", "input_ids")
+
+
 @query("encode_padded_longest", f"""
 WITH {BASE},
 b AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // 8 AS batch_id, {framed_sql(max_length=LENGTH)} AS x FROM enc),
