@@ -123,7 +123,7 @@ def top_k(df: DataFrame, by, order, tie, k: int, out="rank", salts=64) -> DataFr
     """
     by = list(by)
     part = W.partitionBy(*by, "_salt").orderBy(order, tie)
-    whole = W.partitionBy(*by).orderBy(order, tie)
+    whole = W.partitionBy(*(by or [F.lit(0)])).orderBy(order, tie)
     return (
         df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
         .withColumn(out, F.row_number().over(part)).where(F.col(out) <= k).drop("_salt")

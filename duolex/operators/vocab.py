@@ -1,10 +1,10 @@
 """Vocabulary learning: word counts, piece vocabulary, byte-pair merges."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duolex.functions import text as X
+from duolex.operators.index import top_k
 from duolex.schemas import special_tokens
 from duolex.session import materialise
 
@@ -25,23 +25,15 @@ def add_special_tokens(spark, langs) -> DataFrame:
 
 
 def learn_vocab(counts: DataFrame, size: int, langs) -> DataFrame:
-    """Specials, then the most frequent pieces (ties by piece) up to ``size`` rows.
-
-    The cut is a distributed top-k; only its ``size`` rows are numbered.
-    """
+    """Specials, then the most frequent pieces (ties by piece) up to ``size`` rows."""
     specials = special_tokens(langs)
     pieces = (
         counts.select(F.explode(X.word_pieces(F.col("word"))).alias("token"), "n")
         .groupBy("token").agg(F.sum("n").alias("n"))
         .where(~F.col("token").isin(*[t for _, t, _ in specials]))
-        .orderBy(F.desc("n"), "token")
-        .limit(max(size - len(specials), 0))
     )
-    rank = W.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")
-    numbered = pieces.select(
-        (F.row_number().over(rank) - 1 + len(specials)).alias("token_id"),
-        "token",
-        F.lit(False).alias("is_special"),
+    numbered = top_k(pieces, [], F.desc("n"), "token", max(size - len(specials), 0)).select(
+        (F.col("rank") - 1 + len(specials)).alias("token_id"), "token", F.lit(False).alias("is_special")
     )
     return add_special_tokens(counts.sparkSession, langs).unionByName(numbered)
 
