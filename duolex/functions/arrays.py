@@ -43,3 +43,8 @@ def not_equal_mask(a: Column, value: int) -> Column:
 def joined(a: Column, null="") -> Column:
     """Array as comma separated text."""
     return F.array_join(a.cast("array<string>"), ",", null)
+
+
+def div(a: Column, n: int) -> Column:
+    """Integer quotient of a BIGINT that is not negative."""
+    return F.call_function("div", a, F.lit(n))

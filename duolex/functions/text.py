@@ -78,13 +78,13 @@ def contains_any(text: Column, keywords) -> Column:
     return reduce(lambda a, b: a | b, [F.contains(text, F.lit(k)) for k in keywords])
 
 
-def words(text: Column, specials=()) -> Column:
-    """Lower-case runs of letters and digits, and single other characters.
+def words(text: Column, specials=(), lower=True) -> Column:
+    """Runs of letters and digits, and single other characters, in lower case.
 
     Tokens in ``specials`` are found first and stay as they are.
     """
     if not specials:
-        return F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0))
+        return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(_WORD), F.lit(0))
     pattern = "|".join([re.escape(t) for t in specials] + [_WORD])
     return F.transform(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
@@ -92,6 +92,11 @@ def words(text: Column, specials=()) -> Column:
     )
 
 
+def occurrences(text: Column, part: str) -> Column:
+    """How often ``part`` occurs, without overlaps."""
+    return ((F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)).cast("int")
+
+
 def space_words(text: Column) -> Column:
     """Split on every single space; empty strings count."""
     return F.split(text, " ", -1)

@@ -32,7 +32,7 @@ def noise_schedule(batches: DataFrame, every: int, mask=0.15, dropout=0.20, repl
     """Noise ratios per batch.  Counted from 1, every ``every`` steps mask and insert
     grow by ``p`` and dropout by ``pd`` while their sum is below ``cap``."""
     most = updates_until_cap(mask, dropout, replace, insert, p, pd, cap)
-    n = F.lit(0).cast("bigint") if not every else F.floor(F.col(step) / every)
+    n = F.lit(0).cast("bigint") if not every else A.div(F.col(step), every)
     if most >= 0:
         n = F.least(n, F.lit(most))
     return (

@@ -13,7 +13,7 @@ def assemble_batches(df: DataFrame, batch_size: int, id_col="row_id", by=(), see
     """``batch_id`` and ``slot`` by position: consecutive rows, or a seeded order."""
     return (
         global_index(df, id_col, by, seed, out="_idx")
-        .withColumn("batch_id", F.floor(F.col("_idx") / batch_size))
+        .withColumn("batch_id", A.div(F.col("_idx"), batch_size))
         .withColumn("slot", (F.col("_idx") % batch_size).cast("int"))
         .drop("_idx")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duolex.functions.rng import hash32
+from duolex.functions.arrays import div
 from duolex.operators.index import global_index
 from duolex.operators.sampling import seeded_shuffle
 from duolex.session import small_side
@@ -54,13 +54,13 @@ def interleave_batches(
     df = df.where(F.col("lang").isin(*langs))
     sizes = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     batches = small_side(
-        sizes.select("lang", F.floor(F.min("n").over(W.partitionBy(F.lit(0))) / batch_size).alias("_nb"))
+        sizes.select("lang", div(F.min("n").over(W.partitionBy(F.lit(0))), batch_size).alias("_nb"))
     )
     out = (
         global_index(df, id_col, ["lang"], out="_idx").join(batches, "lang")
         .where(F.col("_idx") < F.col("_nb") * batch_size)
         .withColumn("_d", F.try_element_at(number, F.col("lang")).cast("bigint"))
-        .withColumn("batch_id", F.floor(F.col("_idx") / batch_size) * len(langs) + F.col("_d"))
+        .withColumn("batch_id", div(F.col("_idx"), batch_size) * len(langs) + F.col("_d"))
         .withColumn("slot", (F.col("_idx") % batch_size).cast("int"))
         .drop("_idx", "_d", "_nb")
     )

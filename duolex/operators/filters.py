@@ -1,5 +1,7 @@
 """Row filters and their audits."""
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,19 +47,24 @@ def filter_audit(df: DataFrame, predicate, by="lang") -> DataFrame:
 
 
 def keyword_profile(df: DataFrame, lists, col="text", id_col="row_id") -> DataFrame:
-    """How many words of a row belong to each keyword list (rows with a hit).
+    """How often the keywords of each list occur in a row (rows with a hit).
 
-    The lists become hash-set membership tests on the row's own words: nothing
-    is exploded or shuffled.
+    A keyword that is one word counts as a word, any other as a substring.  The
+    lists become hash-set membership tests on the row's own words: nothing is
+    exploded or shuffled.
     """
 
     def hits_of(name, keywords):
-        inside = F.filter(F.col("_w"), lambda w: w.isin(*keywords))
-        return F.struct(F.lit(name).alias("list_name"), F.size(inside).alias("hits"))
+        single = [k for k in keywords if re.fullmatch(r"\w+", k)]
+        n = F.size(F.filter(F.col("_w"), lambda w: w.isin(*single)))
+        for phrase in keywords:
+            if phrase not in single:
+                n = n + X.occurrences(F.col("_t"), phrase)
+        return F.struct(F.lit(name).alias("list_name"), n.alias("hits"))
 
     hits = [hits_of(name, keywords) for name, keywords in lists.items()]
     return (
-        df.select(id_col, X.words(F.col(col)).alias("_w"))
+        df.select(id_col, F.col(col).alias("_t"), X.words(F.col(col), lower=False).alias("_w"))
         .select(id_col, F.inline(F.array(*hits)))
         .where(F.col("hits") > 0)
     )

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duolex.functions.arrays import div
 from duolex.functions.rng import hash32
 from duolex.session import materialise, small_side
 
@@ -19,7 +20,7 @@ def _ordered(df, by, id_col, seed):
     """Add ``_b`` (bucket) and ``_k`` (sort key inside the bucket)."""
     if seed is None:
         return df.withColumn("_k", F.lit(0).cast("bigint")).withColumn(
-            "_b", F.floor(F.col(id_col) / F.lit(ID_WIDTH))
+            "_b", div(F.col(id_col), ID_WIDTH)
         )
     return df.withColumn("_k", hash32(seed, id_col)).withColumn(
         "_b", F.shiftright(F.col("_k"), 32 - HASH_BITS)
@@ -31,12 +32,12 @@ def bucket_offsets(counts: DataFrame, by) -> DataFrame:
 
     Two levels, so that no window sees more than a few thousand buckets.
     """
-    c = counts.withColumn("_s", F.floor(F.col("_b") / F.lit(4096)))
+    c = counts.withColumn("_s", div(F.col("_b"), 4096))
     inner = W.partitionBy(*by, "_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     c = c.withColumn("_in", F.coalesce(F.sum("_n").over(inner), F.lit(0)))
     group = W.partitionBy(*(by or [F.lit(0)])).orderBy("_s").rowsBetween(W.unboundedPreceding, -1)
     tops = (
-        counts.groupBy(*by, F.floor(F.col("_b") / F.lit(4096)).alias("_s"))
+        counts.groupBy(*by, div(F.col("_b"), 4096).alias("_s"))
         .agg(F.sum("_n").alias("_t"))
         .withColumn("_up", F.coalesce(F.sum("_t").over(group), F.lit(0)))
         .drop("_t")
@@ -48,7 +49,7 @@ def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx") ->
     """0-based position of every row inside its ``by`` group.
 
     Order: by ``id_col``, or, with a ``seed``, by (hash of id, id).  ``id_col``
-    is a unique BIGINT.  The input is read twice: for the bucket counts and for
+    is a unique BIGINT, not negative.  The input is read twice: for the bucket counts and for
     the rows, which move once; the window and the join share one partitioning.
     """
     by = list(by)

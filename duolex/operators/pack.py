@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duolex.functions.arrays import div
 from duolex.operators.index import global_index
 
 
@@ -19,7 +20,7 @@ def pack_chunks(df: DataFrame, cols=("input_ids", "attention_mask", "word_ids"),
     by = list(by)
     main = cols[0]
     rows = global_index(df.select(id_col, *by, *cols), id_col, by, out="_idx")
-    rows = rows.withColumn("pack_group", F.floor(F.col("_idx") / group_rows)).withColumn("_n", F.size(main))
+    rows = rows.withColumn("pack_group", div(F.col("_idx"), group_rows)).withColumn("_n", F.size(main))
     group = [*by, "pack_group"]
     before = W.partitionBy(*group).orderBy("_idx").rowsBetween(W.unboundedPreceding, -1)
     rows = (
@@ -27,8 +28,8 @@ def pack_chunks(df: DataFrame, cols=("input_ids", "attention_mask", "word_ids"),
         .withColumn("_total", F.sum("_n").over(W.partitionBy(*group)))
         .where(F.col("_n") > 0)
     )
-    first = F.floor(F.col("_off") / chunk_size)
-    last = F.floor((F.col("_off") + F.col("_n") - 1) / chunk_size)
+    first = div(F.col("_off"), chunk_size)
+    last = div(F.col("_off") + F.col("_n") - 1, chunk_size)
     parts = rows.withColumn("chunk", F.explode(F.sequence(first, last))).where(
         (F.col("_total") < chunk_size) | ((F.col("chunk") + 1) * chunk_size <= F.col("_total"))
     )

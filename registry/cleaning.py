@@ -1,5 +1,7 @@
 """Cleaning, projections and filters."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from duolex.keywords import KEYWORDS
@@ -145,11 +147,17 @@ def filter_audit(spark, sf):
 
 
 def _profile_sql():
-    rows = ", ".join(f"('{name}', '{k}')" for name, ks in KEYWORDS.items() for k in ks)
+    single = ", ".join(f"('{name}', '{k}')" for name, ks in KEYWORDS.items() for k in ks if re.fullmatch(r"\w+", k))
+    phrases = ", ".join(f"('{name}', '{k}')" for name, ks in KEYWORDS.items() for k in ks if not re.fullmatch(r"\w+", k))
     return f"""
-WITH kw AS (SELECT * FROM (VALUES {rows}) AS t(list_name, keyword)),
-w AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM documents)
-SELECT row_id, list_name, count(*) AS hits FROM w JOIN kw ON word = keyword GROUP BY ALL"""
+WITH kw AS (SELECT * FROM (VALUES {single}) AS t(list_name, keyword)),
+ph AS (SELECT * FROM (VALUES {phrases}) AS t(list_name, keyword)),
+w AS (SELECT doc_id AS row_id, unnest(regexp_extract_all(text, '{WORD}')) AS word FROM documents),
+h AS (SELECT row_id, list_name, count(*) AS hits FROM w JOIN kw ON word = keyword GROUP BY ALL
+      UNION ALL
+      SELECT doc_id, list_name, (length(text) - length(replace(text, keyword, ''))) // length(keyword)
+      FROM documents JOIN ph ON contains(text, keyword))
+SELECT row_id, list_name, CAST(sum(hits) AS BIGINT) AS hits FROM h GROUP BY ALL"""
 
 
 @query("keyword_profile", _profile_sql())

@@ -47,7 +47,7 @@ def test_keyword_filter_modes(spark):
 
 def test_keyword_profile_and_audit(spark, corpus):
     df = spark.createDataFrame([(0, "for while x For"), (1, "nothing")], "row_id int, text string")
-    got = {(r.row_id, r.list_name): r.hits for r in filters.keyword_profile(df, {"loops": ["for", "while"], "no": ["q"]}).collect()}
+    got = {(r.row_id, r.list_name): r.hits for r in filters.keyword_profile(df, {"loops": ["for", "while", "le x"], "no": ["q"]}).collect()}
     assert got == {(0, "loops"): 3}
     audit = filters.filter_audit(corpus, F.col("row_id") < 10).collect()
     assert sum(r.rows_before for r in audit) == 60 and sum(r.rows_after for r in audit) == 10
