@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from duolex.functions import arrays as A
 from duolex.functions import text as X
 from duolex.operators.encode import decode
+from duolex.operators.index import global_index
 from duolex.schemas import IGNORE, PAD
+from duolex.session import materialise
 
 MAX_ORDER = 4
 
@@ -207,19 +209,26 @@ def perplexity(losses: DataFrame, by=("run_id", "epoch"), loss="loss", rows="n_r
 
 
 def early_stop(metrics: DataFrame, threshold=0.0, patience=5, direction="min", run="run_id",
-               epoch="epoch", value="value") -> DataFrame:
+               epoch="epoch", value="value", block=10_000) -> DataFrame:
     """Epoch at which each run stops (null: never).
 
     Fold over the run's epochs: an improvement of at least ``threshold`` resets
     the counter, anything else counts up to ``patience``.  Input: one row per run
-    and epoch.
+    and epoch.  Runs longer than ``block`` epochs are folded block after block, so
+    that no task holds a whole long run.
     """
     sign = 1.0 if direction == "min" else -1.0
-    series = metrics.groupBy(run).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(epoch).alias("e"), (F.col(value) * sign).alias("v")))).alias("_s")
-    )
+    rows = metrics.select(run, F.col(epoch).cast("bigint").alias("_e"), (F.col(value) * sign).alias("_v"))
+    longest = rows.groupBy(run).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).head()[0] or 1
+    blocks = -(-longest // block)
+    if blocks == 1:
+        rows = rows.withColumn("_b", F.lit(0))
+    else:
+        rows = global_index(rows, "_e", [run], out="_i").withColumn("_b", A.div(F.col("_i"), block))
+        rows = materialise(rows, "epochs")
     start = F.struct(
-        F.lit(float("inf")).alias("low"), F.lit(0).alias("bad"), F.lit(None).cast(metrics.schema[epoch].dataType).alias("stop")
+        F.lit(float("inf")).alias("low"), F.lit(0).alias("bad"), F.lit(None).cast("bigint").alias("stop"),
+        F.lit(0).cast("bigint").alias("n"),
     )
 
     def step(acc, x):
@@ -229,9 +238,24 @@ def early_stop(metrics: DataFrame, threshold=0.0, patience=5, direction="min", r
             F.when(better, x["v"]).otherwise(acc["low"]).alias("low"),
             bad.alias("bad"),
             F.when(acc["stop"].isNull() & (bad >= patience), x["e"]).otherwise(acc["stop"]).alias("stop"),
+            (acc["n"] + 1).alias("n"),
         )
 
-    return series.select(run, F.aggregate("_s", start, step)["stop"].alias("stop_epoch"), F.size("_s").alias("n_epochs"))
+    state = None
+    for b in range(blocks):
+        series = rows.where(F.col("_b") == b).groupBy(run).agg(
+            F.array_sort(F.collect_list(F.struct(F.col("_e").alias("e"), F.col("_v").alias("v")))).alias("_l")
+        )
+        if state is None:
+            state = series.select(run, F.aggregate("_l", start, step).alias("_st"))
+            continue
+        # a run that ended in an earlier block keeps its state
+        state = materialise(state, "folded").join(series, run, "left").select(
+            run, F.when(F.col("_l").isNull(), F.col("_st")).otherwise(F.aggregate("_l", F.col("_st"), step)).alias("_st")
+        )
+    return state.select(
+        run, F.col("_st.stop").cast(metrics.schema[epoch].dataType).alias("stop_epoch"), F.col("_st.n").alias("n_epochs")
+    )
 
 
 def best_epoch(metrics: DataFrame, direction="min", run="run_id", epoch="epoch", value="value") -> DataFrame:

@@ -116,7 +116,13 @@ def test_early_stop(spark):
     df = spark.createDataFrame([(a, b, float(v)) for a, b, v in rows], "run_id int, epoch int, value double").repartition(3)
     stop = {r.run_id: r.stop_epoch for r in M.early_stop(df, 0.0, 2).collect()}
     assert stop == {1: 3, 2: None, 3: None}
+    blocks = {r.run_id: (r.stop_epoch, r.n_epochs) for r in M.early_stop(df, 0.0, 2, block=2).collect()}
+    assert blocks == {1: (3, 4), 2: (None, 3), 3: (None, 3)}
     assert {r.run_id: r.stop_epoch for r in M.early_stop(df, 1.0, 2).collect()}[2] == 2
+    rng = random.Random(5)
+    long = spark.createDataFrame([(r, e, float(rng.randint(0, 40))) for r in range(4) for e in range(5 + 9 * r)], df.schema)
+    for threshold in (0.0, 2.5):
+        assert sorted(M.early_stop(long, threshold, 3).collect()) == sorted(M.early_stop(long, threshold, 3, block=7).collect())
     rising = {r.run_id: r.stop_epoch for r in M.early_stop(df, 0.0, 2, "max").collect()}
     assert rising == {1: 2, 2: 2, 3: 2}
     best = {r.run_id: (r.best_epoch, r.best_value) for r in M.best_epoch(df).collect()}
