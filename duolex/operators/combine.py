@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from duolex.functions.arrays import div
 from duolex.operators.index import global_index
 from duolex.operators.sampling import seeded_shuffle
-from duolex.session import small_side
 
 
 def union_corpora(dfs, id_col="row_id", seed=None) -> DataFrame:
@@ -51,18 +50,18 @@ def interleave_batches(
     the last full batch of the shortest corpus are dropped.
     """
     number = F.create_map(*[x for d, l in enumerate(langs) for x in (F.lit(l), F.lit(d))])
-    df = df.where(F.col("lang").isin(*langs))
-    sizes = df.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    batches = small_side(
-        sizes.select("lang", div(F.min("n").over(W.partitionBy(F.lit(0))), batch_size).alias("_nb"))
-    )
+
+    def full_batches(sizes):
+        everything = W.partitionBy(F.lit(0))
+        shortest = F.when(F.count(F.lit(1)).over(everything) == len(langs), F.min("n").over(everything)).otherwise(0)
+        return sizes.select("lang", (div(shortest, batch_size) * batch_size).alias("k"))
+
     out = (
-        global_index(df, id_col, ["lang"], out="_idx").join(batches, "lang")
-        .where(F.col("_idx") < F.col("_nb") * batch_size)
+        global_index(df.where(F.col("lang").isin(*langs)), id_col, ["lang"], out="_idx", limits=full_batches)
         .withColumn("_d", F.try_element_at(number, F.col("lang")).cast("bigint"))
         .withColumn("batch_id", div(F.col("_idx"), batch_size) * len(langs) + F.col("_d"))
         .withColumn("slot", (F.col("_idx") % batch_size).cast("int"))
-        .drop("_idx", "_d", "_nb")
+        .drop("_idx", "_d")
     )
     if shuffle_batches:
         out = _reorder_batches(out, seed)

@@ -45,12 +45,16 @@ def bucket_offsets(counts: DataFrame, by) -> DataFrame:
     return c.join(tops, [*by, "_s"]).select(*by, "_b", "_n", (F.col("_in") + F.col("_up")).alias("_lo"))
 
 
-def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx") -> DataFrame:
+def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx", limits=None) -> DataFrame:
     """0-based position of every row inside its ``by`` group.
 
     Order: by ``id_col``, or, with a ``seed``, by (hash of id, id).  ``id_col``
-    is a unique BIGINT, not negative.  The input is read twice: for the bucket counts and for
-    the rows, which move once; the window and the join share one partitioning.
+    is a unique BIGINT, not negative.  The input is read twice: for the bucket
+    counts and for the rows, which move once; the join and the window share one
+    partitioning.
+
+    ``limits`` maps the group sizes (by.., n) to limits (by.., k): only positions
+    below ``k`` are kept, and buckets beyond it are left out before rows move.
     """
     by = list(by)
     counts = materialise(
@@ -58,13 +62,21 @@ def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx") ->
         .groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")),
         "counts",
     )
+    offsets = bucket_offsets(counts, by).drop("_n")
+    if limits is not None:
+        k = limits(counts.groupBy(*by).agg(F.sum("_n").alias("n"))).withColumnRenamed("k", "_limit")
+        offsets = offsets.join(k, by).where(F.col("_lo") < F.col("_limit"))
+    # as a table of known size it is broadcast while small; else the join shuffles
+    # by the window's keys and nothing moves twice
+    offsets = materialise(offsets, "offsets")
     rank = W.partitionBy(*by, "_b").orderBy("_k", id_col)
-    ranked = _ordered(df, by, id_col, seed).withColumn("_r", F.row_number().over(rank) - 1)
-    return (
-        ranked.join(bucket_offsets(counts, by).drop("_n"), [*by, "_b"])
-        .withColumn(out, F.col("_lo") + F.col("_r"))
-        .select(*df.columns, out)
+    ranked = (
+        _ordered(df, by, id_col, seed).join(offsets, [*by, "_b"])
+        .withColumn(out, F.col("_lo") + F.row_number().over(rank) - 1)
     )
+    if limits is not None:
+        ranked = ranked.where(F.col(out) < F.col("_limit"))
+    return ranked.select(*df.columns, out)
 
 
 def mark_first_k(df: DataFrame, limits, by, id_col, seed, out="in_sample") -> DataFrame:

@@ -119,6 +119,7 @@ def test_interleave_golden(spark):
     df = spark.createDataFrame(rows, "row_id bigint, lang string")
     out = combine.interleave_batches(df, ["a", "b", "c"], 2).orderBy("batch_id", "slot")
     assert [r.row_id for r in out.collect()] == [0, 1, 16, 17, 22, 23, 2, 3, 18, 19, 24, 25]
+    assert combine.interleave_batches(df, ["a", "b", "x"], 2).count() == 0  # a corpus without rows
     mixed = combine.interleave_batches(df, ["a", "b", "c"], 2, shuffle_batches=True, shuffle_slots=True, seed=5)
     assert ids(mixed) == ids(out)
     assert check_batch_language(mixed).count() == 0
