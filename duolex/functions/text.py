@@ -123,6 +123,11 @@ def piece_count(word: Column, specials=()) -> Column:
     return F.when(word.isin(*specials), F.lit(1)).otherwise(n) if specials else n
 
 
+def marked(pieces: Column) -> Column:
+    """Plain pieces of a word with the ``##`` prefix on all but the first."""
+    return F.transform(pieces, lambda p, i: F.when(i > 0, F.concat(F.lit("##"), p)).otherwise(p))
+
+
 def join_pieces(pieces: Column) -> Column:
     """Words separated by one blank, continuation pieces glued on."""
     return F.replace(F.array_join(pieces, " "), F.lit(" ##"), F.lit(""))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 from duolex.functions import arrays as A
 from duolex.functions import text as X
+from duolex.operators.index import top_k
 from duolex.schemas import BOS, EOS, IGNORE, PAD, UNK, lang_start
 
 INLINE_LIMIT = 1_000_000
+HOT_WORDS = 10_000
 SALTS = 16
 
 
@@ -99,13 +101,8 @@ def lookup_tokens(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="r
     return _settled(df, col).withColumn(out, _to_tokens(tokens)(F.col(col)))
 
 
-def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
-    """Adds input_ids, attention_mask, word_ids for an array of words."""
-    df = df.withColumn("_words", words)
-    pieces = F.flatten(F.transform(F.col("_words"), lambda w: X.word_pieces(w, specials)))
-    owner = F.flatten(
-        F.transform(F.col("_words"), lambda w, i: F.array_repeat(i.cast("int"), X.piece_count(w, specials)))
-    )
+def _framed(df, pieces: Column, owner: Column, vocab, max_length, id_col):
+    """Adds input_ids, attention_mask, word_ids for pieces and their word numbers."""
     if max_length is not None:
         pieces, owner = A.take(pieces, F.lit(max_length - 2)), A.take(owner, F.lit(max_length - 2))
     df = df.withColumn("_pieces", pieces).withColumn("_owner", owner).drop("_words")
@@ -118,6 +115,14 @@ def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
     return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
+def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
+    pieces = F.flatten(F.transform(F.col("_words"), lambda w: X.word_pieces(w, specials)))
+    owner = F.flatten(
+        F.transform(F.col("_words"), lambda w, i: F.array_repeat(i.cast("int"), X.piece_count(w, specials)))
+    )
+    return _framed(df.withColumn("_words", words), pieces, owner, vocab, max_length, id_col)
+
+
 def pad_encoded(df: DataFrame, padding, length=None) -> DataFrame:
     """padding: None, 'max' (to ``length``; longer rows stay), or 'longest' (to the
     longest row of the batch, column ``batch_id``)."""
@@ -154,6 +159,31 @@ def encode_pretokenized(df: DataFrame, vocab: DataFrame, col="tokens", max_lengt
     return _encode_words(df, lower, vocab, max_length, id_col)
 
 
+def encode_learned(df: DataFrame, segments: DataFrame, vocab: DataFrame, col="text", max_length=None,
+                   id_col="row_id") -> DataFrame:
+    """As ``encode``, with words cut as ``segments`` (word, n, pieces) says; unknown
+    words stay whole.
+
+    The ``HOT_WORDS`` most frequent words are broadcast, so a word that makes up a
+    large share of the text is never shuffled; the others join by word.
+    """
+    words = df.select(id_col, F.posexplode(X.words(F.col(col))).alias("_p", "word"))
+    hot = F.broadcast(top_k(segments, [], F.desc("n"), "word", HOT_WORDS).select("word", "pieces"))
+    near = words.join(hot, "word").select(id_col, "_p", "pieces")
+    far = words.join(hot, "word", "left_anti").join(segments.select("word", "pieces"), "word", "left").select(
+        id_col, "_p", F.coalesce("pieces", F.array("word")).alias("pieces")
+    )
+    cut = near.unionByName(far).groupBy(id_col).agg(
+        F.array_sort(F.collect_list(F.struct("_p", "pieces"))).alias("_l")
+    ).select(id_col, F.col("_l.pieces").alias("_words"))
+    rows = df.join(cut, id_col, "left").withColumn(
+        "_words", F.coalesce("_words", F.array().cast("array<array<string>>"))
+    )
+    pieces = F.flatten(F.transform("_words", lambda p: X.marked(p)))
+    owner = F.flatten(F.transform("_words", lambda p, i: F.array_repeat(i.cast("int"), F.size(p))))
+    return _framed(rows, pieces, owner, vocab, max_length, id_col)
+
+
 def lang_to_id(df: DataFrame, vocab: DataFrame, langs, col="lang", out="lang_id") -> DataFrame:
     """Language word to its vocabulary id: one small map, as the words are few and fixed."""
     ids = vocab.where(F.col("token").isin(*langs)).select(

@@ -25,10 +25,14 @@ def add_special_tokens(spark, langs) -> DataFrame:
 
 
 def learn_vocab(counts: DataFrame, size: int, langs) -> DataFrame:
-    """Specials, then the most frequent pieces (ties by piece) up to ``size`` rows."""
+    """Specials, then the most frequent pieces (ties by piece) up to ``size`` rows.
+
+    Words are cut into pieces of fixed length, or as their column ``pieces`` says.
+    """
     specials = special_tokens(langs)
+    cut = X.marked(F.col("pieces")) if "pieces" in counts.columns else X.word_pieces(F.col("word"))
     pieces = (
-        counts.select(F.explode(X.word_pieces(F.col("word"))).alias("token"), "n")
+        counts.select(F.explode(cut).alias("token"), "n")
         .groupBy("token").agg(F.sum("n").alias("n"))
         .where(~F.col("token").isin(*[t for _, t, _ in specials]))
     )

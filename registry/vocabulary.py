@@ -71,29 +71,65 @@ def add_special_tokens_query(spark, sf):
 MERGES = 12
 
 
-def _bpe_sql(n):
+def _bpe_ctes(n):
     """The merges one by one: symbols stand between the marks chr(1) and chr(2)."""
     ctes = [
         f"w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM documents) GROUP BY word)",
-        "s0 AS MATERIALIZED (SELECT n, regexp_replace(word, '([\\s\\S])', chr(1) || '\\1' || chr(2), 'g') AS y FROM w)",
+        "s0 AS MATERIALIZED (SELECT word, n, regexp_replace(word, '([\\s\\S])', chr(1) || '\\1' || chr(2), 'g') AS y FROM w)",
     ]
     for i in range(n):
         ctes += [
             f"p{i} AS (SELECT n, string_split(substr(y, 2, length(y) - 2), chr(2) || chr(1)) AS l FROM s{i})",
             f"q{i} AS (SELECT n, unnest(l[:-2]) AS a, unnest(l[2:]) AS b FROM p{i} WHERE len(l) > 1)",
             f"m{i} AS MATERIALIZED (SELECT {i + 1} AS rank, a, b FROM q{i} GROUP BY a, b ORDER BY sum(n) DESC, a, b LIMIT 1)",
-            f"s{i + 1} AS MATERIALIZED (SELECT n, replace(y, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)) AS y FROM s{i}, m{i})",
+            f"s{i + 1} AS MATERIALIZED (SELECT word, n, replace(y, chr(1) || a || chr(2) || chr(1) || b || chr(2), chr(1) || a || b || chr(2)) AS y FROM s{i}, m{i})",
         ]
-    union = " UNION ALL ".join(f"SELECT rank, a AS left, b AS right FROM m{i}" for i in range(n))
-    return f"WITH {', '.join(ctes)} {union}"
+    ctes.append(f"seg AS (SELECT word, n, string_split(substr(y, 2, length(y) - 2), chr(2) || chr(1)) AS pieces FROM s{n})")
+    return ", ".join(ctes)
+
+
+def _bpe_sql(n):
+    union = " UNION ALL ".join(f'SELECT rank, a AS "left", b AS "right" FROM m{i}' for i in range(n))
+    return f"WITH {_bpe_ctes(n)} {union}"
 
 
-@query("learn_bpe_merges", _bpe_sql(MERGES).replace('AS left', 'AS "left"').replace('AS right', 'AS "right"'))
+@query("learn_bpe_merges", _bpe_sql(MERGES))
 def learn_bpe_query(spark, sf):
     merges, _ = learn_bpe_merges(word_counts(docs(spark, sf)), MERGES)
     return merges
 
 
+def _special_values():
+    return ", ".join(f"({i}, '{t}', {s})" for i, t, s in special_rows())
+
+
+def _known():
+    return ", ".join(f"'{t}'" for _, t, _ in special_rows())
+
+
+@query("encode_learned", f"""
+WITH {_bpe_ctes(MERGES)},
+pc AS (SELECT word, n, unnest(pieces) AS piece, unnest(range(0, len(pieces))) AS k FROM seg),
+pm AS (SELECT word, n, k, CASE WHEN k > 0 THEN '##' ELSE '' END || piece AS piece FROM pc),
+pt AS (SELECT piece, sum(n) AS n FROM pm WHERE piece NOT IN ({_known()}) GROUP BY piece ORDER BY n DESC, piece LIMIT {VOCAB - N_SPECIAL}),
+vocab AS (SELECT * FROM (VALUES {_special_values()}) AS t(token_id, token, is_special)
+          UNION ALL SELECT {N_SPECIAL - 1} + row_number() OVER (ORDER BY n DESC, piece), piece, false FROM pt),
+dl AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
+dw AS (SELECT row_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS wi FROM dl),
+di AS (SELECT row_id, wi, k, coalesce(token_id, 3) AS id FROM dw JOIN pm USING (word) LEFT JOIN vocab ON piece = token),
+dg AS (SELECT row_id, list(id ORDER BY wi, k) AS ids, list(wi ORDER BY wi, k) AS owner FROM di GROUP BY row_id)
+SELECT row_id, {joined_sql(framed_sql('coalesce(ids, [])', LENGTH))} AS input_ids,
+       {joined_sql(f'coalesce(owner, [])[1:{LENGTH - 2}]')} AS word_ids
+FROM dl LEFT JOIN dg USING (row_id)""")
+def encode_learned(spark, sf):
+    _, segments = learn_bpe_merges(word_counts(docs(spark, sf)), MERGES)
+    segments = materialise(segments, "segments")
+    vocab = materialise(learn_vocab(segments, VOCAB, LANGS), "vocab")
+    out = E.encode_learned(docs(spark, sf), segments, vocab, max_length=LENGTH)
+    inner = F.filter("word_ids", lambda w: w.isNotNull())
+    return shown(out.withColumn("word_ids", inner), "row_id", "input_ids", "word_ids")
+
+
 ATTENTION = "list_transform({0}, lambda z: 1)"
 
 

@@ -90,6 +90,27 @@ def test_encode(spark, vocab):
     assert 2 not in plain[1:-1] and known == [0, 2, *ids(vocab, "a"), 2]
 
 
+def test_encode_with_learned_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(0, "low lower lowest low"), (1, ""), (2, "newer low")], "row_id bigint, text string")
+    merges, words = learn_bpe_merges(word_counts(df), 4)
+    vocab = learn_vocab(words, 60, LANGS)
+    known = {r.word: r.pieces for r in words.collect()}
+    ids_of = {r.token: r.token_id for r in vocab.collect()}
+
+    def want(text):
+        out = [0]
+        for w in text.split():
+            out += [ids_of[("##" if k else "") + p] for k, p in enumerate(known[w])]
+        return out + [2]
+
+    for hot in (10_000, 1):
+        monkeypatch.setattr(E, "HOT_WORDS", hot)
+        got = {r.row_id: r for r in E.encode_learned(df, words, vocab).collect()}
+        assert got[0].input_ids == want("low lower lowest low") and got[1].input_ids == [0, 2]
+        assert [w for w in got[2].word_ids if w is not None] == [0] * len(known["newer"]) + [1] * len(known["low"])
+    assert E.decode(E.encode_learned(df, words, vocab), vocab).where("row_id = 0").first().text == "low lower lowest low"
+
+
 def test_encode_padding(spark, vocab):
     df = spark.createDataFrame([(0, 0, "a a a a"), (1, 0, "a"), (2, 1, "a a")], "row_id bigint, batch_id bigint, text string")
     a = ids(vocab, "a")[0]
