@@ -48,9 +48,24 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_WRITTEN = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")
+    _WRITTEN.append(path)
+    return path
+
+
+def drop_stage_tables(spark: SparkSession) -> int:
+    """Delete what this process wrote below the shared folder.  Call it when the
+    results are saved: tables that read from there are lost."""
+    hadoop, deleted = spark._jvm.org.apache.hadoop.fs, 0
+    while _WRITTEN:
+        path = hadoop.Path(_WRITTEN.pop())
+        deleted += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return deleted
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from duolex.operators.frequency import token_probabilities
-from duolex.session import shared_dir, small_side, work_path
+from duolex.session import drop_stage_tables, materialise, shared_dir, small_side, work_path
 from duolex.sources import corpora as C
 from duolex.sources import sinks
 
@@ -108,6 +108,15 @@ def test_shared_folder_is_read_from_the_session():
     assert shared_dir(local) == local.own == shared_dir(local)
 
 
+def test_stage_tables_can_be_dropped(spark):
+    drop_stage_tables(spark)
+    table = materialise(spark.range(5), "t")
+    path = table.inputFiles()[0].replace("file:", "").rsplit("/", 1)[0]
+    assert table.count() == 5 and os.path.exists(path)
+    assert drop_stage_tables(spark) == 1 and not os.path.exists(path)
+    assert drop_stage_tables(spark) == 0
+
+
 def test_small_side_checks_the_size(spark):
     df = spark.range(50)
     assert "broadcast" in small_side(df, 50)._jdf.queryExecution().logical().toString().lower()
