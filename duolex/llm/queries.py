@@ -1,8 +1,8 @@
 """The registered queries of this folder, each over its whole table."""
 
-from pyspark.sql import functions as F
+import public_tokenizers
 
-from duolex.llm import decontamination, mixing, sharding
+from duolex.llm import decontamination, host_rules, language_id, mixing, sharding, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -37,3 +37,19 @@ def op7_extendible_shards(spark, sf_dir):
 @query("op9_decontamination", decontamination.DECONTAMINATION_SQL)
 def op9_decontamination(spark, sf_dir):
     return decontamination.contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op6_host_rules", host_rules.HOST_SQL)
+def op6_host_rules(spark, sf_dir):
+    judged = host_rules.judge_by_host(table(spark, sf_dir, "documents"))
+    return judged.select("doc_id", *host_rules.MEASURES, "base_failed", "kept")
+
+
+@query("op8_token_counts")
+def op8_token_counts(spark, sf_dir):
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark, sf_dir):
+    return language_id.identify_languages(table(spark, sf_dir, "documents"))
