@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from duolex.llm import decontamination, host_rules, language_id, mixing, sharding, token_counts
+from duolex.llm import decontamination, host_rules, language_id, mixing, sharding, suffix_dedup, token_counts
 
 QUERIES, ORACLES = {}, {}
 
@@ -53,3 +53,8 @@ def op8_token_counts(spark, sf_dir):
 @query("op10_language_id")
 def op10_language_id(spark, sf_dir):
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
+
+
+@query("op1_suffix_dedup")
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
