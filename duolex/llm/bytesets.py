@@ -57,7 +57,7 @@ class Powers:
 
     def upto(self, n):
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n += -n % (1 << 18)
             for name, base in (("up", BASE), ("down", UNBASE)):
                 powers = np.full(n, base, np.uint64)
                 powers[0] = 1

@@ -27,7 +27,7 @@ ANCHOR = 12
 NO_ID = (1 << 63) - 1  # null ids come after all others
 POSITION = 28  # bits
 PIECE = 4 << 20  # long texts are cut into overlapping pieces of this size
-UNIT = 16 << 20  # bytes of text whose runs are compared before they are sent
+UNIT = 8 << 20  # bytes of text whose runs are compared before they are sent
 BATCH = 1 << 16  # suffixes
 
 
@@ -106,6 +106,16 @@ def split_by(keys):
     return zip(values.tolist(), np.split(order, first[1:]))
 
 
+def text_rows(slices, n_buckets):
+    """(bucket, blob) of whole texts: ids, null flags, sizes, bytes."""
+    parts = {}
+    for data, offsets, ids, nulls in slices:
+        for bucket, i in split_by(ids % n_buckets):
+            parts.setdefault(bucket, []).append((ids[i], nulls[i], np.diff(offsets)[i], gathered(data, offsets[i], offsets[i + 1])))
+    for bucket, pieces in parts.items():
+        yield bucket, packed(*(np.concatenate(x) for x in zip(*pieces)))
+
+
 def hit_rows(ids, starts, ends, prints, n_buckets):
     for bucket, i in split_by(ids % n_buckets):
         yield bucket, packed(ids[i], starts[i], (ends - starts)[i].astype(np.int32), prints[i].astype(np.uint32))
@@ -259,7 +269,7 @@ def removed_mask(data, offsets, ids, hits, powers):
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, shard_bytes=3 << 20, with_kept=False) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, shard_bytes=3 << 19, with_kept=False) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]).
 
     Every byte goes that a string of ``length`` bytes covers which also starts in
@@ -312,6 +322,25 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
 
+    def send_texts(batches):
+        unit, size = [], 0
+
+        def flushed():
+            rows = list(zip(*text_rows(unit, n_shards)))
+            return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary())], names=["bucket", "text_blob"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            nulls = batch.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+            for first, last, data, offsets in text_slices(batch):
+                unit.append((data, offsets, ids[first:last], nulls[first:last]))
+                size += len(data)
+                if size > UNIT:
+                    yield flushed()
+                    unit, size = [], 0
+        if unit:
+            yield flushed()
+
     def finish(texts, found):
         powers = Powers()
         parts = [unpacked(b) for b in found.column("blob").to_pylist()] or [unpacked(packed(*[np.zeros(0, t) for t in ("<i8", "<i8", "<i4", "<u4")]))]
@@ -319,23 +348,23 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
         order = np.argsort(hits[0], kind="stable")
         hits = [h[order] for h in hits]
         out = []
-        for batch in texts.combine_chunks().to_batches():
-            ids = batch.column(batch.schema.get_field_index("id_")).to_numpy(zero_copy_only=False)
-            doc_ids = batch.column(batch.schema.get_field_index("doc_id"))
-            for first, last, data, offsets in text_slices(batch):
-                gone = removed_mask(data, offsets, ids[first:last], hits, powers)
-                opens = gone.copy()
-                opens[1:] &= ~gone[:-1]
-                at_row = offsets[:-1][offsets[:-1] < len(data)]
-                opens[at_row] = gone[at_row]
-                kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                columns = [doc_ids.slice(first, last - first), pa.array(np.diff(offsets)), pa.array(per_row(gone, offsets)),
-                           pa.array(per_row(opens, offsets)), pa.array([hashlib.sha256(k).hexdigest() for k in kept])]
-                out.append(pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_kept, names=names))
-        return pa.Table.from_batches(out)
+        for blob in texts.column("text_blob").to_pylist():
+            ids, nulls, sizes, data = unpacked(blob)
+            offsets = np.append(0, np.cumsum(sizes))
+            gone = removed_mask(data, offsets, ids, hits, powers)
+            opens = gone.copy()
+            opens[1:] &= ~gone[:-1]
+            at_row = offsets[:-1][offsets[:-1] < len(data)]
+            opens[at_row] = gone[at_row]
+            kept = [data[a:b][~gone[a:b]].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            columns = [pa.array(ids, mask=nulls.astype(bool)), pa.array(sizes), pa.array(per_row(gone, offsets)),
+                       pa.array(per_row(opens, offsets)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            out.append(pa.RecordBatch.from_arrays(columns + [pa.array(kept, pa.binary())] * with_kept, names=names))
+        kinds = [pa.int64()] * 4 + [pa.string()] + [pa.binary()] * with_kept
+        return pa.Table.from_batches(out, pa.schema(list(zip(names, kinds))))
 
     sent = narrow.select("id_", "text").mapInArrow(send, "shard bigint, bucket bigint, blob binary")
     hits = sent.groupBy("shard").applyInArrow(index, "bucket bigint, blob binary")
-    grouped = narrow.withColumn("bucket", F.pmod("id_", F.lit(n_shards)))
+    texts = narrow.select("id_", "text", F.col("doc_id").isNull()).mapInArrow(send_texts, "bucket bigint, text_blob binary")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + ", kept binary" * with_kept
-    return grouped.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(finish, schema)
+    return texts.groupBy("bucket").cogroup(hits.groupBy("bucket")).applyInArrow(finish, schema)
