@@ -11,7 +11,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolex.session import small_side
+from duolex.session import materialise, small_side
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -119,7 +119,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key="doc_id", **
     """``docs`` without the documents that share a window with an item.  Rows with
     a null id stay unless their own text is hit in some row with a null id."""
     hit = find_hits(docs, benchmark, key=key, **options).where("n_hit > 0").select(F.col("doc_id").alias("hit_")).distinct()
-    return docs.join(hit, F.col(key).eqNullSafe(F.col("hit_")), "left_anti")
+    return docs.join(small_side(materialise(hit, "hits")), F.col(key).eqNullSafe(F.col("hit_")), "left_anti")
 
 
 def mask_spans(docs: DataFrame, benchmark: DataFrame, *, key="doc_id", text="text", **options) -> DataFrame:

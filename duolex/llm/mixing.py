@@ -102,8 +102,25 @@ def hash_thresholds(sized: DataFrame, owed: DataFrame) -> DataFrame:
     return done
 
 
-def mix_sources(docs: DataFrame, *, key="doc_id", source="source", size=None, weights=(5, 2, 1), budget=1.0,
-                max_repeat=3, seed=11) -> DataFrame:
+def mix_plan(sized: DataFrame, *, weights=(5, 2, 1), budget=1.0, max_repeat=3) -> DataFrame:
+    """(source, size, h) rows to one row per source: (s_, source_size_, target_,
+    epochs_, threshold_).  Every document is taken ``epochs_`` times, those below
+    the threshold once more."""
+    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = source_targets(sizes, weights, budget, max_repeat)
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
+    targets = targets.withColumn("epochs", epochs).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
+    targets = materialise(targets, "mix-targets")
+    cuts = hash_thresholds(sized, targets.where("part > 0").select("source", "part"))
+    return targets.join(cuts.select(F.col("source").alias("s"), "threshold"), F.col("source").eqNullSafe(F.col("s")), "left").select(
+        F.col("source").alias("s_"), F.col("source_size").alias("source_size_"), F.col("target").alias("target_"),
+        F.col("epochs").alias("epochs_"), F.coalesce("threshold", F.lit(0)).alias("threshold_"))
+
+
+COPIES = F.col("epochs_") + F.when(F.col("h_") < F.col("threshold_"), F.lit(1)).otherwise(F.lit(0))
+
+
+def mix_sources(docs: DataFrame, *, key="doc_id", source="source", size=None, seed=11, **options) -> DataFrame:
     """One row per document: (doc_id, source, size, source_size, target, copies, taken).
 
     ``size`` is a column, default the number of words of ``text``.  ``copies``
@@ -118,20 +135,25 @@ def mix_sources(docs: DataFrame, *, key="doc_id", source="source", size=None, we
         docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), key_hash(key, seed).alias("h")),
         "mix-sized",
     )
-    sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, budget, max_repeat)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("bigint")
-    targets = targets.withColumn("epochs", epochs).withColumn("part", F.col("target") - F.col("epochs") * F.col("source_size"))
-    targets = materialise(targets, "mix-targets")
-    cuts = hash_thresholds(sized, targets.where("part > 0").select("source", "part"))
-    plan = (
-        targets.join(cuts.select(F.col("source").alias("s"), "threshold"), F.col("source").eqNullSafe(F.col("s")), "left")
-        .select(F.col("source").alias("s"), "source_size", "target", "epochs", F.coalesce("threshold", F.lit(0)).alias("threshold"))
+    return (
+        sized.withColumnRenamed("h", "h_").join(small_side(mix_plan(sized, **options)), F.col("source").eqNullSafe(F.col("s_")))
+        .withColumn("copies", COPIES)
+        .select("doc_id", "source", "size", F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), "copies",
+                (F.col("copies") * F.col("size")).alias("taken"))
     )
+
+
+def mix_documents(docs: DataFrame, *, key="doc_id", source="source", size=None, seed=11, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs``, each as often as it is taken.  Texts
+    stay in their partition, as the decision needs only a row's id and source."""
+    size = word_count("text") if size is None else size
+    sized = materialise(docs.select(F.col(source).alias("source"), size.alias("size"), key_hash(key, seed).alias("h")), "mix-sized")
+    names = docs.columns
     return (
-        sized.join(small_side(plan), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("copies", F.col("epochs") + F.when(F.col("h") < F.col("threshold"), F.lit(1)).otherwise(F.lit(0)))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        docs.select(F.struct(*names).alias("row_"), F.col(source).alias("source_"), key_hash(key, seed).alias("h_"))
+        .join(small_side(mix_plan(sized, **options)), F.col("source_").eqNullSafe(F.col("s_")))
+        .select("row_", F.explode(F.array_repeat(F.lit(1), COPIES.cast("int"))))
+        .select(*[F.col("row_").getField(n).alias(n) for n in names])
     )
 
 

@@ -2,7 +2,7 @@
 
 import public_tokenizers
 
-from duolex.llm import decontamination, host_rules, language_id, mixing, sharding, suffix_dedup, token_counts
+from duolex.llm import decontamination, host_rules, language_id, minhash, mixing, sharding, suffix_dedup, token_counts, toxicity, warc
 
 QUERIES, ORACLES = {}, {}
 
@@ -58,3 +58,21 @@ def op10_language_id(spark, sf_dir):
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark, sf_dir):
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op3_near_duplicates")
+def op3_near_duplicates(spark, sf_dir):
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op4_warc_derivatives")
+def op4_warc_derivatives(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return warc.derivatives(warc.responses_from_pages(pages))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.ToxicityModel(docs, table(spark, sf_dir, "labels")).score(docs)
