@@ -117,7 +117,8 @@ def mix_plan(sized: DataFrame, *, weights=(5, 2, 1), budget=1.0, max_repeat=3) -
         F.col("epochs").alias("epochs_"), F.coalesce("threshold", F.lit(0)).alias("threshold_"))
 
 
-COPIES = F.col("epochs_") + F.when(F.col("h_") < F.col("threshold_"), F.lit(1)).otherwise(F.lit(0))
+def copies_of_row():
+    return F.col("epochs_") + F.when(F.col("h_") < F.col("threshold_"), F.lit(1)).otherwise(F.lit(0))
 
 
 def mix_sources(docs: DataFrame, *, key="doc_id", source="source", size=None, seed=11, **options) -> DataFrame:
@@ -137,7 +138,7 @@ def mix_sources(docs: DataFrame, *, key="doc_id", source="source", size=None, se
     )
     return (
         sized.withColumnRenamed("h", "h_").join(small_side(mix_plan(sized, **options)), F.col("source").eqNullSafe(F.col("s_")))
-        .withColumn("copies", COPIES)
+        .withColumn("copies", copies_of_row())
         .select("doc_id", "source", "size", F.col("source_size_").alias("source_size"), F.col("target_").alias("target"), "copies",
                 (F.col("copies") * F.col("size")).alias("taken"))
     )
@@ -152,7 +153,7 @@ def mix_documents(docs: DataFrame, *, key="doc_id", source="source", size=None,
     return (
         docs.select(F.struct(*names).alias("row_"), F.col(source).alias("source_"), key_hash(key, seed).alias("h_"))
         .join(small_side(mix_plan(sized, **options)), F.col("source_").eqNullSafe(F.col("s_")))
-        .select("row_", F.explode(F.array_repeat(F.lit(1), COPIES.cast("int"))))
+        .select("row_", F.explode(F.array_repeat(F.lit(1), copies_of_row().cast("int"))))
         .select(*[F.col("row_").getField(n).alias(n) for n in names])
     )
 
