@@ -5,11 +5,13 @@ second one orders the circle; turned by 1, 2, 3 .. steps, that second permutatio
 gives all signature coordinates.  Bands of the signature name candidates.  Every
 link is confirmed on the full shingle sets of the two texts.
 
-Copies with the same words are one node.  A bucket is never paired with itself:
-its heaviest members are compared with those members that are not yet in the
-same group, then leave the bucket, until what is left of it lies in one group.
-So a bucket of thousands of near copies costs one comparison each, and no link
-between different groups is left out.
+Copies with the same words are one node.  Shingles that no other candidate has
+bound a node's similarity to all others: ``J(x, y) <= v / (|x| + |y| - v)`` with v
+the lesser number of shingles that x or y shares with anyone.  Nodes that cannot
+reach the threshold leave before any pair is made, and pairs below it are never
+emitted.  In a bucket the heaviest members are compared first with those that
+are not in their group yet; of what is then left in different groups only pairs
+within the bound are read.  No link between different groups is left out.
 """
 
 import math
@@ -21,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from duolex.llm.bytesets import BASE, LOWER, U, Powers, prefix_sums, span_prints, spread_bits, text_slices, windows, word_spans
+from duolex.llm.suffix_dedup import packed, split_by, unpacked
 from duolex.session import materialise
 
 ROWS = 5  # coordinates to a band
@@ -140,6 +143,54 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def private_shingles(texts: DataFrame, k: int, n_shingles: int) -> DataFrame:
+    """(node, u): at least so many of a node's shingles stand in no other node.
+
+    Prints of about 32 bits per shard are enough: a collision makes a shingle look
+    shared, which only loosens the bound.
+    """
+    n_shards = max(1, -(-n_shingles // (4 << 20)))
+
+    def send(batches):
+        powers, unit, size = Powers(), [], 0
+
+        def flushed():
+            prints, nodes = (np.concatenate(x) for x in zip(*unit))
+            rows = []
+            for shard, i in split_by((prints % U(n_shards)).astype(np.int64)):
+                kept = (prints[i] >> U(32)).astype(np.uint32)
+                order = np.argsort(kept, kind="stable")
+                ids, index = np.unique(nodes[i][order], return_inverse=True)
+                rows.append((shard, packed(np.diff(kept[order], prepend=np.uint32(0)), index.astype(np.uint32), ids)))
+            shards, blobs = zip(*rows) if rows else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(shards, pa.int64()), pa.array(blobs, pa.binary())], names=["shard", "blob"])
+
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, last, data, offsets in text_slices(batch, limit=SLICE):
+                rows, prints, *_ = shingles(data, offsets, k, powers)
+                unit.append((prints, ids[first:last][rows]))
+                size += len(prints)
+                if size > 1 << 20:
+                    yield flushed()
+                    unit, size = [], 0
+        if unit:
+            yield flushed()
+
+    def count(table):
+        parts = [unpacked(b) for b in table.column("blob").to_pylist()]
+        prints = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+        nodes = np.concatenate([p[2][p[1]] for p in parts])
+        order = np.argsort(prints, kind="stable")
+        begins = np.flatnonzero(np.append(True, prints[order][1:] != prints[order][:-1]))[:len(prints)]
+        least, most = np.minimum.reduceat(nodes[order], begins), np.maximum.reduceat(nodes[order], begins)
+        ids, counts = np.unique(least[least == most], return_counts=True)
+        return pa.table({"node": pa.array(ids), "u": pa.array(counts)})
+
+    sent = texts.select("node", "text").mapInArrow(send, "shard bigint, blob binary")
+    return sent.groupBy("shard").applyInArrow(count, "node bigint, u bigint").groupBy("node").agg(F.sum("u").alias("u"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(lead, node) pairs whose texts have den * intersection >= num * union.
 
@@ -203,28 +254,42 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", words=5, num=
     nodes = materialise(full.groupBy("k1", "k2").agg(F.min("row_").alias("node")), "nodes")
     alone = full.join(nodes.select(F.col("node").alias("row_")), "row_", "left_semi")
     members = alone.select(F.explode("bands").alias("bucket"), F.col("row_").alias("node"), "n")
-    shared = members.groupBy("bucket").agg(F.count("*").alias("c"), F.min("n").alias("lo"), F.max("n").alias("hi")).where("c > 1")
-    members = materialise(members.join(shared.select("bucket", "c"), "bucket"), "buckets")
-    weight = members.groupBy("node").agg(F.sum("c").alias("w"))
-    open_ = materialise(members.join(weight, "node").select("bucket", "node", "n", "w", F.col("node").alias("comp")), "buckets")
-    wanted = open_.select("node").distinct().join(signed.select(F.col("row_").alias("node"), F.col("doc_id").alias("d_"), F.col("th").alias("t_")), "node")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    members = materialise(members.join(shared, "bucket", "left_semi"), "buckets")
+    wanted = members.select("node").distinct().join(signed.select(F.col("row_").alias("node"), F.col("doc_id").alias("d_"), F.col("th").alias("t_")), "node")
     texts = narrow.join(wanted, (F.col("th") == F.col("t_")) & F.col("doc_id").eqNullSafe(F.col("d_"))).select("node", "text").dropDuplicates(["node"])
     texts = materialise(texts, "texts")
-    roots, leads_each = None, 1
-    while not open_.isEmpty():
-        heavy = Window.partitionBy("bucket").orderBy(F.desc("w"), "node")
-        leads = open_.withColumn("k", F.row_number().over(heavy)).where(F.col("k") <= leads_each)
-        leads = leads.select("bucket", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("comp").alias("lead_comp"))
-        pairs = (
-            open_.join(leads, "bucket")
-            .where((F.col("comp") != F.col("lead_comp"))
-                   & (den * F.least("n", "lead_n") >= num * F.greatest("n", "lead_n")))
-            .select("lead", "node").distinct()
-        )
-        links = verified(materialise(pairs, "pairs"), texts, words, num, den)
+    n_all = members.select("node", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    private = materialise(private_shingles(texts, words, n_all), "private")
+    near = (
+        members.join(private, "node", "left").withColumn("v", F.col("n") - F.coalesce("u", F.lit(0))).drop("u")
+        .where(den * F.col("v") >= num * F.col("n"))
+    )
+    near = materialise(near, "buckets")
+    shared = near.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
+    near = near.join(shared, "bucket")
+    weight = near.groupBy("node").agg(F.sum("c").alias("w"))
+    open_ = materialise(near.join(weight, "node").select("bucket", "node", "n", "v", "w", F.col("node").alias("comp")), "buckets")
+    # what a pair may share at most
+    most = F.least(F.col("v"), F.col("lead_v"))
+    within = (F.col("comp") != F.col("lead_comp")) & (den * most >= num * (F.col("n") + F.col("lead_n") - most))
+    roots = None
+    for leads_each in (1, 4, None):
+        if open_.isEmpty():
+            break
+        leads = open_
+        if leads_each:
+            heavy = Window.partitionBy("bucket").orderBy(F.desc("w"), "node")
+            leads = open_.withColumn("k", F.row_number().over(heavy)).where(F.col("k") <= leads_each)
+        leads = leads.select("bucket", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("v").alias("lead_v"), F.col("comp").alias("lead_comp"))
+        wanted = within if leads_each else within & (F.col("lead") < F.col("node"))
+        pairs = materialise(open_.join(leads, (open_.bucket == leads.bucket) & wanted).select("lead", "node").distinct(), "pairs")
+        links = verified(pairs, texts, words, num, den)
         if roots is not None:
             links = links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
         roots = connected_components(links)
+        if not leads_each:
+            break
         rest = (
             open_.join(leads.select("bucket", F.col("lead").alias("node")), ["bucket", "node"], "left_anti")
             .drop("comp").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
@@ -232,7 +297,6 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", words=5, num=
         rest = materialise(rest, "buckets")
         mixed = rest.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("bucket")
         open_ = materialise(rest.join(mixed, "bucket", "left_semi"), "buckets")
-        leads_each = min(leads_each * 4, 64)
 
     placed = full.select("row_", "doc_id", "k1", "k2").join(nodes, ["k1", "k2"])
     if roots is not None:
