@@ -296,8 +296,8 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for first, last, data, offsets in text_slices(batch):
-                if len(data) > PIECE:  # one long row
+            for first, last, data, offsets in text_slices(batch, limit=PIECE // 2):
+                if last - first == 1 and len(data) > PIECE:
                     for at in range(0, len(data) - length + 1, PIECE):
                         piece = data[at:at + PIECE + length - 1]
                         unit.append((piece, np.array([0, len(piece)]), ids[first:last], np.array([at])))
