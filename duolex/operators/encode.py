@@ -116,6 +116,10 @@ def _framed(df, pieces: Column, owner: Column, vocab, max_length, id_col):
 
 
 def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
+    # a null text is an empty one; a null list would wipe the rows it is packed with
+    words = F.coalesce(words, F.array().cast("array<string>"))
+    if max_length is not None:  # a word has one piece at least
+        words = A.take(words, F.lit(max_length - 2))
     pieces = F.flatten(F.transform(F.col("_words"), lambda w: X.word_pieces(w, specials)))
     owner = F.flatten(
         F.transform(F.col("_words"), lambda w, i: F.array_repeat(i.cast("int"), X.piece_count(w, specials)))

@@ -46,11 +46,12 @@ def vocabulary(rows: DataFrame, size: int, langs) -> DataFrame:
     return materialise(learn_vocab(word_counts(rows), size, langs), "vocab")
 
 
-def masked_language_data(corpus: DataFrame, langs, vocab_size=30_000, chunk_size=512, p=0.15, seed=0) -> DataFrame:
-    """read -> clean -> filter -> balance -> encode -> pack -> mask."""
+def masked_language_data(corpus: DataFrame, langs, vocab_size=30_000, chunk_size=512, p=0.15, seed=0, max_length=None) -> DataFrame:
+    """read -> clean -> filter -> balance -> encode -> pack -> mask.  Long texts fill
+    several chunks; ``max_length`` cuts them before."""
     rows = materialise(clean_corpus(corpus, seed=seed), "clean")
     vocab = vocabulary(rows, vocab_size, langs)
-    encoded = materialise(E.encode(rows, vocab, max_length=chunk_size).drop("text"), "encoded")
+    encoded = materialise(E.encode(rows, vocab, max_length=max_length).drop("text"), "encoded")
     packed = pack_chunks(encoded, chunk_size=chunk_size)
     return whole_word_mask(packed, ["pack_group", "chunk"], p, seed, "row_ids")
 

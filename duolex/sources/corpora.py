@@ -85,18 +85,19 @@ def load_parallel_only(spark: SparkSession, root: str, langs) -> DataFrame:
     return load_text_corpus(spark, root, langs, "tok", ("valid", "test"))
 
 
-def load_json_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), schema=TEXT_JSON, row_id=None) -> DataFrame:
-    """JSON lines with ``text``."""
+def load_json_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), schema=TEXT_JSON, row_id=None,
+                     mode="FAILFAST") -> DataFrame:
+    """JSON lines with ``text``; a malformed line is an error, or left out with ``mode='DROPMALFORMED'``."""
     return _load([
-        (spark.read.schema(schema).json(corpus_path(root, lang, split, "jsonl")), lang, split)
+        (spark.read.schema(schema).json(corpus_path(root, lang, split, "jsonl"), mode=mode), lang, split)
         for lang in langs for split in splits
     ], row_id)
 
 
-def load_tagged_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), row_id=None) -> DataFrame:
+def load_tagged_corpus(spark: SparkSession, root: str, langs, splits=tuple(SPLITS), row_id=None, mode="FAILFAST") -> DataFrame:
     """JSON lines with ``tokens`` and ``tags``."""
     return _load([
-        (spark.read.schema(TAGGED_JSON).json(corpus_path(root, lang, split, "jsonl", True)), lang, split)
+        (spark.read.schema(TAGGED_JSON).json(corpus_path(root, lang, split, "jsonl", True), mode=mode), lang, split)
         for lang in langs for split in splits
     ], row_id)
 
@@ -107,14 +108,14 @@ def load_parallel_text(spark: SparkSession, root: str, lang: str, split: str, fm
     return _tag(numbered_lines(lines), lang, split)
 
 
-def load_synthetic_pairs(spark: SparkSession, root: str, src: str, tgt: str) -> DataFrame:
+def load_synthetic_pairs(spark: SparkSession, root: str, src: str, tgt: str, mode="FAILFAST") -> DataFrame:
     """(src, tgt, split): synthetic pairs to train on, whose ``generated_{tgt}`` column
     is renamed; validation and test pairs from two text files, line by line."""
     from duolex.operators.combine import hconcat_columns
 
     raw = pair_json(src, f"generated_{tgt}")
     train = (
-        spark.read.schema(raw).json(os.path.join(root, f"{src}.{tgt}.train.synthetic.jsonl"))
+        spark.read.schema(raw).json(os.path.join(root, f"{src}.{tgt}.train.synthetic.jsonl"), mode=mode)
         .withColumnRenamed(f"generated_{tgt}", tgt).withColumn("split", F.lit("train"))
     )
     parts = [train]

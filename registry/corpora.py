@@ -166,7 +166,7 @@ def load_if_cached(spark, sf):
 def top_tokens(spark, sf, k=3000):
     rows = docs(spark, sf)
     vocab = materialise(learn_vocab(word_counts(rows), VOCAB, LANGS), "vocab")
-    freq = token_frequency(encode(rows, vocab, max_length=512))
+    freq = token_frequency(encode(rows, vocab))
     return top_k_tokens(freq, vocab, k)
 
 
@@ -183,7 +183,7 @@ top AS (
 
 TOP_SQL = f"""
 {DOCS_SQL}, {vocab_sql(VOCAB)}, {encode_sql()},
-{top_sql(f"(SELECT lang, unnest({framed_sql(max_length=512)}) AS token_id FROM enc)")}"""
+{top_sql(f"(SELECT lang, unnest({framed_sql()}) AS token_id FROM enc)")}"""
 
 
 @query("write_frequency_csv", f"WITH {TOP_SQL} SELECT lang, token_id, freq, rank FROM top")

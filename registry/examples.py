@@ -67,8 +67,8 @@ P = 0.15
 
 @query("whole_word_mask", f"""
 WITH {BASE},
-x AS (SELECT row_id, {row_seed_sql(SEED, 'row_id')} AS s, {framed_sql(max_length=LENGTH)} AS x,
-             list_concat(list_concat([NULL], owner[1:{LENGTH - 2}]), [NULL]) AS o FROM enc),
+x AS (SELECT row_id, {row_seed_sql(SEED, 'row_id')} AS s, {framed_sql()} AS x,
+             list_concat(list_concat([NULL], owner), [NULL]) AS o FROM enc),
 f AS (SELECT row_id, x, list_transform(o, lambda w: w IS NOT NULL AND {mixu_sql('s', 'coalesce(w, 0)')} < {P}) AS f FROM x)
 SELECT row_id, {joined_sql('list_transform(x, lambda v, i: CASE WHEN f[i] THEN 4 ELSE v END)')} AS input_ids,
        {joined_sql('list_transform(x, lambda v, i: CASE WHEN f[i] THEN v ELSE -100 END)')} AS labels FROM f""")
@@ -90,7 +90,7 @@ def whole_word_mask_packed(spark, sf):
 
 
 TOKEN_MASK_SQL = f"""
-x AS (SELECT row_id, {row_seed_sql(SEED, 'row_id')} AS s, {framed_sql(max_length=LENGTH)} AS x FROM enc),
+x AS (SELECT row_id, {row_seed_sql(SEED, 'row_id')} AS s, {framed_sql()} AS x FROM enc),
 c AS (SELECT *, list_transform(x, lambda v, i: v NOT IN (0, 1, 2) AND {mixu_sql('s', 'i - 1')} < {P}) AS c FROM x),
 tm AS (SELECT row_id, list_transform(x, lambda v, i:
   CASE WHEN NOT c[i] THEN v
@@ -178,12 +178,12 @@ def back_translation_pairs(spark, sf):
     return shown(out, "row_id", "batch_id", "lang", "input_ids", "labels")
 
 
-@query("generate", f"WITH {BASE} SELECT row_id, {joined_sql('list_reverse(' + framed_sql(max_length=64) + ')')} AS output_ids FROM enc")
+@query("generate", f"WITH {BASE} SELECT row_id, {joined_sql('list_reverse(' + framed_sql() + ')')} AS output_ids FROM enc")
 def generate(spark, sf):
     def reverse(batch):
         return batch[["row_id"]].assign(output_ids=batch["input_ids"].map(lambda ids: ids[::-1]))
 
-    out = B.generate(encoded(spark, sf, 64)[0].select("row_id", "input_ids"), reverse, "row_id bigint, output_ids array<int>")
+    out = B.generate(encoded(spark, sf)[0].select("row_id", "input_ids"), reverse, "row_id bigint, output_ids array<int>")
     return shown(out)
 
 
@@ -209,7 +209,7 @@ def token_classification(spark, sf):
 
 
 @query("pad_gathered", f"""
-WITH {BASE}, x AS (SELECT row_id, {framed_sql(max_length=LENGTH)} AS x FROM enc), n AS (SELECT max(len(x)) AS n FROM x)
+WITH {BASE}, x AS (SELECT row_id, {framed_sql()} AS x FROM enc), n AS (SELECT max(len(x)) AS n FROM x)
 SELECT row_id, {joined_sql(padded_sql('x', 'n'))} AS predictions, {joined_sql(padded_sql('x', 'n', -100))} AS labels FROM x, n""")
 def pad_gathered_query(spark, sf):
     rows = encoded(spark, sf)[0].select(

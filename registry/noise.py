@@ -272,7 +272,7 @@ ok AS (SELECT doc_id AS row_id, lang, text FROM cl WHERE {LENGTH_OK})"""
 WITH {cleaned_sql(LANGS)},
 rk AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY {h32(SEED, 'row_id')}, row_id) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM ok),
 src AS (SELECT row_id, lang, text FROM rk WHERE i < (SELECT min(n) FROM rk)),
-{vocab_sql(VOCAB)}, {encode_sql()}, {packed_sql(R_CHUNK, 1000, R_CHUNK)},
+{vocab_sql(VOCAB)}, {encode_sql()}, {packed_sql(R_CHUNK, 1000)},
 sd AS (SELECT *, {row_seed_sql(SEED, 'pack_group', 'chunk')} AS s FROM chunks),
 fl AS (SELECT pack_group, chunk, ids, list_transform(ws, lambda w, i: w IS NOT NULL
         AND {mixu_sql('xor(s, rs[i] & 2147483647)', 'coalesce(w, 0)')} < 0.15) AS f FROM sd)

@@ -26,7 +26,7 @@ def vocabulary(spark, sf):
     return materialise(learn_vocab(word_counts(docs(spark, sf)), VOCAB, LANGS), "vocab")
 
 
-def encoded(spark, sf, max_length=LENGTH, padding=None):
+def encoded(spark, sf, max_length=None, padding=None):
     vocab = vocabulary(spark, sf)
     return E.encode(docs(spark, sf), vocab, max_length=max_length, padding=padding).drop("text"), vocab
 
@@ -118,14 +118,14 @@ dl AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '{WORD}') AS ws
 dw AS (SELECT row_id, unnest(ws) AS word, unnest(range(0, len(ws))) AS wi FROM dl),
 di AS (SELECT row_id, wi, k, coalesce(token_id, 3) AS id FROM dw JOIN pm USING (word) LEFT JOIN vocab ON piece = token),
 dg AS (SELECT row_id, list(id ORDER BY wi, k) AS ids, list(wi ORDER BY wi, k) AS owner FROM di GROUP BY row_id)
-SELECT row_id, {joined_sql(framed_sql('coalesce(ids, [])', LENGTH))} AS input_ids,
-       {joined_sql(f'coalesce(owner, [])[1:{LENGTH - 2}]')} AS word_ids
+SELECT row_id, {joined_sql(framed_sql('coalesce(ids, [])'))} AS input_ids,
+       {joined_sql('coalesce(owner, [])')} AS word_ids
 FROM dl LEFT JOIN dg USING (row_id)""")
 def encode_learned(spark, sf):
     _, segments = learn_bpe_merges(word_counts(docs(spark, sf)), MERGES)
     segments = materialise(segments, "segments")
     vocab = materialise(learn_vocab(segments, VOCAB, LANGS), "vocab")
-    out = E.encode_learned(docs(spark, sf), segments, vocab, max_length=LENGTH)
+    out = E.encode_learned(docs(spark, sf), segments, vocab)
     inner = F.filter("word_ids", lambda w: w.isNotNull())
     return shown(out.withColumn("word_ids", inner), "row_id", "input_ids", "word_ids")
 
@@ -153,18 +153,18 @@ def encode_truncated(spark, sf):
 
 @query("encode_by_join", f"""
 WITH {BASE}
-SELECT row_id, {joined_sql(framed_sql(max_length=LENGTH))} AS input_ids FROM enc""")
+SELECT row_id, {joined_sql(framed_sql())} AS input_ids FROM enc""")
 def encode_by_join(spark, sf):
     """The way beyond the size at which a vocabulary is shipped to the tasks."""
     vocab = vocabulary(spark, sf)
     limit, E.INLINE_LIMIT = E.INLINE_LIMIT, 100
     try:
-        return shown(E.encode(docs(spark, sf), vocab, max_length=LENGTH), "row_id", "input_ids")
+        return shown(E.encode(docs(spark, sf), vocab), "row_id", "input_ids")
     finally:
         E.INLINE_LIMIT = limit
 
 
-PADDED = padded_sql(framed_sql(max_length=LENGTH), LENGTH)
+PADDED = padded_sql(framed_sql(), LENGTH)
 
 
 @query("encode_padded_max", f"""
@@ -247,7 +247,7 @@ def encode_pairs(spark, sf):
 
 
 @query("decode", f"""
-WITH {BASE}, t AS (SELECT row_id, unnest(ids[1:{LENGTH - 2}]) AS token_id, unnest(range(0, len(ids[1:{LENGTH - 2}]))) AS i FROM enc),
+WITH {BASE}, t AS (SELECT row_id, unnest(ids) AS token_id, unnest(range(0, len(ids))) AS i FROM enc),
 d AS (SELECT row_id, string_agg(token, ' ' ORDER BY i) AS text FROM t JOIN vocab USING (token_id) WHERE NOT is_special GROUP BY row_id)
 SELECT row_id, coalesce(replace(text, ' ##', ''), '') AS text FROM enc LEFT JOIN d USING (row_id)""")
 def decode(spark, sf):
@@ -264,12 +264,12 @@ def packed(spark, sf):
     return pack_chunks(materialise(rows, "encoded"), chunk_size=CHUNK, group_rows=GROUP), vocab
 
 
-def packed_sql(chunk, group, max_length):
+def packed_sql(chunk, group):
     """CTEs from ``enc`` to ``chunks``, token by token."""
     return f"""
 f AS (SELECT row_id, (row_number() OVER (ORDER BY row_id) - 1) // {group} AS pack_group,
-             {framed_sql(max_length=max_length)} AS x,
-             list_concat(list_concat([NULL], owner[1:{max_length - 2}]), [NULL]) AS o FROM enc),
+             {framed_sql()} AS x,
+             list_concat(list_concat([NULL], owner), [NULL]) AS o FROM enc),
 e AS (SELECT row_id, pack_group, unnest(x) AS id, unnest(o) AS w, unnest(range(0, len(x))) AS i FROM f),
 c AS (SELECT *, row_number() OVER (PARTITION BY pack_group ORDER BY row_id, i) - 1 AS p,
              count(*) OVER (PARTITION BY pack_group) AS total FROM e),
@@ -278,7 +278,7 @@ chunks AS (SELECT pack_group, p // {chunk} AS chunk, list(id ORDER BY p) AS ids,
                   list(row_id ORDER BY p) AS rs FROM k GROUP BY ALL)"""
 
 
-PACKED_SQL = packed_sql(CHUNK, GROUP, LENGTH)
+PACKED_SQL = packed_sql(CHUNK, GROUP)
 
 
 @query("pack_chunks", f"""
@@ -293,7 +293,7 @@ def pack_chunks_query(spark, sf):
 @query("token_frequency", f"""
 WITH {BASE}
 SELECT CASE lang WHEN 'en' THEN 'en' ELSE 'other' END AS lang, token_id, count(*) AS freq
-FROM (SELECT lang, unnest({framed_sql(max_length=LENGTH)}) AS token_id FROM enc) GROUP BY ALL""")
+FROM (SELECT lang, unnest({framed_sql()}) AS token_id FROM enc) GROUP BY ALL""")
 def token_frequency(spark, sf):
     return Q.token_frequency(encoded(spark, sf)[0], "en")
 
@@ -329,6 +329,6 @@ def token_probabilities(spark, sf):
 
 
 @query("distinct_lengths", f"""
-WITH {BASE} SELECT DISTINCT len({framed_sql(max_length=LENGTH)}) AS length FROM enc""")
+WITH {BASE} SELECT DISTINCT len({framed_sql()}) AS length FROM enc""")
 def distinct_lengths_query(spark, sf):
     return distinct_lengths(encoded(spark, sf)[0])

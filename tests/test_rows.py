@@ -159,3 +159,21 @@ def test_batches(spark, corpus):
     wide = {r.row_id: r.labels for r in pad_gathered(rows, {"labels": -100}).collect()}
     assert wide[2] == [6, -100]
     assert pad_batches(rows.withColumn("batch_id", F.lit(1)), {"labels": -100}).where("size(labels) <> 2").count() == 0
+
+
+def test_null_row_keeps_its_neighbours(spark):
+    """A null text in the middle of a pack group is an empty one through encode, pack and mask."""
+    from duolex.operators import encode as E
+    from duolex.operators.masking import whole_word_mask
+    from duolex.operators.pack import pack_chunks
+    from duolex.operators.vocab import learn_vocab, word_counts
+
+    rows = [(0, "en", "red green blue"), (1, "en", None), (2, "en", "blue red")]
+    df = spark.createDataFrame(rows, "row_id bigint, lang string, text string")
+    vocab = learn_vocab(word_counts(df), 50, ["en"])
+    out = E.encode(df, vocab).orderBy("row_id").collect()
+    assert list(out[1].input_ids) == [0, 2] and list(out[1].word_ids) == [None, None]
+    chunks = whole_word_mask(pack_chunks(E.encode(df, vocab), chunk_size=100), ["pack_group", "chunk"], 0.5, 1, "row_ids").collect()
+    assert len(chunks) == 1 and len(chunks[0].input_ids) == sum(len(r.input_ids) for r in out) == len(chunks[0].labels)
+    cut = E.encode(df, vocab, max_length=4).orderBy("row_id").collect()
+    assert [list(r.input_ids) for r in cut] == [list(r.input_ids)[:3] + [2] if len(r.input_ids) > 4 else list(r.input_ids) for r in out]

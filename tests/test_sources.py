@@ -121,3 +121,14 @@ def test_small_side_checks_the_size(spark):
     df = spark.range(50)
     assert "broadcast" in small_side(df, 50)._jdf.queryExecution().logical().toString().lower()
     assert small_side(df, 49) is df
+
+
+def test_malformed_line_is_an_error(spark, tmp_path):
+    from duolex.sources.corpora import load_json_corpus
+
+    lines = ['{"text": "good one"}', '{"text": broken', '{"text": "good two"}']
+    (tmp_path / "en.mono.train.jsonl").write_text("\n".join(lines) + "\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        load_json_corpus(spark, str(tmp_path), ["en"], splits=("train",)).collect()
+    kept = load_json_corpus(spark, str(tmp_path), ["en"], splits=("train",), mode="DROPMALFORMED")
+    assert sorted(r.text for r in kept.collect()) == ["good one", "good two"]
