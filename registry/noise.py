@@ -17,7 +17,7 @@ from registry.base import (
     row_seed_sql, vocab_sql,
 )
 from registry.cleaning import LENGTH_OK, fortran_sql
-from registry.corpora import TOP_SQL, VOCAB, top_sql
+from registry.corpora import VOCAB, top_sql
 from registry.vocabulary import BASE, LENGTH, PADDED, PROBS_SQL, SIDE_SQL, packed_sql, shown, vocabulary
 
 WORDS = {
@@ -127,7 +127,9 @@ def denoise_sql(src, size, dropout, replace, insert, mask, freq="cut"):
 {length_sql('z4', 'z5')}, {shuffle_sql('z5', 'z6')}, {mask_noise_sql('z6', 'noisy', mask)}"""
 
 
-NOISE_TABLES = f"{TOP_SQL}, {SIDE_SQL}, {PROBS_SQL}"
+# counted on rows of fixed length, as the noise steps get them
+NOISE_TOP = top_sql(f"(SELECT lang, unnest({framed_sql(max_length=LENGTH)}) AS token_id FROM enc)")
+NOISE_TABLES = f"{BASE}, {NOISE_TOP}, {SIDE_SQL}, {PROBS_SQL}"
 SHOW_X = joined_sql("x")
 
 
