@@ -8,10 +8,12 @@ link is confirmed on the full shingle sets of the two texts.
 Copies with the same words are one node.  Shingles that no other candidate has
 bound a node's similarity to all others: ``J(x, y) <= v / (|x| + |y| - v)`` with v
 the lesser number of shingles that x or y shares with anyone.  Nodes that cannot
-reach the threshold leave before any pair is made, and pairs below it are never
-emitted.  In a bucket the heaviest members are compared first with those that
-are not in their group yet; of what is then left in different groups only pairs
-within the bound are read.  No link between different groups is left out.
+reach the threshold leave before any pair is made.  A bit sketch of the shingles
+bounds a pair from the other side: ``x`` and ``y`` differ in as many shingles as
+sketch bits at least, or in more.  Pairs beyond either bound are never emitted.
+In a bucket the heaviest members are compared first with those that are not in
+their group yet; of what is then left in different groups only pairs within the
+bounds are read.  No link between different groups is left out.
 """
 
 import math
@@ -30,6 +32,8 @@ ROWS = 5  # coordinates to a band
 MISS = 1e-8  # chance that a pair right at the threshold shares no band
 TURN = np.uint32(0x7FEB352D), np.uint32(0x846CA68B)
 SLICE = 1 << 20
+SKETCH = 16  # 64-bit words to a text
+SKETCHED = [f"s{i}" for i in range(SKETCH)]
 
 
 def bands_for(similarity):
@@ -191,6 +195,25 @@ def private_shingles(texts: DataFrame, k: int, n_shingles: int) -> DataFrame:
     return sent.groupBy("shard").applyInArrow(count, "node bigint, u bigint").groupBy("node").agg(F.sum("u").alias("u"))
 
 
+def sketches(texts: DataFrame, k: int) -> DataFrame:
+    """(node, s0, s1 ..): each shingle of the node sets one of 64 * SKETCH bits.  Where
+    the bits of two nodes differ, a shingle stands in one of them alone."""
+
+    def run(batches):
+        powers = Powers()
+        for batch in batches:
+            for first, last, data, offsets in text_slices(batch, limit=SLICE):
+                rows, prints, *_ = shingles(data, offsets, k, powers)
+                bits = np.zeros((last - first, 64 * SKETCH), bool)
+                bits[rows, (spread_bits(prints) % U(64 * SKETCH)).astype(np.int64)] = True
+                words = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), *(pa.array(words[:, i].copy()) for i in range(SKETCH))],
+                    names=["node", *SKETCHED])
+
+    return texts.select("node", "text").mapInArrow(run, "node bigint, " + ", ".join(f"{c} bigint" for c in SKETCHED))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """(lead, node) pairs whose texts have den * intersection >= num * union.
 
@@ -269,10 +292,13 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", words=5, num=
     shared = near.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     near = near.join(shared, "bucket")
     weight = near.groupBy("node").agg(F.sum("c").alias("w"))
-    open_ = materialise(near.join(weight, "node").select("bucket", "node", "n", "v", "w", F.col("node").alias("comp")), "buckets")
-    # what a pair may share at most
-    most = F.least(F.col("v"), F.col("lead_v"))
-    within = (F.col("comp") != F.col("lead_comp")) & (den * most >= num * (F.col("n") + F.col("lead_n") - most))
+    drawn = sketches(texts.join(weight.select("node"), "node", "left_semi"), words)
+    weight = materialise(weight.join(drawn, "node"), "sketches")
+    open_ = materialise(near.join(weight, "node").select("bucket", "node", "n", "v", "w", F.col("node").alias("comp"), *SKETCHED), "buckets")
+    # what a pair may share at most, and what at least stands in one of the two alone
+    most, both = F.least(F.col("v"), F.col("lead_v")), F.col("n") + F.col("lead_n")
+    apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"lead_{c}"))) for c in SKETCHED)
+    within = (F.col("comp") != F.col("lead_comp")) & (den * most >= num * (both - most)) & ((den + num) * apart <= (den - num) * both)
     roots = None
     for leads_each in (1, 4, None):
         if open_.isEmpty():
@@ -281,7 +307,8 @@ def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", words=5, num=
         if leads_each:
             heavy = Window.partitionBy("bucket").orderBy(F.desc("w"), "node")
             leads = open_.withColumn("k", F.row_number().over(heavy)).where(F.col("k") <= leads_each)
-        leads = leads.select("bucket", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("v").alias("lead_v"), F.col("comp").alias("lead_comp"))
+        leads = leads.select("bucket", F.col("node").alias("lead"), F.col("n").alias("lead_n"), F.col("v").alias("lead_v"), F.col("comp").alias("lead_comp"),
+                             *[F.col(c).alias(f"lead_{c}") for c in SKETCHED])
         wanted = within if leads_each else within & (F.col("lead") < F.col("node"))
         pairs = materialise(open_.join(leads, (open_.bucket == leads.bucket) & wanted).select("lead", "node").distinct(), "pairs")
         links = verified(pairs, texts, words, num, den)
