@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duolex.functions import arrays as A
 from duolex.operators.index import global_index
 from duolex.schemas import IGNORE, PAD
+from duolex.session import materialise
 
 
 def assemble_batches(df: DataFrame, batch_size: int, id_col="row_id", by=(), seed=None) -> DataFrame:
@@ -47,8 +48,10 @@ def check_batch_language(df: DataFrame) -> DataFrame:
 
 
 def pad_gathered(df: DataFrame, pads: dict) -> DataFrame:
-    """Pad array columns to the widest one of the whole table."""
-    widths = df.agg(*[F.max(F.size(c)).alias(c) for c in pads]).head()
+    """Pad array columns to the widest one of the whole table, which is written once
+    and read for the widths and for the rows."""
+    df = materialise(df, "gathered")
+    widths =df.agg(*[F.max(F.size(c)).alias(c) for c in pads]).head()
     for c, value in pads.items():
         df = df.withColumn(c, A.pad_to(F.col(c), F.lit(widths[c] or 0), value))
     return df

@@ -23,14 +23,20 @@ SALTS = 16
 
 
 def inline_tokens(vocab: DataFrame, limit=None):
-    """Tokens in id order as an Arrow array, or None when there are too many."""
+    """Tokens in id order as an Arrow array, or None when there are too many.
+
+    Of tokens that share an id the least counts, of ids that share a token the
+    first, here and in ``_join_lookup``.
+    """
     limit = INLINE_LIMIT if limit is None else limit
     rows = vocab.select("token_id", "token").limit(limit + 1).collect()
-    if len(rows) > limit:
+    top = max((r.token_id for r in rows), default=-1)
+    if len(rows) > limit or top >= 2 * limit:
         return None
-    tokens = [None] * (max((r.token_id for r in rows), default=-1) + 1)
+    tokens = [None] * (top + 1)
     for r in rows:
-        tokens[r.token_id] = r.token
+        if r.token is not None and (tokens[r.token_id] is None or r.token < tokens[r.token_id]):
+            tokens[r.token_id] = r.token
     return pa.array(tokens, pa.string())
 
 
@@ -44,7 +50,7 @@ def _relist(source: pa.Array, values: pa.Array) -> pa.Array:
 def _to_ids(tokens: pa.Array):
     @F.arrow_udf("array<int>")
     def ids(pieces: pa.Array) -> pa.Array:
-        found = pc.index_in(pieces.flatten(), value_set=tokens)
+        found = pc.index_in(pieces.flatten(), value_set=tokens, skip_nulls=True)
         return _relist(pieces, pc.fill_null(found, UNK).cast(pa.int32()))
 
     # keeps the optimizer from copying the call into filters it infers
@@ -54,7 +60,9 @@ def _to_ids(tokens: pa.Array):
 def _to_tokens(tokens: pa.Array):
     @F.arrow_udf("array<string>")
     def names(ids: pa.Array) -> pa.Array:
-        return _relist(ids, tokens.take(ids.flatten()))
+        flat = ids.flatten()
+        known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
+        return _relist(ids, tokens.take(pc.if_else(known, flat, pa.scalar(None, flat.type))))
 
     return names.asNondeterministic()
 
@@ -62,7 +70,11 @@ def _to_tokens(tokens: pa.Array):
 def _join_lookup(df, col, out, vocab, id_col, key, value, default):
     """The same lookup as a join: frequent tokens are spread over ``SALTS`` copies
     of the vocabulary."""
-    v = vocab.select(
+    # one value per key, as in the array: the least token of an id, the first id of a token
+    one = vocab.where("token IS NOT NULL").groupBy("token_id").agg(F.min("token").alias("token"))
+    if key == "token":
+        one = one.groupBy("token").agg(F.min("token_id").alias("token_id"))
+    v = one.select(
         F.col(key).alias("_t"), F.col(value).alias("_v"),
         F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"),
     )
@@ -87,26 +99,26 @@ def _settled(df: DataFrame, col: str) -> DataFrame:
     return df.withColumn(col, F.when(F.spark_partition_id() >= 0, F.col(col)))
 
 
-def lookup_ids(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id") -> DataFrame:
-    tokens = inline_tokens(vocab)
+def lookup_ids(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id", limit=None) -> DataFrame:
+    tokens = inline_tokens(vocab, limit)
     if tokens is None:
         return _join_lookup(df, col, out, vocab, id_col, "token", "token_id", UNK)
     return _settled(df, col).withColumn(out, _to_ids(tokens)(F.col(col)))
 
 
-def lookup_tokens(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id") -> DataFrame:
-    tokens = inline_tokens(vocab)
+def lookup_tokens(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id", limit=None) -> DataFrame:
+    tokens = inline_tokens(vocab, limit)
     if tokens is None:
         return _join_lookup(df, col, out, vocab, id_col, "token_id", "token", None)
     return _settled(df, col).withColumn(out, _to_tokens(tokens)(F.col(col)))
 
 
-def _framed(df, pieces: Column, owner: Column, vocab, max_length, id_col):
+def _framed(df, pieces: Column, owner: Column, vocab, max_length, id_col, limit=None):
     """Adds input_ids, attention_mask, word_ids for pieces and their word numbers."""
     if max_length is not None:
         pieces, owner = A.take(pieces, F.lit(max_length - 2)), A.take(owner, F.lit(max_length - 2))
     df = df.withColumn("_pieces", pieces).withColumn("_owner", owner).drop("_words")
-    df = lookup_ids(df, "_pieces", "_ids", vocab, id_col)
+    df = lookup_ids(df, "_pieces", "_ids", vocab, id_col, limit)
     none = F.array(F.lit(None).cast("int"))
     df = df.withColumn(
         "input_ids", F.concat(F.array(F.lit(BOS)), F.col("_ids"), F.array(F.lit(EOS)))
@@ -115,7 +127,7 @@ def _framed(df, pieces: Column, owner: Column, vocab, max_length, id_col):
     return df.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
-def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
+def _encode_words(df, words: Column, vocab, max_length, id_col, specials=(), limit=None):
     # a null text is an empty one; a null list would wipe the rows it is packed with
     words = F.coalesce(words, F.array().cast("array<string>"))
     if max_length is not None:  # a word has one piece at least
@@ -124,7 +136,7 @@ def _encode_words(df, words: Column, vocab, max_length, id_col, specials=()):
     owner = F.flatten(
         F.transform(F.col("_words"), lambda w, i: F.array_repeat(i.cast("int"), X.piece_count(w, specials)))
     )
-    return _framed(df.withColumn("_words", words), pieces, owner, vocab, max_length, id_col)
+    return _framed(df.withColumn("_words", words), pieces, owner, vocab, max_length, id_col, limit)
 
 
 def pad_encoded(df: DataFrame, padding, length=None) -> DataFrame:
@@ -146,14 +158,15 @@ def pad_encoded(df: DataFrame, padding, length=None) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, col="text", max_length=None, padding=None,
-           pad_length=None, id_col="row_id", specials=()) -> DataFrame:
-    """``<s>`` pieces ``</s>`` with attention mask and word ids.
+           pad_length=None, id_col="row_id", specials=(), limit=None) -> DataFrame:
+    """``<s>`` pieces ``</s>`` with attention mask and word ids.  ``limit`` is the
+    largest vocabulary to be shipped to the tasks, ``INLINE_LIMIT`` if not given.
 
     ``max_length`` truncates; ``padding='max'`` pads to ``pad_length`` (default
     ``max_length``); ``padding='longest'`` to the longest row of a ``batch_id``.
     Tokens in ``specials`` are recognised inside the text.
     """
-    out = _encode_words(df, X.words(F.col(col), specials), vocab, max_length, id_col, specials)
+    out = _encode_words(df, X.words(F.col(col), specials), vocab, max_length, id_col, specials, limit)
     return pad_encoded(out, padding, pad_length or max_length)
 
 
@@ -222,13 +235,15 @@ def encode_pairs(df: DataFrame, vocab: DataFrame, langs, src="text", tgt="labels
     return lang_to_id(both, vocab, langs)
 
 
-def decode(df: DataFrame, vocab: DataFrame, col="input_ids", out="text", skip_special=True, id_col="row_id") -> DataFrame:
-    """Ids to text: specials skipped, continuation pieces glued to their word."""
+def decode(df: DataFrame, vocab: DataFrame, col="input_ids", out="text", skip_special=True, id_col="row_id",
+           limit=None) -> DataFrame:
+    """Ids to text: specials skipped, continuation pieces glued to their word.  Ids
+    that the vocabulary does not have are left out."""
     ids = F.col(col)
     if skip_special:
         specials = [r.token_id for r in vocab.where("is_special").select("token_id").collect()]
         ids = F.filter(ids, lambda x: ~x.isin(*specials))
-    df = lookup_tokens(df.withColumn("_ids", ids), "_ids", "_names", vocab, id_col)
+    df = lookup_tokens(df.withColumn("_ids", ids), "_ids", "_names", vocab, id_col, limit)
     return df.withColumn(out, X.join_pieces(F.col("_names"))).drop("_ids", "_names")
 
 

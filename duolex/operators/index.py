@@ -128,15 +128,20 @@ def first_k(df: DataFrame, limits, by, id_col, seed) -> DataFrame:
     return mark_first_k(df, limits, by, id_col, seed, "_in").where("_in").drop("_in")
 
 
-def top_k(df: DataFrame, by, order, tie, k: int, out="rank", salts=64) -> DataFrame:
+def top_k(df: DataFrame, by, order, tie, k: int, out="rank", salts=None) -> DataFrame:
     """The ``k`` first rows per group under ``order`` then ``tie`` (unique in the
     group), numbered from 1.
 
-    A large group is ranked in ``salts`` parts first; only their best k meet.
+    Without groups every task keeps its best k.  A large group is ranked in
+    ``salts`` parts first, as many as a shuffle has tasks; only their best k meet.
     """
     by = list(by)
-    part = W.partitionBy(*by, "_salt").orderBy(order, tie)
     whole = W.partitionBy(*(by or [F.lit(0)])).orderBy(order, tie)
+    if not by:
+        return df.orderBy(order, tie).limit(k).withColumn(out, F.row_number().over(whole))
+    if salts is None:
+        salts = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    part = W.partitionBy(*by, "_salt").orderBy(order, tie)
     return (
         df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(salts)))
         .withColumn(out, F.row_number().over(part)).where(F.col(out) <= k).drop("_salt")

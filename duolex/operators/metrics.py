@@ -131,7 +131,7 @@ def prediction_table(candidates: DataFrame, references: DataFrame, key="pair_id"
 
 
 def _spans(tags: Column) -> Column:
-    """Entity spans of a tag-id array, each packed into one BIGINT (type, start, end)."""
+    """Entity spans (kind, start, end) of a tag-id array."""
     return A.let(tags, _spans_of)
 
 
@@ -154,9 +154,10 @@ def _spans_of(tags: Column) -> Column:
             b,
             lambda p, k: F.when(
                 F.coalesce(F.get(tags, p), F.lit(0)) != 0,
-                F.shiftleft(kind(F.get(tags, p)).cast("bigint"), 48)
-                + F.shiftleft(p.cast("bigint"), 24)
-                + F.get(b, k + 1).cast("bigint"),
+                F.struct(
+                    kind(F.get(tags, p)).cast("int").alias("kind"), p.cast("int").alias("start"),
+                    F.get(b, k + 1).cast("int").alias("end"),
+                ),
             ),
         )
         return F.filter(ends, lambda v: v.isNotNull())

@@ -17,7 +17,7 @@ from duolex.functions.rng import mix_below, mix_each, row_seed
 from duolex.operators.encode import mask_pad
 from duolex.schemas import EOS, MASK, PAD
 
-POS_BITS = 20  # (random, position) pairs are sorted as one BIGINT
+POS_BITS = 31  # (31 random bits, any array position) pairs are sorted as one BIGINT
 POS_MASK = (1 << POS_BITS) - 1
 GUIDE_BITS = 12
 

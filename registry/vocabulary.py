@@ -156,12 +156,7 @@ WITH {BASE}
 SELECT row_id, {joined_sql(framed_sql())} AS input_ids FROM enc""")
 def encode_by_join(spark, sf):
     """The way beyond the size at which a vocabulary is shipped to the tasks."""
-    vocab = vocabulary(spark, sf)
-    limit, E.INLINE_LIMIT = E.INLINE_LIMIT, 100
-    try:
-        return shown(E.encode(docs(spark, sf), vocab), "row_id", "input_ids")
-    finally:
-        E.INLINE_LIMIT = limit
+    return shown(E.encode(docs(spark, sf), vocabulary(spark, sf), limit=100), "row_id", "input_ids")
 
 
 PADDED = padded_sql(framed_sql(max_length=LENGTH), LENGTH)

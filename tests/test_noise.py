@@ -225,3 +225,13 @@ def test_keyword_ids(spark):
     known = {r.token: r.token_id for r in vocab.collect()}
     assert keyword_ids(vocab, {"en": ["for", "return"], "fr": ["absent"]}) == {
         "en": sorted([known["for"], known["retu"], known["##rn"]]), "fr": []}
+
+
+def test_rows_beyond_a_million_positions(spark):
+    size = (1 << 20) + 5000
+    content = F.transform(F.sequence(F.lit(1), F.lit(size)), lambda i: i.cast("int") + 10)
+    df = spark.range(1).select(F.concat(F.array(F.lit(0)), content, F.array(F.lit(2))).alias("x"))
+    x = F.col("x")
+    y = df.select(N.noise_dropout(x, N.content_length(x), 0.2, F.lit(7).cast("bigint"), []).alias("y"))
+    row = y.select(F.size("y").alias("n"), F.size(F.filter("y", lambda v: v > 10)).alias("kept")).first()
+    assert row.n == size + 2 and row.kept == size - int((size + 1) * 0.2)

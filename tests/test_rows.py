@@ -114,6 +114,13 @@ def test_top_k_ties(spark):
     assert got == [("a", n + 1, i) for n, i in enumerate(want)] + [("b", 1, 1)]
 
 
+def test_top_k_without_groups(spark):
+    df = spark.createDataFrame([(i, i % 4) for i in range(200)], "id int, v int").repartition(7)
+    want = sorted(range(200), key=lambda i: (-(i % 4), i))[:60]
+    assert [(r.rank, r.id) for r in top_k(df, [], F.desc("v"), "id", 60).orderBy("rank").collect()] == [(n + 1, i) for n, i in enumerate(want)]
+    assert top_k(df.limit(0), [], F.desc("v"), "id", 60).count() == 0
+
+
 def test_interleave_golden(spark):
     rows = [(i, "a" if i < 16 else "b" if i < 22 else "c") for i in range(27)]
     df = spark.createDataFrame(rows, "row_id bigint, lang string")
@@ -177,3 +184,17 @@ def test_null_row_keeps_its_neighbours(spark):
     assert len(chunks) == 1 and len(chunks[0].input_ids) == sum(len(r.input_ids) for r in out) == len(chunks[0].labels)
     cut = E.encode(df, vocab, max_length=4).orderBy("row_id").collect()
     assert [list(r.input_ids) for r in cut] == [list(r.input_ids)[:3] + [2] if len(r.input_ids) > 4 else list(r.input_ids) for r in out]
+
+
+@pytest.mark.parametrize("limit", [None, 2])
+def test_lookups_agree_on_bad_input(spark, limit):
+    """Unknown and null ids, ids without a token, tokens and ids that stand twice: shipped or joined, one result."""
+    from duolex.operators import encode as E
+
+    rows = [(0, "<s>"), (1, "<pad>"), (2, "</s>"), (3, "<unk>"), (4, "red"), (6, "blue"), (7, "red"), (6, "azur"), (9, None)]
+    vocab = spark.createDataFrame([(i, t, i < 4) for i, t in rows], "token_id int, token string, is_special boolean")
+    texts = spark.createDataFrame([(0, "red blue azur"), (1, None), (2, "green red")], "row_id bigint, text string")
+    got = {r.row_id: list(r.input_ids) for r in E.encode(texts, vocab, limit=limit).collect()}
+    assert got == {0: [0, 4, 3, 6, 2], 1: [0, 2], 2: [0, 3, 3, 4, 2]}
+    ids = spark.createDataFrame([(0, [0, 4, 6, 99, -1, None, 5, 9, 7, 2]), (1, []), (2, None)], "row_id bigint, input_ids array<int>")
+    assert {r.row_id: r.text for r in E.decode(ids, vocab, limit=limit).collect()} == {0: "red azur red", 1: "", 2: ""}
