@@ -62,10 +62,10 @@ def benchmark_windows(benchmark: DataFrame, n: int) -> DataFrame:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, key="doc_id", text="text", max_windows=1_000_000) -> DataFrame:
-    """One row per document row: (doc_id, n_words, n_hit, n_items, items, spans).
+    """One row per document row: (doc_id, th, n_words, n_hit, n_items, items, spans).
 
     ``spans`` lists the hit windows as (pos, n) in words, ``items`` the ids of the
-    items they come from, sorted as strings.  The window table is broadcast if it
+    items they come from, sorted as strings, ``th`` is a hash of the text.  The window table is broadcast if it
     has at most ``max_windows`` rows, beyond it is joined by shuffle.  Null or
     empty texts have no words, null item ids count as ``''``, repeated rows are
     reported each, an empty benchmark hits nothing.
@@ -80,9 +80,10 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, key="doc_id", text
         windows = windows.unionByName(other)
     windows = windows.select(F.element_at("hashes", 1).alias("hash_"), F.col("g_").alias("gram"), "gram_n", "items")
 
-    words = docs.select(F.col(key).alias("doc_id"), F.monotonically_increasing_id().alias("row_"), normal_words(text).alias("w_"))
+    words = docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th"), F.monotonically_increasing_id().alias("row_"),
+                        normal_words(text).alias("w_"))
     scanned = with_window_hashes(words, "w_", lengths).withColumn("n_words", F.size("w_").cast("bigint"))
-    scanned = scanned.select("doc_id", "row_", "n_words", "w_", F.posexplode_outer("hashes").alias("at_", "hash"))
+    scanned = scanned.select("doc_id", "th", "row_", "n_words", "w_", F.posexplode_outer("hashes").alias("at_", "hash"))
     begins, before = {}, F.lit(0).cast("bigint")
     for k in lengths:
         begins[k] = before
@@ -94,16 +95,16 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, *, n=10, key="doc_id", text
     found = (
         scanned.join(small_side(windows, max_windows), same, "left")
         .where(F.col("gram_n").isNotNull() | F.col("at_").isNull() | (F.col("at_") == 0))
-        .select("doc_id", "row_", "n_words", "items",
+        .select("doc_id", "th", "row_", "n_words", "items",
                 F.when(F.col("gram_n").isNotNull(), F.struct(start.cast("int").alias("pos"), F.col("gram_n").alias("n"))).alias("span"))
     )
     covered = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1))))
     return (
         found.groupBy("row_").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"),
+            F.first("doc_id").alias("doc_id"), F.first("th").alias("th"), F.first("n_words").alias("n_words"),
             F.sort_array(F.collect_set("span")).alias("spans"),
             F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
-        .select("doc_id", "n_words", F.size(covered).cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
+        .select("doc_id", "th", "n_words", F.size(covered).cast("bigint").alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
                 "items", "spans")
     )
 
@@ -115,21 +116,28 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
         (F.col("n_hit") > 0).alias("contaminated"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key="doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that share a window with an item.  Rows with
-    a null id stay unless their own text is hit in some row with a null id."""
-    hit = find_hits(docs, benchmark, key=key, **options).where("n_hit > 0").select(F.col("doc_id").alias("hit_")).distinct()
-    return docs.join(small_side(materialise(hit, "hits")), F.col(key).eqNullSafe(F.col("hit_")), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, key="doc_id", text="text", **options) -> DataFrame:
+    """``docs`` without the rows that share a window with an item.  Every row is
+    judged by its own text, also where ids are null or shared."""
+    found = find_hits(docs, benchmark, key=key, text=text, **options).where("n_hit > 0")
+    hit = materialise(found.select(F.col("doc_id").alias("d_"), F.col("th").alias("t_")).distinct(), "hits")
+    names = docs.columns
+    rows = docs.select(F.struct(*names).alias("row_"), F.col(key).alias("id_"), F.xxhash64(F.col(text)).alias("th_"))
+    same = F.col("id_").eqNullSafe(F.col("d_")) & (F.col("th_") == F.col("t_"))
+    return rows.join(small_side(hit), same, "left_anti").select(*[F.col("row_").getField(n).alias(n) for n in names])
 
 
 def mask_spans(docs: DataFrame, benchmark: DataFrame, *, key="doc_id", text="text", **options) -> DataFrame:
-    """(doc_id, kept_words): the normalised words that no benchmark window covers, in order."""
-    hits = find_hits(docs, benchmark, key=key, text=text, **options).select(F.col("doc_id").alias("id_"), "spans").where(F.size("spans") > 0)
+    """(doc_id, kept_words), one row per row of ``docs``: the normalised words that
+    no benchmark window covers, in order."""
+    hits = find_hits(docs, benchmark, key=key, text=text, **options).where(F.size("spans") > 0)
+    # equal texts under one id have equal spans
+    hits = hits.groupBy(F.col("doc_id").alias("id_"), F.col("th").alias("t_")).agg(F.first("spans").alias("spans"))
     gone = F.flatten(F.transform(F.coalesce("spans", F.array().cast("array<struct<pos:int,n:int>>")),
                                  lambda s: F.sequence(s["pos"], s["pos"] + s["n"] - 1)))
     return (
-        docs.select(F.col(key).alias("doc_id"), normal_words(text).alias("w_"))
-        .join(hits, F.col("doc_id").eqNullSafe(F.col("id_")), "left")
+        docs.select(F.col(key).alias("doc_id"), F.xxhash64(F.col(text)).alias("th_"), normal_words(text).alias("w_"))
+        .join(hits, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("th_") == F.col("t_")), "left")
         .withColumn("gone_", gone)
         .select("doc_id", F.filter("w_", lambda w, i: ~F.array_contains(F.col("gone_"), i)).alias("kept_words"))
     )

@@ -120,10 +120,12 @@ def sample_texts(labelled: DataFrame, max_rows: int, max_bytes: int) -> dict:
     400 to 4,000 bytes, picked by the hash of their id; others only where a
     language has too few of them."""
     size = F.octet_length("text")
-    ranked = Window.partitionBy("lang").orderBy((size < 400) | (size > 4000), F.md5(F.col("id")), "id")
-    ids = labelled.where(size > 0).select("id", "lang", F.row_number().over(ranked).alias("k")).where(F.col("k") <= max_rows)
-    chosen = labelled.select("id", F.col("lang").alias("l_"), F.substring("text", 1, max_bytes).alias("text"))
-    rows = chosen.join(small_side(ids), "id").where(F.col("l_") == F.col("lang")).select("lang", "k", "text").collect()
+    ranked = Window.partitionBy("lang").orderBy((size < 400) | (size > 4000), F.md5(F.col("id")), "id", "th")
+    labelled = labelled.withColumn("th", F.xxhash64("text"))
+    ids = labelled.where(size > 0).select("id", "th", "lang", F.row_number().over(ranked).alias("k")).where(F.col("k") <= max_rows)
+    chosen = labelled.select("id", "th", "lang", F.substring("text", 1, max_bytes).alias("text"))
+    # repeated rows are one sample each time they were drawn
+    rows = chosen.join(small_side(ids), ["id", "th", "lang"]).select("lang", "k", "text").dropDuplicates(["lang", "k"]).collect()
     out = {}
     for lang, _, text in sorted(rows):
         out[lang] = (out.get(lang, b"") + b" " + text.lower().encode())[:max_bytes]

@@ -345,11 +345,15 @@ def drop_near_duplicates(docs: DataFrame, *, key="doc_id", text="text", **option
     """``docs`` with one document of each group of near copies.  Texts without words stay."""
     found = materialise(near_duplicates(docs, key=key, text=text, **options).select(
         F.col("doc_id").alias("d_"), F.col("th").alias("t_"), "n_shingles", "first"), "first")
-    th = F.xxhash64(F.col(key).cast("bigint"), F.col(text))
-    same = (th == F.col("t_")) & F.col(key).cast("bigint").eqNullSafe(F.col("d_"))
-    kept = docs.join(found.where("first").select("d_", "t_").distinct(), same, "left_semi")
+    names = docs.columns
+    own = F.col(key).cast("bigint")
+    rows = docs.select(F.struct(*names).alias("row_"), own.alias("id_"), F.xxhash64(own, F.col(text)).alias("th_"))
+    same = (F.col("th_") == F.col("t_")) & F.col("id_").eqNullSafe(F.col("d_"))
+    kept = rows.join(found.where("first").select("d_", "t_").distinct(), same, "left_semi")
+    unpacked_row = [F.col("row_").getField(n).alias(n) for n in names]
     repeated = found.where("n_shingles > 0").groupBy("d_", "t_").count().where("count > 1").select("d_", "t_")
     if repeated.isEmpty():
-        return kept
+        return kept.select(*unpacked_row)
     # an identical row stands several times: one of them stays
-    return kept.join(repeated, same, "left_anti").unionByName(kept.join(repeated, same, "left_semi").dropDuplicates([key, text]))
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["id_", "th_"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select(*unpacked_row)

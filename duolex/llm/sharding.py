@@ -82,11 +82,11 @@ def shard_by_bytes(docs: DataFrame, *, limit=8 << 20, key="doc_id", text="text",
     )
     own = ["n_bytes", "shard", "shard_depth", "shard_bytes", "shard_docs", "oversize"]
     bucket = F.element_at(F.filter("buckets_", lambda b: b["lo"] <= F.col("h_")), -1)
-    kept = [F.col(c) for c in docs.columns if c not in own]
+    kept = [F.col("row_").getField(c).alias(c) for c in docs.columns if c not in own]
     name = F.when(F.col("b_.depth") == 0, F.lit("")).otherwise(
         F.lpad(F.bin(F.expr(f"shiftright(b_.lo, {HASH_BITS} - b_.depth)")), F.col("b_.depth").cast("int"), F.lit("0")))
     return (
-        docs.withColumns({"h_": key_hash(key, seed), "n_bytes": n_bytes})
+        docs.select(F.struct(*docs.columns).alias("row_"), key_hash(key, seed).alias("h_"), n_bytes.alias("n_bytes"))
         .join(small_side(directory.select(F.col("entry").alias("entry_"), F.col("buckets").alias("buckets_"))),
               F.shiftright("h_", HASH_BITS - bits) == F.col("entry_"))
         .withColumn("b_", bucket)

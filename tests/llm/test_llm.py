@@ -227,6 +227,24 @@ def test_host_rules_awkward(repeated, empty):
     assert host_rules.judge_by_host(empty).count() == 0
 
 
+CLASHING = ("row_ id_ th_ d_ t_ h_ b_ s_ k_ w_ hit_ entry_ buckets_ text_ source_ hash spans items th first h copies threshold_ "
+            "epochs_ n_shingles component_id kept score n_words").split()
+
+
+def test_clashing_names(docs, benchmark, spark):
+    extra = docs.drop("shard").withColumns({c: F.concat(F.lit(f"{c}="), F.col("doc_id").cast("string")) for c in CLASHING})
+    model = toxicity.ToxicityModel(extra, spark.createDataFrame([(0, 1), (1, 0), (7, 1), (9, 0)], "doc_id bigint, toxic int"))
+    for out in (toxicity.drop_toxic(extra, model), minhash.drop_near_duplicates(extra), decontamination.drop_contaminated(extra, benchmark),
+                mixing.mix_documents(extra), sharding.shard_by_bytes(extra, limit=500)):
+        rows = out.collect()
+        assert rows and out.columns[:len(extra.columns)] == extra.columns
+        assert all(r[c] == f"{c}={r.doc_id}" for r in rows for c in CLASHING)
+    for out in (mixing.mix_sources(extra), minhash.near_duplicates(extra), suffix_dedup.remove_repeats(extra), host_rules.judge_by_host(extra),
+                language_id.identify_languages(extra), decontamination.find_hits(extra, benchmark), model.score(extra),
+                token_counts.count_tokens(extra, public_tokenizers.path("byte_bpe_50k.json"))):
+        assert out.count() == len(ROWS)
+
+
 def test_shards(repeated, empty):
     for limit in (1 << 20, 2000, 10):
         rows = sharding.shard_by_bytes(repeated, limit=limit).collect()
@@ -270,6 +288,8 @@ def test_decontamination_awkward(repeated, benchmark, empty, spark):
     assert left.columns == repeated.columns and left.where("doc_id in (0, 1, 2, 3, 13)").count() == 0 and left.where("doc_id = 7").count() == 2
     masked = {r.doc_id: r.kept_words for r in decontamination.mask_spans(repeated, benchmark).collect()}
     assert masked[0] == BASE.split()[:20] + BASE.split()[40:]
+    assert decontamination.mask_spans(repeated, benchmark).count() == 2 * len(ROWS) + 2
+    assert left.where("doc_id is null and text is null").count() == 1  # another row without an id was hit
     assert decontamination.find_hits(empty, benchmark).count() == 0
     assert decontamination.find_hits(repeated, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
@@ -283,6 +303,8 @@ def test_languages(spark, docs, empty):
     nothing = language_id.identify_languages(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
     assert language_id.identify_languages(empty).count() == 0
+    same = docs.where("text is not null").withColumn("doc_id", F.lit(None).cast("bigint"))
+    assert len(language_id.sample_texts(same.select(F.lit("").alias("id"), "lang", "text"), 3, 500)["en"]) <= 500
 
 
 def test_phrases_against_plain_parse():
