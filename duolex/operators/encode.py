@@ -176,14 +176,35 @@ def encode_pretokenized(df: DataFrame, vocab: DataFrame, col="tokens", max_lengt
     return _encode_words(df, lower, vocab, max_length, id_col)
 
 
-def encode_learned(df: DataFrame, segments: DataFrame, vocab: DataFrame, col="text", max_length=None,
-                   id_col="row_id") -> DataFrame:
-    """As ``encode``, with words cut as ``segments`` (word, n, pieces) says; unknown
-    words stay whole.
-
-    The ``HOT_WORDS`` most frequent words are broadcast, so a word that makes up a
-    large share of the text is never shuffled; the others join by word.
-    """
+def cut_word(word: str, ranks: dict) -> list:
+    """Pieces of a word: its symbols with one merge after the other, in rank order."""
+    symbols, last = list(word), 0
+    while True:
+        later = [(ranks[p], p) for p in zip(symbols, symbols[1:]) if ranks.get(p, 0) > last]
+        if not later:
+            return symbols
+        last, pair = min(later)
+        merged, i = [], 0
+        while i < len(symbols):
+            step = 2 if tuple(symbols[i:i + 2]) == pair else 1
+            merged.append("".join(symbols[i:i + step]))
+            i += step
+        symbols = merged
+
+
+def _to_pieces(merges: DataFrame):
+    ranks = {(r.left, r.right): r.rank for r in merges.select("rank", "left", "right").collect()}  # one row per merge
+
+    @F.arrow_udf("array<array<string>>")
+    def pieces(words: pa.Array) -> pa.Array:
+        known = words.flatten().dictionary_encode()  # a word of the batch is cut once
+        cuts = pa.array([cut_word(w, ranks) for w in known.dictionary.to_pylist()], pa.list_(pa.string()))
+        return _relist(words, cuts.take(known.indices))
+
+    return pieces.asNondeterministic()
+
+
+def _segmented(df: DataFrame, segments: DataFrame, col, id_col) -> DataFrame:
     words = df.select(id_col, F.posexplode(X.words(F.col(col))).alias("_p", "word"))
     hot = F.broadcast(top_k(segments, [], F.desc("n"), "word", HOT_WORDS).select("word", "pieces"))
     near = words.join(hot, "word").select(id_col, "_p", "pieces")
@@ -193,9 +214,29 @@ def encode_learned(df: DataFrame, segments: DataFrame, vocab: DataFrame, col="te
     cut = near.unionByName(far).groupBy(id_col).agg(
         F.array_sort(F.collect_list(F.struct("_p", "pieces"))).alias("_l")
     ).select(id_col, F.col("_l.pieces").alias("_words"))
-    rows = df.join(cut, id_col, "left").withColumn(
+    return df.join(cut, id_col, "left").withColumn(
         "_words", F.coalesce("_words", F.array().cast("array<array<string>>"))
     )
+
+
+def encode_learned(df: DataFrame, segments: DataFrame, vocab: DataFrame, col="text", max_length=None,
+                   id_col="row_id", merges=None) -> DataFrame:
+    """As ``encode``, with words cut by learned merges.
+
+    With ``merges`` (rank, left, right) any word is cut, whether it was counted or
+    not: the merges have a fixed size and travel to the tasks, rows stay in their
+    partition, ``segments`` is not used.  Without them words are cut as
+    ``segments`` (word, n, pieces) says and unknown words stay whole: the
+    ``HOT_WORDS`` most frequent words are broadcast, so a word that makes up a
+    large share of the text is never shuffled; the others join by word.
+    """
+    if merges is None:
+        rows = _segmented(df, segments, col, id_col)
+    else:
+        words = F.coalesce(X.words(F.col(col)), F.array().cast("array<string>"))
+        if max_length is not None:  # a word has one piece at least
+            words = A.take(words, F.lit(max_length - 2))
+        rows = _settled(df.withColumn("_words", words), "_words").withColumn("_words", _to_pieces(merges)(F.col("_words")))
     pieces = F.flatten(F.transform("_words", lambda p: X.marked(p)))
     owner = F.flatten(F.transform("_words", lambda p, i: F.array_repeat(i.cast("int"), F.size(p))))
     return _framed(rows, pieces, owner, vocab, max_length, id_col)

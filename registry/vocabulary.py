@@ -71,10 +71,11 @@ def add_special_tokens_query(spark, sf):
 MERGES = 12
 
 
-def _bpe_ctes(n):
-    """The merges one by one: symbols stand between the marks chr(1) and chr(2)."""
+def _bpe_ctes(n, counted="count(*)"):
+    """The merges one by one: symbols stand between the marks chr(1) and chr(2).
+    Words that are not ``counted`` have no say in the merges, but are cut by them."""
     ctes = [
-        f"w AS (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM documents) GROUP BY word)",
+        f"w AS (SELECT word, {counted} AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM documents) GROUP BY word)",
         "s0 AS MATERIALIZED (SELECT word, n, regexp_replace(word, '([\\s\\S])', chr(1) || '\\1' || chr(2), 'g') AS y FROM w)",
     ]
     for i in range(n):
@@ -107,11 +108,12 @@ def _known():
     return ", ".join(f"'{t}'" for _, t, _ in special_rows())
 
 
-@query("encode_learned", f"""
-WITH {_bpe_ctes(MERGES)},
+def _learned_sql(counted="count(*)"):
+    return f"""
+WITH {_bpe_ctes(MERGES, counted)},
 pc AS (SELECT word, n, unnest(pieces) AS piece, unnest(range(0, len(pieces))) AS k FROM seg),
 pm AS (SELECT word, n, k, CASE WHEN k > 0 THEN '##' ELSE '' END || piece AS piece FROM pc),
-pt AS (SELECT piece, sum(n) AS n FROM pm WHERE piece NOT IN ({_known()}) GROUP BY piece ORDER BY n DESC, piece LIMIT {VOCAB - N_SPECIAL}),
+pt AS (SELECT piece, sum(n) AS n FROM pm WHERE n > 0 AND piece NOT IN ({_known()}) GROUP BY piece ORDER BY n DESC, piece LIMIT {VOCAB - N_SPECIAL}),
 vocab AS (SELECT * FROM (VALUES {_special_values()}) AS t(token_id, token, is_special)
           UNION ALL SELECT {N_SPECIAL - 1} + row_number() OVER (ORDER BY n DESC, piece), piece, false FROM pt),
 dl AS (SELECT doc_id AS row_id, regexp_extract_all(lower(text), '{WORD}') AS ws FROM documents),
@@ -120,7 +122,10 @@ di AS (SELECT row_id, wi, k, coalesce(token_id, 3) AS id FROM dw JOIN pm USING (
 dg AS (SELECT row_id, list(id ORDER BY wi, k) AS ids, list(wi ORDER BY wi, k) AS owner FROM di GROUP BY row_id)
 SELECT row_id, {joined_sql(framed_sql('coalesce(ids, [])'))} AS input_ids,
        {joined_sql('coalesce(owner, [])')} AS word_ids
-FROM dl LEFT JOIN dg USING (row_id)""")
+FROM dl LEFT JOIN dg USING (row_id)"""
+
+
+@query("encode_learned", _learned_sql())
 def encode_learned(spark, sf):
     _, segments = learn_bpe_merges(word_counts(docs(spark, sf)), MERGES)
     segments = materialise(segments, "segments")
@@ -130,6 +135,17 @@ def encode_learned(spark, sf):
     return shown(out.withColumn("word_ids", inner), "row_id", "input_ids", "word_ids")
 
 
+@query("encode_learned_unseen", _learned_sql("count(*) FILTER (WHERE lang = 'en')"))
+def encode_learned_unseen(spark, sf):
+    """Merges and vocabulary of one corpus, applied to all of them."""
+    rows = docs(spark, sf)
+    merges, segments = learn_bpe_merges(word_counts(rows.where("lang = 'en'")), MERGES)
+    vocab = materialise(learn_vocab(materialise(segments, "segments"), VOCAB, LANGS), "vocab")
+    out = E.encode_learned(rows, None, vocab, merges=merges)
+    inner = F.filter("word_ids", lambda w: w.isNotNull())
+    return shown(out.withColumn("word_ids", inner), "row_id", "input_ids", "word_ids")
+
+
 ATTENTION = "list_transform({0}, lambda z: 1)"
 
 

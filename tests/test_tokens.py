@@ -76,6 +76,8 @@ def test_bpe_against_brute_force(spark, seed, look, n):
     want, pieces = brute_bpe(counts, n)
     assert [(r.left, r.right) for r in merges.orderBy("rank").collect()] == want
     assert {r.word: r.pieces for r in words.collect()} == pieces
+    ranks = {pair: i + 1 for i, pair in enumerate(want)}
+    assert {w: E.cut_word(w, ranks) for w in counts} == pieces
 
 
 def test_encode(spark, vocab):
@@ -111,6 +113,23 @@ def test_encode_with_learned_pieces(spark, monkeypatch):
     assert E.decode(E.encode_learned(df, words, vocab), vocab).where("row_id = 0").first().text == "low lower lowest low"
 
 
+def test_merges_cut_words_that_were_not_counted(spark):
+    train = spark.createDataFrame([(0, "lower lowest newer newest wider low low new")], "row_id bigint, text string")
+    merges, words = learn_bpe_merges(word_counts(train), 6)
+    vocab = learn_vocab(words, 60, LANGS)
+    ranks = {(r.left, r.right): r.rank for r in merges.collect()}
+    df = spark.createDataFrame([(0, "newlow slow"), (1, None), (2, ""), (3, "low wider")], "row_id bigint, text string")
+    out = E.encode_learned(df, None, vocab, merges=merges)
+    got = {r.row_id: r for r in out.collect()}
+    assert E.cut_word("newlow", ranks) == ["new", "low"] and E.cut_word("slow", ranks) == ["s", "low"]
+    ids_of = {r.token: r.token_id for r in vocab.collect()}
+    want = [ids_of.get(p, 3) for p in ("new", "##low", "s", "##low")]
+    assert got[0].input_ids == [0, *want, 2] and got[0].word_ids == [None, 0, 0, 1, 1, None]
+    assert got[1].input_ids == got[2].input_ids == [0, 2]
+    assert got[3].input_ids == E.encode_learned(df, words, vocab).where("row_id = 3").first().input_ids
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 def test_encode_padding(spark, vocab):
     df = spark.createDataFrame([(0, 0, "a a a a"), (1, 0, "a"), (2, 1, "a a")], "row_id bigint, batch_id bigint, text string")
     a = ids(vocab, "a")[0]
