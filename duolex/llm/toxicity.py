@@ -6,8 +6,14 @@ on the same ground; longer contexts are counted per class.  A word's
 log-likelihood ratio is divided by its length; a document is described by the
 ratio per character of all its words and of the words that stand out most, and a
 logistic curve, fitted on rows that neither model has seen, turns that into a score.
+
+All n-grams of all learning rows count, whatever their number: levels, discounts
+and back-off weights are tables.  The ratios of the most frequent n-grams travel as a
+broadcast of bounded size; a distinct word with any other n-gram is read once by
+joins with the tables.  The bound has no influence on the result.
 """
 
+import hashlib
 import math
 import re
 from collections import Counter, defaultdict
@@ -16,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from duolex.llm.language_id import held_out_fold
 from duolex.llm.token_counts import head_bound
@@ -26,6 +33,8 @@ SHARED = 3  # characters up to which both classes share their counts
 WORD = re.compile(r"\w+")
 TOP = 3  # words that stand out
 CACHE = 1 << 20
+LONG = 32  # characters from which a word is named by its digest
+UNIT = 1 << 26  # log-likelihoods are added up as whole numbers, in any order
 
 
 def count_words(labelled: DataFrame) -> DataFrame:
@@ -74,9 +83,127 @@ def count_grams(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "gram string, c0 bigint, c1 bigint").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
+def gram_levels(grams: DataFrame) -> dict[int, DataFrame]:
+    """Length to (gram, k0, k1).  Grams that begin a word count how often they
+    stand there, the longest ones too; all others in how many contexts they continue."""
+    levels = {}
+    for n in range(ORDER, 0, -1):
+        level = grams.where(F.char_length("gram") == n).select("gram", F.col("c0").alias("k0"), F.col("c1").alias("k1"))
+        if n < ORDER:
+            continued = levels[n + 1].select(
+                F.expr("substring(gram, 2)").alias("gram"), *[(F.col(k) > 0).cast("bigint").alias(k) for k in ("k0", "k1")])
+            level = level.unionByName(continued).groupBy("gram").agg(F.sum("k0").alias("k0"), F.sum("k1").alias("k1"))
+        levels[n] = materialise(level, f"toxic-level-{n}")
+    for n in range(1, SHARED + 1):
+        both = F.col("k0") + F.col("k1")
+        levels[n] = levels[n].select(
+            "gram", *[F.when(F.col("gram").startswith("^"), F.col(k)).otherwise(both).alias(k) for k in ("k0", "k1")])
+    return levels
+
+
+def ratio_tables(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``kneser_ney_ratios`` as tables (gram, ratio) and (context, backoff), for any number of n-grams."""
+    levels = gram_levels(grams)
+    every = None
+    for n, level in levels.items():
+        level = level.withColumn("n", F.lit(n))
+        every = level if every is None else every.unionByName(level)
+    spread = {r["n"]: r for r in every.groupBy("n").agg(F.count(F.lit(1)).alias("rows"), *[
+        F.count(F.when(F.col(f"k{c}") == m, 1)).alias(f"s{c}{m}") for c in (0, 1) for m in (1, 2)]).collect()}
+
+    def discount(n, c):
+        one, two = (spread[n][f"s{c}{m}"] if n in spread else 0 for m in (1, 2))
+        return one / (one + 2 * two) if one and two else 0.75
+
+    n_chars = (spread[1]["rows"] if 1 in spread else 0) + 1
+    contexts = every.groupBy(F.expr("substring(gram, 1, n - 1)").alias("context")).agg(F.max("n").alias("n"), *[
+        f.alias(f"{name}{c}") for c in (0, 1) for name, f in (("t", F.sum(f"k{c}")), ("kinds", F.count(F.when(F.col(f"k{c}") > 0, 1))))])
+    weights = [
+        F.when(F.col(f"t{c}") > 0, F.array(*[F.lit(discount(n, c)) for n in range(1, ORDER + 1)])[F.col("n") - 1]
+               * F.col(f"kinds{c}") / F.col(f"t{c}")).alias(f"w{c}") for c in (0, 1)]
+    contexts = materialise(contexts.select("context", "n", "t0", "t1", *weights), "toxic-contexts")
+    ratios, lower = None, None
+    for n in range(1, ORDER + 1):
+        level = levels[n].withColumn("context", F.expr(f"substring(gram, 1, {n - 1})"))
+        level = level.join(contexts.where(F.col("n") == n).drop("n"), "context")
+        if n == 1:
+            level = level.withColumns({"p0": F.lit(1 / n_chars), "p1": F.lit(1 / n_chars)})
+        else:
+            level = level.withColumn("tail", F.expr("substring(gram, 2)")).join(lower.withColumnRenamed("gram", "tail"), "tail")
+        p = [F.when(F.col(f"t{c}") > 0, F.greatest(F.col(f"k{c}") - discount(n, c), F.lit(0.0)) / F.col(f"t{c}") + F.col(f"w{c}") * F.col(f"p{c}"))
+             .otherwise(F.col(f"p{c}")).alias(f"p{c}") for c in (0, 1)]
+        lower = materialise(level.select("gram", *p), f"toxic-p-{n}")
+        ratio = lower.select("gram", F.log(F.col("p1") / F.col("p0")).alias("ratio"))
+        ratios = ratio if ratios is None else ratios.unionByName(ratio)
+    one = F.lit(1.0)
+    backoff = F.log(F.coalesce("w1", one) / F.coalesce("w0", one))
+    return ratios, contexts.where("context != ''").select("context", backoff.alias("backoff"))
+
+
+def word_key(word):
+    """A word's name in joins; long words would travel once for each of their n-grams."""
+    return word if len(word) <= LONG else "#" + hashlib.md5(word.encode()).hexdigest()
+
+
+def split_word(word, head):
+    """Characters read, sum over the n-grams in ``head``, counts of the others, filled
+    up to ORDER characters on their left with marks that no n-gram of the model has."""
+    padded, total, rare = f"^{word}$", 0, Counter()
+    for i in range(1, len(padded)):
+        gram = padded[max(0, i - ORDER + 1):i + 1]
+        found = head.get(gram)
+        if found is None:
+            rare[gram.rjust(ORDER, "^")] += 1
+        else:
+            total += found
+    return len(padded) - 1, total, rare
+
+
+def units(ratio):
+    return F.round(ratio * UNIT).cast("bigint")
+
+
+def word_totals(words: DataFrame, head, ratios: DataFrame, backoffs: DataFrame) -> DataFrame:
+    """Distinct (word), each with an n-gram outside the broadcast ``head``, to (key,
+    chars, total): ``word_ratio`` is total / UNIT / chars."""
+
+    def run(batches):
+        known = head.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                out = []
+                for word in batch.column(0).slice(at, 1000).to_pylist():
+                    chars, total, rare = split_word(word, known)
+                    key = word_key(word)
+                    out += [(key, chars, total, g, k) for g, k in rare.items()]
+                if out:
+                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "chars", "base", "gram", "times"])
+
+    at = words.select("word").mapInArrow(run, "key string, chars bigint, base bigint, gram string, times bigint")
+    at = materialise(at, "toxic-word-grams")
+    parts = at.select("gram").distinct().select(F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n"), "gram")
+    parts = parts.select("n", F.expr("substring(gram, -n)").alias("gram")).distinct()
+    parts = parts.join(ratios, "gram", "left").withColumn("context", F.expr("substring(gram, 1, n - 1)"))
+    parts = materialise(parts.join(backoffs, "context", "left").select("n", "gram", "ratio", "backoff"), "toxic-word-parts")
+    read = None
+    for n in range(1, ORDER + 1):
+        part = parts.where(F.col("n") == n)
+        fallback = F.lit(0.0)
+        if read is not None:
+            part = part.withColumn("tail", F.expr("substring(gram, 2)")).join(
+                read.select(F.col("gram").alias("tail"), F.col("s").alias("lower")), "tail")
+            fallback = F.coalesce("backoff", F.lit(0.0)) + F.col("lower")
+        read = part.select("gram", F.coalesce("ratio", fallback).alias("s"))
+    summed = at.join(read, "gram").groupBy("key").agg(
+        F.max("chars").alias("chars"), (F.max("base") + F.sum(F.col("times") * units(F.col("s")))).alias("total"))
+    return materialise(summed, "toxic-words")
+
+
 def kneser_ney_ratios(grams) -> tuple[dict, dict]:
     """(gram, c0, c1) rows to {gram: log P1/P0 of its last character} and
-    {context: log of the back-off weights' ratio}."""
+    {context: log of the back-off weights' ratio}, in memory."""
     counts = [{}, {}]
     for gram, *pair in grams:
         for c, n in zip(counts, pair):
@@ -140,22 +267,6 @@ def word_ratio(word, ratios, backoffs):
     return total / (len(padded) - 1)
 
 
-def features(text, ratio, cache):
-    """Ratio per character of the whole text, of its leading word, and of its leading words together."""
-    words = WORD.findall(text.lower())
-    if not words:
-        return 0.0, 0.0, 0.0
-    kinds = set(words)
-    if len(cache) > CACHE:
-        cache.clear()
-    for w in kinds:
-        if w not in cache:
-            cache[w] = ratio(w)
-    whole = sum(cache[w] * (len(w) + 1) for w in words) / sum(len(w) + 1 for w in words)
-    leading = sorted((cache[w] for w in kinds), reverse=True)[:TOP]
-    return whole, leading[0], sum(leading) / TOP
-
-
 def fit_logistic(x, y, ridge=1e-2, rounds=50):
     """Weights (intercept last) of a ridge logistic regression, by Newton steps."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -177,10 +288,30 @@ def small_labels(labels: DataFrame, max_rows=5_000_000) -> DataFrame:
     return F.broadcast(labels) if labels.count() <= max_rows else labels
 
 
+def word_features(words, head, cache):
+    """Of a list of words: characters read, total of the known ones, leading ratios of the known ones, the others' counts."""
+    chars, total, leading, rare = 0, 0, [], []
+    if len(cache) > CACHE:
+        cache.clear()
+    for word, n in Counter(words).items():
+        chars += (len(word) + 1) * n
+        found = cache.get(word, cache)
+        if found is cache:
+            _, found, others = split_word(word, head)
+            found = cache[word] = None if others else found
+        if found is None:
+            rare.append({"word": word, "times": n})
+        else:
+            total += found * n
+            leading.append(found / UNIT / (len(word) + 1))
+    return chars, total, sorted(leading, reverse=True)[:TOP], rare
+
+
 class ToxicityModel:
-    """Two models and a curve.  ``max_grams`` bounds the broadcast table; counting
-    goes over all labelled rows of folds 1 to 3 (of five; fold 0 is held out), the
-    curve is fitted on fold 4, on at most about ``max_curve_rows`` rows of it."""
+    """Two models and a curve.  Counting goes over all labelled rows of folds 1 to
+    3 (of five; fold 0 is held out) and keeps every n-gram; the curve is fitted on
+    fold 4, on at most about ``max_curve_rows`` rows of it.  ``max_grams`` bounds the
+    broadcast table of frequent n-grams, all others are joined by shuffle."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", max_grams=300_000, max_curve_rows=20_000):
         spark = docs.sparkSession
@@ -194,40 +325,59 @@ class ToxicityModel:
         labelled = rows.join(small_labels(toxic), F.col("k_") == F.col("l_"))
         words = count_words(labelled.where("fold < 4").select("toxic", "text"))
         grams = materialise(count_grams(words), "toxic-grams")
-        bound = head_bound(grams.select((F.col("c0") + F.col("c1")).alias("n")), max_grams)
-        table = grams.where(F.col("c0") + F.col("c1") >= bound).toArrow()
-        self.tables = spark.sparkContext.broadcast(kneser_ney_ratios(zip(*(c.to_pylist() for c in table.columns))))
+        self.ratios, self.backoffs = ratio_tables(grams)
+        n = F.col("c0") + F.col("c1")
+        bound = head_bound(grams.select(n.alias("n")), max_grams)
+        head = self.ratios.join(grams.where(n >= bound).select("gram"), "gram").select("gram", units(F.col("ratio")).alias("u")).toArrow()
+        self.head = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in head.columns))))
         share = F.pmod(F.xxhash64("l_"), F.lit(max(n_curve, 1))) < max_curve_rows
         curve = self.described(labelled.where("fold = 4").where(share).select(F.col("toxic").alias("id"), "text")).toArrow()
         y = curve.column("id").to_numpy().astype(float)
         x = np.stack([curve.column(c).to_numpy() for c in ("whole", "top", "leading")], axis=1)
+        order = np.lexsort((*x.T, y))
+        x, y = x[order], y[order]
         # one class only, or no rows: the curve is flat at the share of toxic rows
         self.curve = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, 0.0, 10.0 if len(y) and y.all() else -10.0])
 
     def described(self, rows: DataFrame) -> DataFrame:
-        """(id, .., text) to (id, .., whole, top, leading)."""
-        tables = self.tables
+        """(id, .., text) to (id, .., whole, top, leading): ratio per character of the
+        whole text, of its leading word, and of its leading words together."""
+        head = self.head
         names = [c for c in rows.columns if c != "text"]
-        schema = rows.select(*names).schema
-        for c in ("whole", "top", "leading"):
-            schema = schema.add(c, "double")
+        rows = rows.select(*names, F.monotonically_increasing_id().alias("row_"), "text")
+        added = "chars bigint, known bigint, leading array<double>, rare array<struct<word: string, times: bigint>>"
+        schema = StructType(rows.drop("text").schema.fields + StructType.fromDDL(added).fields)
+        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))]
 
         def run(batches):
-            ratios, backoffs = tables.value
-            cache = {}
-
-            def ratio(word):
-                return word_ratio(word, ratios, backoffs)
-
+            known, cache = head.value, {}
             for batch in batches:
                 for at in range(0, batch.num_rows, 1000):
                     part = batch.slice(at, 1000)
-                    texts = part.column(part.schema.get_field_index("text")).to_pylist()
-                    found = np.array([features(t or "", ratio, cache) for t in texts])
-                    kept = [part.column(part.schema.get_field_index(n)) for n in names]
-                    yield pa.RecordBatch.from_arrays(kept + [pa.array(found[:, k]) for k in range(3)], names=schema.names)
-
-        return rows.mapInArrow(run, schema)
+                    found = [word_features(WORD.findall((t or "").lower()), known, cache) for t in part.column(part.num_columns - 1).to_pylist()]
+                    yield pa.RecordBatch.from_arrays(
+                        part.columns[:-1] + [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=schema.names)
+
+        parts = materialise(rows.mapInArrow(run, schema), "toxic-rows")
+        key = F.when(F.char_length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit("#"), F.md5("word")))
+        rare = parts.select("row_", F.inline("rare"))
+        totals = word_totals(rare.select("word").distinct(), head, self.ratios, self.backoffs)
+        rare = rare.select("row_", "times", key.alias("key")).join(totals, "key").groupBy("row_").agg(
+            F.sum(F.col("times") * F.col("total")).alias("others"),
+            F.slice(F.sort_array(F.collect_list(F.col("total") / UNIT / F.col("chars")), False), 1, TOP).alias("more"))
+        both = F.slice(F.sort_array(F.concat("leading", F.coalesce("more", F.array().cast("array<double>"))), False), 1, TOP)
+        total = F.col("known") + F.coalesce("others", F.lit(0))
+        read = parts.drop("rare").join(rare, "row_", "left").withColumn("leading", both)
+        some = F.col("chars") > 0
+        whole = F.when(some, total / UNIT / F.col("chars")).otherwise(0.0)
+        top = F.when(some, F.get("leading", F.lit(0))).otherwise(0.0)
+        return read.select(*names, whole.alias("whole"), top.alias("top"),
+                           (F.aggregate("leading", F.lit(0.0), lambda s, v: s + v) / TOP).alias("leading"))
+
+    def margin(self):
+        """The curve's log-odds; toxic from 0."""
+        a, b, c, d = (float(v) for v in self.curve)
+        return F.col("whole") * a + F.col("top") * b + F.col("leading") * c + d
 
     def score(self, docs: DataFrame, *, key="doc_id", text="text") -> DataFrame:
         """One row per row of ``docs``: (doc_id, held_out, score, predicted).
@@ -236,17 +386,20 @@ class ToxicityModel:
         words.  Repeated rows are scored each; an empty table gives an empty result.
         """
         rows = docs.select(F.col(key).alias("doc_id"), (held_out_fold(key, 5) == 0).alias("held_out"), F.col(text).alias("text"))
-        a, b, c, d = (float(v) for v in self.curve)
-        z = F.col("whole") * a + F.col("top") * b + F.col("leading") * c + d
-        scored = self.described(rows).withColumn("score", 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(700.0)), F.lit(-700.0)))))
+        z = F.greatest(F.least(self.margin(), F.lit(700.0)), F.lit(-700.0))
+        scored = self.described(rows).withColumn("score", 1 / (1 + F.exp(-z)))
         return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, model: ToxicityModel, *, key="doc_id", text="text") -> DataFrame:
-    """``docs`` without those that the model calls toxic; all columns stay.  The
-    verdict travels with the row, so texts are not shuffled."""
+def drop_toxic(docs: DataFrame, model: ToxicityModel, *, key="doc_id", text="text", max_broadcast=500_000) -> DataFrame:
+    """``docs`` without those that the model calls toxic; all columns stay.  Toxic
+    texts come back as digests, broadcast if they prove to be few, so that texts
+    are not shuffled then."""
     names = docs.columns
-    marked = docs.select(F.struct(*names).alias("row_"), F.col(text).alias("text"))
-    a, b, c, d = (float(v) for v in model.curve)
-    z = F.col("whole") * a + F.col("top") * b + F.col("leading") * c + d
-    return model.described(marked).where(~(z >= 0)).select(*[F.col("row_").getField(n).alias(n) for n in names])
+    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+    judged = model.described(docs.select(digest.alias("digest"), F.col(text).alias("text")))
+    toxic = materialise(judged.where(model.margin() >= 0).select(F.col("digest").alias("toxic_")).distinct(), "toxic-texts")
+    toxic = small_labels(toxic, max_broadcast)
+    marked = docs.select(F.struct(*names).alias("row_"), digest.alias("digest_"))
+    kept = marked.join(toxic, F.col("digest_") == F.col("toxic_"), "left_anti")
+    return kept.select(*[F.col("row_").getField(n).alias(n) for n in names])

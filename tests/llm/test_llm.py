@@ -218,6 +218,48 @@ def test_kneser_ney_sums_to_one():
     assert toxicity.word_ratio("ababcd", ratios, backoffs) != 0
 
 
+@pytest.fixture(scope="module")
+def labelled_words(spark):
+    """Rare words in plenty, some only in texts that are scored; one of very many characters."""
+    kinds = ["".join(chr(97 + (i * 31 + j * j * 7 + i // (j + 1)) % 26) for j in range(3 + i % 9)) for i in range(400)]
+    rows = [(i, " ".join(kinds[(i * 17 + j * (3 if i % 2 else 5)) % 400] for j in range(20)) + (" idiot" if i % 2 else "")) for i in range(200)]
+    rows += [(200, "unseen wörter only idiotic"), (201, None), (202, "zq" * 5000 + " idiot"), (203, "...")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id bigint, toxic int")
+    return spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), labels
+
+
+def test_toxicity_counts_all_grams(labelled_words):
+    # the tables against the same model in memory, over every n-gram of the learning rows
+    frame, labels = labelled_words
+    model = toxicity.ToxicityModel(frame, labels, max_grams=200)
+    counts = {}
+    for i, text in frame.where("doc_id < 200").collect():
+        if 0 < zlib.crc32(str(i).encode()) % 5 < 4:
+            for w in toxicity.WORD.findall(text.lower()):
+                padded = f"^{w}$"
+                for k in range(1, len(padded)):
+                    counts.setdefault(padded[max(0, k - 5):k + 1], [0, 0])[i % 2] += 1
+    ratios, backoffs = toxicity.kneser_ney_ratios((g, *c) for g, c in counts.items())
+    assert dict(map(tuple, model.ratios.collect())) == pytest.approx(ratios)
+    assert dict(map(tuple, model.backoffs.collect())) == pytest.approx(backoffs)
+    texts = dict(map(tuple, frame.collect()))
+    for r in model.described(frame).collect():
+        words = toxicity.WORD.findall((texts[r.doc_id] or "").lower())
+        got = {w: toxicity.word_ratio(w, ratios, backoffs) for w in words}
+        whole = sum(got[w] * (len(w) + 1) for w in words) / sum(len(w) + 1 for w in words) if words else 0
+        best = sorted(got.values(), reverse=True)[:3] or [0]
+        assert (r.whole, r.top, r.leading) == pytest.approx((whole, best[0], sum(best) / 3), abs=1e-6)
+
+
+def test_toxicity_does_not_depend_on_bounds(labelled_words):
+    frame, labels = labelled_words
+    few, all_ = (toxicity.ToxicityModel(frame, labels, max_grams=n) for n in (0, 300_000))
+    one, other = (sorted(map(tuple, m.score(frame).collect())) for m in (few, all_))
+    assert [r[0] for r in one] == list(range(204)) and one == other
+    kept = [sorted(r.doc_id for r in toxicity.drop_toxic(frame, few, max_broadcast=n).collect()) for n in (0, 1000)]
+    assert kept[0] == kept[1] == [r[0] for r in one if not r[3]]
+
+
 def test_host_rules_awkward(repeated, empty):
     rows = host_rules.judge_by_host(repeated).collect()
     assert len(rows) == 2 * len(ROWS) + 2
