@@ -10,7 +10,8 @@ rank merge, so a shard of n batches has at most log2(n) + 1 levels.
 
 Within a unit of input equal runs are resolved before anything is sent: only the
 least document id travels, so a passage that stands in a third of all documents
-reaches its shard once per unit.
+reaches its shard once per unit.  Where a text repeats itself every few bytes (a
+stretch of blanks), its equal runs travel as one run with a step and a count.
 """
 
 import hashlib
@@ -29,6 +30,8 @@ POSITION = 28  # bits
 PIECE = 4 << 20  # long texts are cut into overlapping pieces of this size
 UNIT = 8 << 20  # bytes of text whose runs are compared before they are sent
 BATCH = 1 << 16  # suffixes
+CHAIN = 1 << 12  # equal runs that travel as one
+PAIRS = 1 << 20  # places of hits looked at together
 
 
 def eights(data):
@@ -116,9 +119,39 @@ def text_rows(slices, n_buckets):
         yield bucket, packed(*(np.concatenate(x) for x in zip(*pieces)))
 
 
-def hit_rows(ids, starts, ends, prints, n_buckets):
+def chained(starts, same, length):
+    """Equal runs at even, short distances: first of each chain, its step, its count.
+    ``starts`` ascends; short distances do not reach into another row's run."""
+    order = np.argsort(same, kind="stable")
+    gaps = np.diff(starts[order], prepend=0)
+    link = gaps <= length // 2
+    link[:1] = False
+    link[1:] &= same[order][1:] == same[order][:-1]
+    begins = ~link
+    begins[1:] |= link[:-1] & (gaps[1:] != gaps[:-1])
+    number = np.arange(len(order))
+    begins |= (number - np.maximum.accumulate(np.where(begins, number, 0))) % CHAIN == 0
+    first = np.flatnonzero(begins)
+    counts = np.diff(np.append(first, len(order)))
+    steps = np.where(counts > 1, gaps[np.minimum(first + 1, max(len(order) - 1, 0))], 0)
+    back = np.argsort(order[first])
+    return order[first][back], steps[back], counts[back]
+
+
+def chains(steps, counts):
+    """What is sent of them: nothing if every run stands alone."""
+    return (steps.astype(np.int32), counts.astype(np.int32)) if (counts > 1).any() else ()
+
+
+def with_chains(arrays, n):
+    """``n`` unpacked arrays, then steps and counts."""
+    rows = len(arrays[0])
+    return arrays if len(arrays) > n else [*arrays, np.zeros(rows, np.int32), np.ones(rows, np.int32)]
+
+
+def hit_rows(ids, starts, ends, prints, steps, counts, n_buckets):
     for bucket, i in split_by(ids % n_buckets):
-        yield bucket, packed(ids[i], starts[i], (ends - starts)[i].astype(np.int32), prints[i].astype(np.uint32))
+        yield bucket, packed(ids[i], starts[i], (ends - starts)[i].astype(np.int32), prints[i].astype(np.uint32), *chains(steps[i], counts[i]))
 
 
 def unit_rows(slices, length, n_shards, powers):
@@ -129,9 +162,12 @@ def unit_rows(slices, length, n_shards, powers):
         starts, ends, at, prints, row = anchored_runs(data, offsets, length)
         sums = prefix_sums(data, powers)
         text = span_prints(sums, starts, ends, powers)
+        del sums
         same = spread_bits(text + (at - starts).astype(np.uint64))
-        found.append((np.full(len(starts), k), starts, ends, at - starts, prints, ids[row], bases[row] + starts - offsets[row], same, text))
-    slice_no, starts, ends, at, prints, ids, positions, same, text = (np.concatenate(x) for x in zip(*found))
+        first, step, count = chained(starts, spread_bits(same + row.astype(np.uint64)), length)
+        starts, ends, at, prints, row, same, text = (x[first] for x in (starts, ends, at, prints, row, same, text))
+        found.append((np.full(len(starts), k), starts, ends, at - starts, prints, ids[row], bases[row] + starts - offsets[row], same, text, step, count))
+    slice_no, starts, ends, at, prints, ids, positions, same, text, step, count = (np.concatenate(x) for x in zip(*found))
     if not len(starts):
         return
     order = np.lexsort((ids, same))
@@ -141,7 +177,7 @@ def unit_rows(slices, length, n_shards, powers):
     hit = np.zeros(len(order), bool)
     hit[order] = ids[order] > least
     h = np.flatnonzero(hit)
-    for bucket, blob in hit_rows(ids[h], positions[h], positions[h] + (ends - starts)[h], text[h], n_shards):
+    for bucket, blob in hit_rows(ids[h], positions[h], positions[h] + (ends - starts)[h], text[h], step[h], count[h], n_shards):
         yield bucket, bucket, blob
     shard = ((prints >> U(POSITION)) % U(n_shards)).astype(np.int64)
     shard[hit] = -1
@@ -154,7 +190,8 @@ def unit_rows(slices, length, n_shards, powers):
     for s, pieces in parts.items():
         i = np.concatenate([p[0] for p in pieces])
         steps = np.diff(ids[i], prepend=0)
-        yield s, -1, packed(steps, positions[i], (ends - starts)[i].astype(np.uint8), at[i].astype(np.uint8), np.concatenate([p[1] for p in pieces]))
+        yield s, -1, packed(steps, positions[i], (ends - starts)[i].astype(np.uint8), at[i].astype(np.uint8), np.concatenate([p[1] for p in pieces]),
+                            *chains(step[i], count[i]))
 
 
 def equal_bytes(words, tail, a, b, length):
@@ -195,11 +232,12 @@ class LevelFamily:
 
 
 def shard_hits(blobs, length, powers):
-    """Hits among the runs of one shard: (ids, starts, ends, prints)."""
-    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
-    parts = [unpacked(b) for b in blobs]
+    """Hits among the runs of one shard: (ids, starts, ends, prints, steps, counts)."""
+    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] + [np.zeros(0, np.int32)] * 2
+    parts = [with_chains(unpacked(b), 5) for b in blobs]
     ids = np.concatenate([np.cumsum(p[0]) for p in parts])
     positions, sizes, at = (np.concatenate([p[k] for p in parts]).astype(np.int64) for k in (1, 2, 3))
+    step, count = (np.concatenate([p[k] for p in parts]) for k in (5, 6))
     data = np.concatenate([p[4] for p in parts] + [np.zeros(8, np.uint8)])
     del parts
     begins = np.cumsum(sizes) - sizes
@@ -214,7 +252,7 @@ def shard_hits(blobs, length, powers):
     if not len(kept):
         return none
     kept = kept[np.argsort(ids[kept], kind="stable")]
-    ids, positions, sizes = ids[kept], positions[kept], sizes[kept]
+    ids, positions, sizes, step, count = ids[kept], positions[kept], sizes[kept], step[kept], count[kept]
     data = np.append(gathered(data, begins[kept], begins[kept] + sizes), np.zeros(8, np.uint8))
     begins = np.cumsum(sizes) - sizes
     sums = prefix_sums(data, powers)
@@ -246,26 +284,34 @@ def shard_hits(blobs, length, powers):
     a, b = h[opens], h[np.append(opens[1:], True)]
     start = positions[run[a]] + place[a] - begins[run[a]]
     end = positions[run[b]] + place[b] - begins[run[b]] + length
-    return owner[a], start, end, span_prints(sums, place[a], place[b] + length, powers)
+    return owner[a], start, end, span_prints(sums, place[a], place[b] + length, powers), step[run[a]], count[run[a]]
 
 
 def removed_mask(data, offsets, ids, hits, powers):
     """Which bytes of a slice go.  A hit counts for a row of its id whose text has
-    the same bytes at its place."""
-    hit_ids, starts, sizes, prints = hits
+    the same bytes at its place, and at each further place of its chain."""
+    hit_ids, starts, sizes, prints, steps, counts = hits
     low, high = np.searchsorted(hit_ids, ids, side="left"), np.searchsorted(hit_ids, ids, side="right")
     n = high - low
     row = np.repeat(np.arange(len(ids)), n)
     i = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    begin = offsets[row] + starts[i]
-    end = begin + sizes[i]
-    fits = end <= offsets[row + 1]
-    begin, end, i = begin[fits], end[fits], i[fits]
     sums = prefix_sums(data, powers)
-    same = span_prints(sums, begin, end, powers).astype(np.uint32) == prints[i]
     change = np.zeros(len(data) + 1, np.int32)
-    np.add.at(change, begin[same], 1)
-    np.add.at(change, end[same], -1)
+    places = np.cumsum(counts[i], dtype=np.int64)
+    first = 0
+    while first < len(i):
+        last = max(first + 1, int(np.searchsorted(places, (places[first - 1] if first else 0) + PAIRS, side="right")))
+        j, r, n = i[first:last], row[first:last], counts[i[first:last]].astype(np.int64)
+        number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        j, r = np.repeat(j, n), np.repeat(r, n)
+        begin = offsets[r] + starts[j] + number * steps[j]
+        end = begin + sizes[j]
+        fits = end <= offsets[r + 1]
+        begin, end, j = begin[fits], end[fits], j[fits]
+        same = span_prints(sums, begin, end, powers).astype(np.uint32) == prints[j]
+        np.add.at(change, begin[same], 1)
+        np.add.at(change, end[same], -1)
+        first = last
     return np.cumsum(change[:-1]) > 0
 
 
@@ -277,8 +323,9 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
     empty; null ids count as the greatest id and stay null; rows that share an id
     are one document in that none removes from the other; an empty table gives an
     empty result.  ``kept`` (optional) has the remaining bytes.  ``length`` is
-    between 20 and 120.  Memory per task is bounded by ``shard_bytes`` of text,
-    apart from a single longer text.
+    between 20 and 120.  A task holds about ``shard_bytes`` of text, apart from a
+    single longer text, all texts of one id (null is one), and all different
+    surroundings of one anchor, which stay in one shard.
     """
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")).withColumn(
         "id_", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -316,8 +363,7 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
         out = [(b, blob) for b, blob in zip(buckets, blobs) if b >= 0]
         runs = [blob for b, blob in zip(buckets, blobs) if b < 0]
         if runs:
-            ids, starts, ends, prints = shard_hits(runs, length, powers)
-            out += hit_rows(ids, starts, ends, prints, n_shards)
+            out += hit_rows(*shard_hits(runs, length, powers), n_shards)
         return pa.table({"bucket": pa.array([b for b, _ in out], pa.int64()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
@@ -343,7 +389,8 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
 
     def finish(texts, found):
         powers = Powers()
-        parts = [unpacked(b) for b in found.column("blob").to_pylist()] or [unpacked(packed(*[np.zeros(0, t) for t in ("<i8", "<i8", "<i4", "<u4")]))]
+        none = [np.zeros(0, t) for t in ("<i8", "<i8", "<i4", "<u4")]
+        parts = [with_chains(p, 4) for p in [unpacked(b) for b in found.column("blob").to_pylist()] or [none]]
         hits = [np.concatenate(x) for x in zip(*parts)]
         order = np.argsort(hits[0], kind="stable")
         hits = [h[order] for h in hits]

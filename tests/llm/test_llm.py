@@ -80,6 +80,31 @@ def test_repeats(docs, shard_bytes):
     assert sorted(map(tuple, got)) == sorted(brute_repeats([r[:2] for r in ROWS], 50))
 
 
+def test_repeats_in_stretches(spark, monkeypatch):
+    # texts that repeat themselves every few bytes, short and long, in pieces and across units
+    monkeypatch.setattr(suffix_dedup, "PIECE", 4096)
+    monkeypatch.setattr(suffix_dedup, "UNIT", 8192)
+    monkeypatch.setattr(suffix_dedup, "CHAIN", 100)
+    monkeypatch.setattr(suffix_dedup, "PAIRS", 300)
+    stretches = [" " * 9000, "x" + " " * 3000 + "y", "=-" * 700 + "abc" * 300, ("=" * 60 + " head ") * 20, "abc" * 20 + "." + "=" * 51, "é" * 2000,
+                 "0123456789" * 6 + BASE[:70] + "0123456789" * 9, " " * 49 + "z", "".join("ab" * (20 + i) + "#" for i in range(30)), " " * 4500]
+    rows = list(enumerate(stretches + stretches[::-1]))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for shard_bytes in (1 << 20, 1 << 12):
+        got = suffix_dedup.remove_repeats(frame, shard_bytes=shard_bytes).collect()
+        assert sorted(map(tuple, got)) == sorted(brute_repeats(rows, 50))
+
+
+@pytest.mark.parametrize("text", [b" " * 100_000, b"=-" * 50_000, b"0123456789abcde" * 7_000])
+def test_stretch_is_sent_once(text):
+    import numpy as np
+
+    data = np.frombuffer(text, np.uint8)
+    unit = [(data, np.array([0, len(data)]), np.array([3]), np.array([0]))]
+    sent = [suffix_dedup.unpacked(blob) for _, _, blob in suffix_dedup.unit_rows(unit, 50, 4, suffix_dedup.Powers())]
+    assert 0 < sum(a.nbytes for arrays in sent for a in arrays) < len(data) / 4
+
+
 def test_repeats_in_pieces(docs, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "PIECE", 4096)
     monkeypatch.setattr(suffix_dedup, "UNIT", 8192)
