@@ -24,6 +24,10 @@ WORDS = {
     "en": "the and of to in that with for is as".split(),
     "fr": "le la les des de et un une que qui".split(),
 }
+WORDS_ALL = WORDS | {
+    "de": "der die das und den mit von zu im ist".split(),
+    "es": "el la los las de que y en con por".split(),
+}
 OTHER = "CASE lang WHEN 'en' THEN 'fr' ELSE 'en' END"
 
 # --- each kind of noise as CTEs from a table (row_id, lang, x, s) to the next ----
@@ -171,6 +175,25 @@ def noise_dropout(spark, sf):
     return shown(data.select("row_id", noisy.alias("input_ids")))
 
 
+def keyword_all_sql():
+    lists = [
+        f"SELECT '{lang}' AS lang, list(token_id) AS kw FROM vocab WHERE NOT is_special AND token IN ({', '.join(repr(w) for w in words)})"
+        for lang, words in WORDS_ALL.items()
+    ]
+    return f"kw AS ({' UNION ALL '.join(lists)})"
+
+
+@query("noise_dropout_all", f"""
+WITH {BASE}, {ROWS}, {keyword_all_sql()}, {dropout_sql('rows', 'done', 0.2, LENGTH)} SELECT row_id, {SHOW_X} AS input_ids FROM done""")
+def noise_dropout_all(spark, sf):
+    """All corpora of the table."""
+    data, vocab = rows(spark, sf)
+    ids = keyword_ids(vocab, WORDS_ALL)
+    x, l, s = xls()
+    noisy = F.coalesce(*[F.when(F.col("lang") == lang, N.noise_dropout(x, l, 0.2, s, ids[lang])) for lang in LANGS])
+    return shown(data.select("row_id", noisy.alias("input_ids")))
+
+
 def sampler(data, vocab):
     """Frequencies of the encoded rows, cut to the top and zipped."""
     freq = token_frequency(data)

@@ -82,6 +82,31 @@ def interleave_batches_shuffled(spark, sf):
     return out.select("row_id", "lang", "batch_id", "slot")
 
 
+INTERLEAVED_ALL = f"""
+r AS (SELECT doc_id AS row_id, lang, {IN_LANG} AS k, list_position({LANGS}, lang) - 1 AS d FROM documents),
+nb AS (SELECT min(n) // {BATCH} AS nb FROM (SELECT count(*) AS n FROM r GROUP BY lang)),
+inter AS (SELECT row_id, lang, (k // {BATCH}) * {len(LANGS)} + d AS batch_id, k % {BATCH} AS slot FROM r, nb WHERE k < nb * {BATCH})"""
+
+
+@query("interleave_batches_all", f"WITH {INTERLEAVED_ALL} SELECT * FROM inter")
+def interleave_batches_all(spark, sf):
+    """All corpora of the table."""
+    out = combine.interleave_batches(docs(spark, sf), LANGS, BATCH)
+    return out.select("row_id", "lang", "batch_id", "slot")
+
+
+@query("interleave_batches_shuffled_all", f"""
+WITH {INTERLEAVED_ALL},
+bo AS (SELECT batch_id, row_number() OVER (ORDER BY {h32(SEED, 'batch_id')}, batch_id) - 1 AS new_id
+       FROM (SELECT DISTINCT batch_id FROM inter)),
+so AS (SELECT slot, row_number() OVER (ORDER BY substr(md5('{SEED}|slot|' || slot), 1, 8), slot) - 1 AS new_slot
+       FROM (SELECT unnest(range({BATCH})) AS slot))
+SELECT row_id, lang, new_id AS batch_id, new_slot AS slot FROM inter JOIN bo USING (batch_id) JOIN so USING (slot)""")
+def interleave_batches_shuffled_all(spark, sf):
+    out = combine.interleave_batches(docs(spark, sf), LANGS, BATCH, shuffle_batches=True, shuffle_slots=True, seed=SEED)
+    return out.select("row_id", "lang", "batch_id", "slot")
+
+
 @query("train_from_valid", f"""
 SELECT doc_id AS row_id, lang, 'train' AS split FROM documents WHERE {SPLIT_SQL.format('doc_id')} = 'valid'""")
 def train_from_valid(spark, sf):
