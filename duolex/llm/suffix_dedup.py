@@ -1,11 +1,11 @@
-"""Removal of repeated byte strings with a logarithmic family of suffix indexes.
+"""Removal of repeated byte strings with a logarithmic family of hash-sorted window indexes.
 
 A match of 50 bytes holds at least one anchor: the 12 bytes with the least hash
 among those inside it.  Runs of suffixes that share their anchor travel together
 to the index shard of that anchor, so equal strings always meet.  A shard adds
 its suffixes in batches of ascending document id.  A batch is sorted by the
-first 50 bytes (through fingerprints, matches confirmed on the bytes), scanned
-against every level of the family, and becomes a level itself; levels of equal
+fingerprints of their first 50 bytes (no lexicographic order; matches are
+confirmed on the bytes), looked up in every level of the family, and becomes a level itself; levels of equal
 rank merge, so a shard of n batches has at most log2(n) + 1 levels.
 
 Within a unit of input equal runs are resolved before anything is sent: only the
