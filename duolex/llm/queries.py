@@ -2,7 +2,8 @@
 
 import public_tokenizers
 
-from duolex.llm import decontamination, host_rules, language_id, minhash, mixing, sharding, suffix_dedup, token_counts, toxicity, warc
+from duolex.llm import (
+    conversations, decontamination, host_rules, language_id, minhash, mixing, quality, sharding, suffix_dedup, token_counts, toxicity, warc, whitening)
 
 QUERIES, ORACLES = {}, {}
 
@@ -76,3 +77,19 @@ def op4_warc_derivatives(spark, sf_dir):
 def op5_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return toxicity.ToxicityModel(docs, table(spark, sf_dir, "labels")).score(docs)
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return whitening.Whitening(vectors).transform(vectors)
+
+
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark, sf_dir):
+    return conversations.repair_conversations(table(spark, sf_dir, "conversations"), damage=True)
+
+
+@query("op13_quality_classifier")
+def op13_quality_classifier(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
