@@ -8,15 +8,15 @@ ratio per character of all its words and of the words that stand out most, and a
 logistic curve, fitted on rows that neither model has seen, turns that into a score.
 
 All n-grams of all learning rows count, whatever their number: levels, discounts
-and back-off weights are tables.  The ratios of the most frequent n-grams travel as a
-broadcast of bounded size; a distinct word with any other n-gram is read once by
-joins with the tables.  The bound has no influence on the result.
+and back-off weights are tables.  A distinct word is read once through them, by joins
+on its n-grams, a bounded bucket of words at a time.  The words that the learning rows use
+most are read first and travel as a broadcast of bounded size; the others of each text are
+joined by word.  The bound has no influence on the result.
 """
 
 import hashlib
-import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -32,28 +32,36 @@ ORDER = 6
 SHARED = 3  # characters up to which both classes share their counts
 WORD = re.compile(r"\w+")
 TOP = 3  # words that stand out
-CACHE = 1 << 20
+CACHE = 200_000  # n-grams or short words counted before they are sent on, about 20 MB
+SENT = 20_000  # rows of a record batch
+BUCKET = 1_000_000  # characters of words that are read together
 LONG = 32  # characters from which a word is named by its digest
 UNIT = 1 << 26  # log-likelihoods are added up as whole numbers, in any order
 
 
+def class_counts(first, second, name):
+    """Two counters as record batches (name, c0, c1)."""
+    keys = list(first.keys() | second.keys())
+    for at in range(0, len(keys), SENT):
+        some = keys[at:at + SENT]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(some, pa.string())] + [pa.array([c[k] for k in some], pa.int64()) for c in (first, second)], names=[name, "c0", "c1"])
+
+
 def count_words(labelled: DataFrame) -> DataFrame:
     """(toxic, text) to (word, c0, c1): how often each class uses a word."""
 
     def run(batches):
-        def flushed(counts):
-            words = list({w for c in counts for w in c})
-            return pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.string())] + [pa.array([c[w] for w in words], pa.int64()) for c in counts], names=["word", "c0", "c1"])
-
-        counts = Counter(), Counter()
+        counts, long = (Counter(), Counter()), 0
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                counts[toxic].update(WORD.findall(text.lower()))
-            if len(counts[0]) + len(counts[1]) > CACHE:
-                yield flushed(counts)
-                counts = Counter(), Counter()
-        yield flushed(counts)
+            for toxic, text in zip(batch.column(0), batch.column(1)):
+                words = WORD.findall(text.as_py().lower())
+                counts[toxic.as_py()].update(words)
+                long += sum(len(w) for w in words if len(w) > LONG)
+                if len(counts[0]) + len(counts[1]) + long // 100 > CACHE:
+                    yield from class_counts(*counts, "word")
+                    counts, long = (Counter(), Counter()), 0
+        yield from class_counts(*counts, "word")
 
     return labelled.mapInArrow(run, "word string, c0 bigint, c1 bigint").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
@@ -62,23 +70,20 @@ def count_grams(words: DataFrame) -> DataFrame:
     """(gram, c0, c1): the longest n-gram that ends at each character of a word."""
 
     def run(batches):
-        def flushed(counts):
-            return pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.string())] + [pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(2)],
-                names=["gram", "c0", "c1"])
-
-        counts = defaultdict(lambda: [0, 0])
+        counts = Counter(), Counter()
         for batch in batches:
             for word, a, b in zip(*(c.to_pylist() for c in batch.columns)):
                 padded = f"^{word}$"
                 for i in range(1, len(padded)):
-                    entry = counts[padded[max(0, i - ORDER + 1):i + 1]]
-                    entry[0] += a
-                    entry[1] += b
-            if len(counts) > CACHE:
-                yield flushed(counts)
-                counts.clear()
-        yield flushed(counts)
+                    gram = padded[max(0, i - ORDER + 1):i + 1]
+                    if a:
+                        counts[0][gram] += a
+                    if b:
+                        counts[1][gram] += b
+                if len(counts[0]) + len(counts[1]) > CACHE:
+                    yield from class_counts(*counts, "gram")
+                    counts = Counter(), Counter()
+        yield from class_counts(*counts, "gram")
 
     return words.mapInArrow(run, "gram string, c0 bigint, c1 bigint").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
@@ -102,7 +107,8 @@ def gram_levels(grams: DataFrame) -> dict[int, DataFrame]:
 
 
 def ratio_tables(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``kneser_ney_ratios`` as tables (gram, ratio) and (context, backoff), for any number of n-grams."""
+    """Tables (gram, ratio): log P1/P0 of its last character, and (context, backoff): log of the
+    back-off weights' ratio."""
     levels = gram_levels(grams)
     every = None
     for n, level in levels.items():
@@ -145,48 +151,24 @@ def word_key(word):
     return word if len(word) <= LONG else "#" + hashlib.md5(word.encode()).hexdigest()
 
 
-def split_word(word, head):
-    """Characters read, sum over the n-grams in ``head``, counts of the others, filled
-    up to ORDER characters on their left with marks that no n-gram of the model has."""
-    padded, total, rare = f"^{word}$", 0, Counter()
-    for i in range(1, len(padded)):
-        gram = padded[max(0, i - ORDER + 1):i + 1]
-        found = head.get(gram)
-        if found is None:
-            rare[gram.rjust(ORDER, "^")] += 1
-        else:
-            total += found
-    return len(padded) - 1, total, rare
+def windows_of(word):
+    """The n-gram that ends at each character of a word, filled up to ORDER characters on
+    its left with marks that no n-gram of the model has."""
+    padded = "^" * (ORDER - 1) + word + "$"
+    return [padded[i:i + ORDER] for i in range(len(word) + 1)]
 
 
 def units(ratio):
     return F.round(ratio * UNIT).cast("bigint")
 
 
-def word_totals(words: DataFrame, head, ratios: DataFrame, backoffs: DataFrame) -> DataFrame:
-    """Distinct (word), each with an n-gram outside the broadcast ``head``, to (key,
-    chars, total): ``word_ratio`` is total / UNIT / chars."""
-
-    def run(batches):
-        known = head.value
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                out = []
-                for word in batch.column(0).slice(at, 1000).to_pylist():
-                    chars, total, rare = split_word(word, known)
-                    key = word_key(word)
-                    out += [(key, chars, total, g, k) for g, k in rare.items()]
-                if out:
-                    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["key", "chars", "base", "gram", "times"])
-
-    at = words.select("word").mapInArrow(run, "key string, chars bigint, base bigint, gram string, times bigint")
-    at = materialise(at, "toxic-word-grams")
-    parts = at.select("gram").distinct().select(F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n"), "gram")
+def read_grams(grams: DataFrame, ratios: DataFrame, backoffs: DataFrame) -> DataFrame:
+    """Distinct filled (gram) to (gram, u): the ratio of its last character in whole units,
+    from the longest n-gram that the model knows and the weights of the longer contexts."""
+    parts = grams.select(F.explode(F.sequence(F.lit(1), F.lit(ORDER))).alias("n"), "gram")
     parts = parts.select("n", F.expr("substring(gram, -n)").alias("gram")).distinct()
     parts = parts.join(ratios, "gram", "left").withColumn("context", F.expr("substring(gram, 1, n - 1)"))
-    parts = materialise(parts.join(backoffs, "context", "left").select("n", "gram", "ratio", "backoff"), "toxic-word-parts")
+    parts = materialise(parts.join(backoffs, "context", "left").select("n", "gram", "ratio", "backoff"), "toxic-parts")
     read = None
     for n in range(1, ORDER + 1):
         part = parts.where(F.col("n") == n)
@@ -196,75 +178,33 @@ def word_totals(words: DataFrame, head, ratios: DataFrame, backoffs: DataFrame)
                 read.select(F.col("gram").alias("tail"), F.col("s").alias("lower")), "tail")
             fallback = F.coalesce("backoff", F.lit(0.0)) + F.col("lower")
         read = part.select("gram", F.coalesce("ratio", fallback).alias("s"))
-    summed = at.join(read, "gram").groupBy("key").agg(
-        F.max("chars").alias("chars"), (F.max("base") + F.sum(F.col("times") * units(F.col("s")))).alias("total"))
-    return materialise(summed, "toxic-words")
-
-
-def kneser_ney_ratios(grams) -> tuple[dict, dict]:
-    """(gram, c0, c1) rows to {gram: log P1/P0 of its last character} and
-    {context: log of the back-off weights' ratio}, in memory."""
-    counts = [{}, {}]
-    for gram, *pair in grams:
-        for c, n in zip(counts, pair):
-            if n:
-                c[gram] = n
-    by_order = [[defaultdict(int) for _ in range(ORDER + 1)] for _ in counts]
-    for c, levels in zip(counts, by_order):
-        for gram, n in c.items():
-            levels[len(gram)][gram] += n
-        for n in range(ORDER, 1, -1):  # lower orders count in how many contexts they continue
-            for gram in levels[n]:
-                levels[n - 1][gram[1:]] += 1
-    for n in range(1, SHARED + 1):
-        both = defaultdict(int)
-        for levels in by_order:
-            for gram, k in levels[n].items():
-                if not gram.startswith("^"):
-                    both[gram] += k
-        for levels in by_order:
-            levels[n] = {**{g: k for g, k in levels[n].items() if g.startswith("^")}, **both}
-    n_chars = len(by_order[0][1]) + 1
-    known = [{}, {}]
-    weights = [{}, {}]
-    ratios = {}
-    for n in range(1, ORDER + 1):
-        grams_n = set(by_order[0][n]) | set(by_order[1][n])
-        for levels, p, w in zip(by_order, known, weights):
-            spread = Counter(levels[n].values())
-            discount = spread[1] / (spread[1] + 2 * spread[2]) if spread[1] and spread[2] else 0.75
-            total, kinds = defaultdict(int), defaultdict(int)
-            for gram, k in levels[n].items():
-                total[gram[:-1]] += k
-                kinds[gram[:-1]] += 1
-            for context, t in total.items():
-                w[context] = discount * kinds[context] / t
-            for gram in grams_n:
-                context = gram[:-1]
-                lower = p.get(gram[1:], 1 / n_chars) if n > 1 else 1 / n_chars
-                if context in total:
-                    p[gram] = max(levels[n].get(gram, 0) - discount, 0) / total[context] + w[context] * lower
-                else:
-                    p[gram] = lower
-        for gram in grams_n:
-            ratios[gram] = math.log(known[1][gram] / known[0][gram])
-    contexts = set(weights[0]) | set(weights[1])
-    return ratios, {c: math.log(weights[1].get(c, 1.0) / weights[0].get(c, 1.0)) for c in contexts if c}
-
-
-def word_ratio(word, ratios, backoffs):
-    """Log-likelihood ratio of a word, toxic over ordinary, per character read."""
-    padded, total = f"^{word}$", 0.0
-    for i in range(1, len(padded)):
-        low = max(0, i - ORDER + 1)
-        while low <= i:
-            found = ratios.get(padded[low:i + 1])
-            if found is not None:
-                total += found
-                break
-            total += backoffs.get(padded[low:i], 0.0)
-            low += 1
-    return total / (len(padded) - 1)
+    return read.select("gram", units(F.col("s")).alias("u"))
+
+
+def word_totals(words: DataFrame, ratios: DataFrame, backoffs: DataFrame) -> DataFrame:
+    """Distinct (word) to (key, chars, total): its log-likelihood ratio is total / UNIT.
+
+    Words are dealt into buckets of about BUCKET characters.  A bucket asks once for each
+    of its n-grams, and adds up its words when the answers have come.
+    """
+    words = materialise(words.select("word"), "toxic-words")
+    n_chars = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
+    words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(n_chars // BUCKET + 1)))
+
+    def asked(group):
+        found = {g for word in group.column("word").to_pylist() for g in windows_of(word)}
+        return pa.table({"bucket": pa.array([group.column("bucket")[0].as_py()] * len(found), pa.int64()), "gram": pa.array(list(found), pa.string())})
+
+    def added(group, answers):
+        known = dict(zip(answers.column("gram").to_pylist(), answers.column("u").to_pylist()))
+        own = group.column("word").to_pylist()
+        return pa.table({"key": pa.array([word_key(w) for w in own], pa.string()), "chars": pa.array([len(w) + 1 for w in own], pa.int64()),
+                         "total": pa.array([sum(map(known.__getitem__, windows_of(w))) for w in own], pa.int64())})
+
+    asks = materialise(words.groupBy("bucket").applyInArrow(asked, "bucket bigint, gram string"), "toxic-asks")
+    answers = asks.join(read_grams(asks.select("gram").distinct(), ratios, backoffs), "gram")
+    totals = words.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(added, "key string, chars bigint, total bigint")
+    return materialise(totals, "toxic-totals")
 
 
 def fit_logistic(x, y, ridge=1e-2, rounds=50):
@@ -288,17 +228,12 @@ def small_labels(labels: DataFrame, max_rows=5_000_000) -> DataFrame:
     return F.broadcast(labels) if labels.count() <= max_rows else labels
 
 
-def word_features(words, head, cache):
+def word_features(words, known):
     """Of a list of words: characters read, total of the known ones, leading ratios of the known ones, the others' counts."""
     chars, total, leading, rare = 0, 0, [], []
-    if len(cache) > CACHE:
-        cache.clear()
     for word, n in Counter(words).items():
         chars += (len(word) + 1) * n
-        found = cache.get(word, cache)
-        if found is cache:
-            _, found, others = split_word(word, head)
-            found = cache[word] = None if others else found
+        found = known.get(word)
         if found is None:
             rare.append({"word": word, "times": n})
         else:
@@ -310,39 +245,55 @@ def word_features(words, head, cache):
 class ToxicityModel:
     """Two models and a curve.  Counting goes over all labelled rows of folds 1 to
     3 (of five; fold 0 is held out) and keeps every n-gram; the curve is fitted on
-    fold 4, on at most about ``max_curve_rows`` rows of it.  ``max_grams`` bounds the
-    broadcast table of frequent n-grams, all others are joined by shuffle."""
+    fold 4, on at most about ``max_curve_rows`` rows of it.  ``max_words`` bounds the
+    broadcast table of frequent words, all others are joined by shuffle.
 
-    def __init__(self, docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", max_grams=300_000, max_curve_rows=20_000):
-        spark = docs.sparkSession
+    ``features`` describes the rows of ``docs`` once: for the curve, and for what asks for the
+    same rows again.
+    """
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, *, key="doc_id", text="text", max_words=200_000, max_curve_rows=20_000):
         toxic = (
             labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
             .withColumn("fold", held_out_fold("doc_id", 5)).where("fold > 0")
             .groupBy(F.col("doc_id").alias("l_"), "fold").agg(F.max("toxic").cast("int").alias("toxic"))
         )
+        toxic = small_labels(materialise(toxic, "toxic-labels"))
         n_curve = toxic.where("fold = 4").count()
         rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k_"), F.col(text).alias("text"))
-        labelled = rows.join(small_labels(toxic), F.col("k_") == F.col("l_"))
-        words = count_words(labelled.where("fold < 4").select("toxic", "text"))
-        grams = materialise(count_grams(words), "toxic-grams")
-        self.ratios, self.backoffs = ratio_tables(grams)
-        n = F.col("c0") + F.col("c1")
-        bound = head_bound(grams.select(n.alias("n")), max_grams)
-        head = self.ratios.join(grams.where(n >= bound).select("gram"), "gram").select("gram", units(F.col("ratio")).alias("u")).toArrow()
-        self.head = spark.sparkContext.broadcast(dict(zip(*(c.to_pylist() for c in head.columns))))
+        labelled = rows.join(toxic.where("fold < 4"), F.col("k_") == F.col("l_"))
+        words = materialise(count_words(labelled.select("toxic", "text")), "toxic-counts")
+        self.ratios, self.backoffs = ratio_tables(materialise(count_grams(words), "toxic-grams"))
+        words = words.select("word", (F.col("c0") + F.col("c1")).alias("n")).where(F.char_length("word") <= LONG)
+        frequent = words.where(F.col("n") >= head_bound(words, max_words))
+        frequent = word_totals(frequent, self.ratios, self.backoffs).select("key", "total").toArrow()  # max_words at most
+        self.known = dict(zip(*(c.to_pylist() for c in frequent.columns)))
+        self.docs, self.key, self.text = docs, key, text
+        self.features = materialise(self.described(self.named(docs, key, text)), "toxic-features")
         share = F.pmod(F.xxhash64("l_"), F.lit(max(n_curve, 1))) < max_curve_rows
-        curve = self.described(labelled.where("fold = 4").where(share).select(F.col("toxic").alias("id"), "text")).toArrow()
-        y = curve.column("id").to_numpy().astype(float)
+        curve = self.features.where("filled_").join(toxic.where("fold = 4").where(share), F.col("k_") == F.col("l_"))
+        curve = curve.select("toxic", "whole", "top", "leading").toArrow()
+        y = curve.column("toxic").to_numpy().astype(float)
         x = np.stack([curve.column(c).to_numpy() for c in ("whole", "top", "leading")], axis=1)
         order = np.lexsort((*x.T, y))
         x, y = x[order], y[order]
         # one class only, or no rows: the curve is flat at the share of toxic rows
         self.curve = fit_logistic(x, y) if 0 < y.sum() < len(y) else np.array([0.0, 0.0, 0.0, 10.0 if len(y) and y.all() else -10.0])
 
+    @staticmethod
+    def named(docs, key, text):
+        return docs.select(F.col(key).alias("k_"), text_digest(text).alias("digest_"), F.col(text).isNotNull().alias("filled_"), F.col(text).alias("text"))
+
+    def rows_described(self, docs, key, text):
+        """(k_, digest_, filled_, whole, top, leading) of every row."""
+        if docs is self.docs and (key, text) == (self.key, self.text):
+            return self.features
+        return self.described(self.named(docs, key, text))
+
     def described(self, rows: DataFrame) -> DataFrame:
         """(id, .., text) to (id, .., whole, top, leading): ratio per character of the
         whole text, of its leading word, and of its leading words together."""
-        head = self.head
+        head = rows.sparkSession.sparkContext.broadcast(self.known)
         names = [c for c in rows.columns if c != "text"]
         rows = rows.select(*names, F.monotonically_increasing_id().alias("row_"), "text")
         added = "chars bigint, known bigint, leading array<double>, rare array<struct<word: string, times: bigint>>"
@@ -350,18 +301,19 @@ class ToxicityModel:
         kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.struct([("word", pa.string()), ("times", pa.int64())]))]
 
         def run(batches):
-            known, cache = head.value, {}
+            known = head.value
             for batch in batches:
-                for at in range(0, batch.num_rows, 1000):
-                    part = batch.slice(at, 1000)
-                    found = [word_features(WORD.findall((t or "").lower()), known, cache) for t in part.column(part.num_columns - 1).to_pylist()]
+                for at in range(0, batch.num_rows, 200):
+                    part = batch.slice(at, 200)
+                    found = [word_features(WORD.findall((t.as_py() or "").lower()), known) for t in part.column(part.num_columns - 1)]
                     yield pa.RecordBatch.from_arrays(
                         part.columns[:-1] + [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=schema.names)
 
         parts = materialise(rows.mapInArrow(run, schema), "toxic-rows")
+        head.unpersist()
         key = F.when(F.char_length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit("#"), F.md5("word")))
         rare = parts.select("row_", F.inline("rare"))
-        totals = word_totals(rare.select("word").distinct(), head, self.ratios, self.backoffs)
+        totals = word_totals(rare.select("word").distinct(), self.ratios, self.backoffs)
         rare = rare.select("row_", "times", key.alias("key")).join(totals, "key").groupBy("row_").agg(
             F.sum(F.col("times") * F.col("total")).alias("others"),
             F.slice(F.sort_array(F.collect_list(F.col("total") / UNIT / F.col("chars")), False), 1, TOP).alias("more"))
@@ -385,21 +337,27 @@ class ToxicityModel:
         Null and empty texts, and texts without a word, get the score of neutral
         words.  Repeated rows are scored each; an empty table gives an empty result.
         """
-        rows = docs.select(F.col(key).alias("doc_id"), (held_out_fold(key, 5) == 0).alias("held_out"), F.col(text).alias("text"))
         z = F.greatest(F.least(self.margin(), F.lit(700.0)), F.lit(-700.0))
-        scored = self.described(rows).withColumn("score", 1 / (1 + F.exp(-z)))
-        return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        scored = self.rows_described(docs, key, text).withColumn("score", 1 / (1 + F.exp(-z)))
+        return scored.select(F.col("k_").alias("doc_id"), (held_out_fold("k_", 5) == 0).alias("held_out"), "score",
+                             (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def text_digest(text):
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, *, key="doc_id", text="text", max_broadcast=500_000) -> DataFrame:
-    """``docs`` without those that the model calls toxic; all columns stay.  Toxic
-    texts come back as digests, broadcast if they prove to be few, so that texts
-    are not shuffled then."""
+    """``docs`` without those that the model calls toxic; all columns stay.
+
+    Toxic texts come back as digests, broadcast if they prove to be few, so that texts
+    are not shuffled then.  Null and empty texts and texts without a word are neutral and stay; repeated
+    rows go or stay together; null ids are judged like others; an empty table stays empty.
+    """
     names = docs.columns
-    digest = F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    judged = model.described(docs.select(digest.alias("digest"), F.col(text).alias("text")))
-    toxic = materialise(judged.where(model.margin() >= 0).select(F.col("digest").alias("toxic_")).distinct(), "toxic-texts")
+    judged = model.rows_described(docs, key, text)
+    toxic = materialise(judged.where(model.margin() >= 0).select(F.col("digest_").alias("toxic_")).distinct(), "toxic-texts")
     toxic = small_labels(toxic, max_broadcast)
-    marked = docs.select(F.struct(*names).alias("row_"), digest.alias("digest_"))
+    marked = docs.select(F.struct(*names).alias("row_"), text_digest(text).alias("digest_"))
     kept = marked.join(toxic, F.col("digest_") == F.col("toxic_"), "left_anti")
     return kept.select(*[F.col("row_").getField(n).alias(n) for n in names])

@@ -1,8 +1,10 @@
 """The operators of duolex.llm against brute force, on awkward rows."""
 
 import hashlib
+import math
 import re
 import zlib
+from collections import Counter, defaultdict
 
 import duckdb
 import public_tokenizers
@@ -236,11 +238,90 @@ def test_toxicity(spark, docs, empty):
     assert model.score(empty).count() == 0
 
 
+def kneser_ney_ratios(grams, probabilities=False):
+    """(gram, c0, c1) rows to {gram: log P1/P0 of its last character} and
+    {context: log of the back-off weights' ratio}, in memory; or the probabilities and weights of each class."""
+    counts = [{}, {}]
+    for gram, *pair in grams:
+        for c, n in zip(counts, pair):
+            if n:
+                c[gram] = n
+    by_order = [[defaultdict(int) for _ in range(toxicity.ORDER + 1)] for _ in counts]
+    for c, levels in zip(counts, by_order):
+        for gram, n in c.items():
+            levels[len(gram)][gram] += n
+        for n in range(toxicity.ORDER, 1, -1):  # lower orders count in how many contexts they continue
+            for gram in levels[n]:
+                levels[n - 1][gram[1:]] += 1
+    for n in range(1, toxicity.SHARED + 1):
+        both = defaultdict(int)
+        for levels in by_order:
+            for gram, k in levels[n].items():
+                if not gram.startswith("^"):
+                    both[gram] += k
+        for levels in by_order:
+            levels[n] = {**{g: k for g, k in levels[n].items() if g.startswith("^")}, **both}
+    n_chars = len(by_order[0][1]) + 1
+    known = [{}, {}]
+    weights = [{}, {}]
+    ratios = {}
+    for n in range(1, toxicity.ORDER + 1):
+        grams_n = set(by_order[0][n]) | set(by_order[1][n])
+        for levels, p, w in zip(by_order, known, weights):
+            spread = Counter(levels[n].values())
+            discount = spread[1] / (spread[1] + 2 * spread[2]) if spread[1] and spread[2] else 0.75
+            total, kinds = defaultdict(int), defaultdict(int)
+            for gram, k in levels[n].items():
+                total[gram[:-1]] += k
+                kinds[gram[:-1]] += 1
+            for context, t in total.items():
+                w[context] = discount * kinds[context] / t
+            for gram in grams_n:
+                context = gram[:-1]
+                lower = p.get(gram[1:], 1 / n_chars) if n > 1 else 1 / n_chars
+                if context in total:
+                    p[gram] = max(levels[n].get(gram, 0) - discount, 0) / total[context] + w[context] * lower
+                else:
+                    p[gram] = lower
+        for gram in grams_n:
+            ratios[gram] = math.log(known[1][gram] / known[0][gram])
+    contexts = set(weights[0]) | set(weights[1])
+    if probabilities:
+        return known, weights, n_chars
+    return ratios, {c: math.log(weights[1].get(c, 1.0) / weights[0].get(c, 1.0)) for c in contexts if c}
+
+
+def word_ratio(word, ratios, backoffs):
+    """Log-likelihood ratio of a word, toxic over ordinary, per character read."""
+    padded, total = f"^{word}$", 0.0
+    for i in range(1, len(padded)):
+        low = max(0, i - toxicity.ORDER + 1)
+        while low <= i:
+            found = ratios.get(padded[low:i + 1])
+            if found is not None:
+                total += found
+                break
+            total += backoffs.get(padded[low:i], 0.0)
+            low += 1
+    return total / (len(padded) - 1)
+
+
 def test_kneser_ney_sums_to_one():
     words = {"^a": (3, 1), "^ab": (2, 1), "^aba": (2, 0), "^abab": (1, 0), "^ababc": (1, 2), "babcd": (1, 1), "ababcd": (3, 1), "babcd$": (4, 2)}
-    ratios, backoffs = toxicity.kneser_ney_ratios((g, *c) for g, c in words.items())
+    ratios, backoffs = kneser_ney_ratios((g, *c) for g, c in words.items())
     assert ratios and all(abs(v) < 20 for v in (*ratios.values(), *backoffs.values()))
-    assert toxicity.word_ratio("ababcd", ratios, backoffs) != 0
+    assert word_ratio("ababcd", ratios, backoffs) != 0
+    known, weights, n_chars = kneser_ney_ratios(((g, *c) for g, c in words.items()), probabilities=True)
+    chars = {g for g in known[0] if len(g) == 1} | {"?"}  # one that was never seen
+    assert len(chars) == n_chars
+    for p, w in zip(known, weights):
+        def chance(context, c):
+            if context + c in p:
+                return p[context + c]
+            return w.get(context, 1.0) * (chance(context[1:], c) if context else 1 / n_chars)
+
+        for context in w:
+            assert sum(chance(context, c) for c in chars) == pytest.approx(1)
 
 
 @pytest.fixture(scope="module")
@@ -256,7 +337,7 @@ def labelled_words(spark):
 def test_toxicity_counts_all_grams(labelled_words):
     # the tables against the same model in memory, over every n-gram of the learning rows
     frame, labels = labelled_words
-    model = toxicity.ToxicityModel(frame, labels, max_grams=200)
+    model = toxicity.ToxicityModel(frame, labels, max_words=50)
     counts = {}
     for i, text in frame.where("doc_id < 200").collect():
         if 0 < zlib.crc32(str(i).encode()) % 5 < 4:
@@ -264,13 +345,13 @@ def test_toxicity_counts_all_grams(labelled_words):
                 padded = f"^{w}$"
                 for k in range(1, len(padded)):
                     counts.setdefault(padded[max(0, k - 5):k + 1], [0, 0])[i % 2] += 1
-    ratios, backoffs = toxicity.kneser_ney_ratios((g, *c) for g, c in counts.items())
+    ratios, backoffs = kneser_ney_ratios((g, *c) for g, c in counts.items())
     assert dict(map(tuple, model.ratios.collect())) == pytest.approx(ratios)
     assert dict(map(tuple, model.backoffs.collect())) == pytest.approx(backoffs)
     texts = dict(map(tuple, frame.collect()))
-    for r in model.described(frame).collect():
+    for r in model.described(frame.select("doc_id", "text")).collect():
         words = toxicity.WORD.findall((texts[r.doc_id] or "").lower())
-        got = {w: toxicity.word_ratio(w, ratios, backoffs) for w in words}
+        got = {w: word_ratio(w, ratios, backoffs) for w in words}
         whole = sum(got[w] * (len(w) + 1) for w in words) / sum(len(w) + 1 for w in words) if words else 0
         best = sorted(got.values(), reverse=True)[:3] or [0]
         assert (r.whole, r.top, r.leading) == pytest.approx((whole, best[0], sum(best) / 3), abs=1e-6)
@@ -278,7 +359,7 @@ def test_toxicity_counts_all_grams(labelled_words):
 
 def test_toxicity_does_not_depend_on_bounds(labelled_words):
     frame, labels = labelled_words
-    few, all_ = (toxicity.ToxicityModel(frame, labels, max_grams=n) for n in (0, 300_000))
+    few, all_ = (toxicity.ToxicityModel(frame, labels, max_words=n) for n in (0, 200_000))
     one, other = (sorted(map(tuple, m.score(frame).collect())) for m in (few, all_))
     assert [r[0] for r in one] == list(range(204)) and one == other
     kept = [sorted(r.doc_id for r in toxicity.drop_toxic(frame, few, max_broadcast=n).collect()) for n in (0, 1000)]
