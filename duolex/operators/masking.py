@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions import arrays as A
-from duolex.functions.rng import MASK31, mix_below, mix_uniform, row_seed
+from duolex.functions.rng import mix_below, mix_uniform, reseed, row_seed
 from duolex.schemas import BOS, EOS, IGNORE, MASK, PAD
 
 
@@ -36,7 +36,7 @@ def whole_word_mask(df: DataFrame, key, p=0.15, seed=0, row_ids=None,
         return F.zip_with(
             word_ids, row_ids,
             lambda w, r: w.isNotNull()
-            & (mix_uniform(s.bitwiseXOR(r.bitwiseAND(F.lit(MASK31))), F.coalesce(w, F.lit(0))) < p),
+            & (mix_uniform(reseed(s, r), F.coalesce(w, F.lit(0))) < p),
         )
 
     return _apply(df, ids, labels, A.let(row_seed(seed, *key), flags))

@@ -68,11 +68,18 @@ def h32(seed, *cols):
 
 
 def row_seed_sql(seed, *cols):
-    return f"({h32(seed, *cols)} & 2147483647)"
+    keys = ", ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{seed}', {keys})), 1, 15) AS BIGINT)"
+
+
+def reseed_sql(s, key):
+    return f"xor({s}, ({key} & 2147483647) * 536870913)"
 
 
 def mix_sql(s, pos, salt=0):
-    h0 = f"(({s} + (CAST({pos} AS BIGINT) + {salt * 1048576}) * 2654435761) & 2147483647)"
+    start = f"((({s} & 2147483647) + {salt * 1640531527}) & 2147483647)"
+    step = f"(((({s} >> 31) + {salt * 1013904223}) & 2147483647) | 1)"
+    h0 = f"(({start} + CAST({pos} AS BIGINT) * {step}) & 2147483647)"
     h1 = f"((xor({h0}, {h0} >> 16) * 2146121005) & 2147483647)"
     return f"((xor({h1}, {h1} >> 15) * 2221713035) & 2147483647)"
 

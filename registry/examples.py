@@ -12,7 +12,7 @@ from duolex.operators.batches import assemble_batches, pad_gathered, token_class
 from duolex.operators.metrics import decode_predictions
 from registry.base import (
     DOCS_SQL, LANGS, PAIR, SEED, SPLIT_SQL, WORD, below_sql, docs, encode_sql, framed_sql, joined_sql, mixu_sql,
-    padded_sql, query, row_seed_sql, special_rows, split_of, vocab_sql,
+    padded_sql, query, reseed_sql, row_seed_sql, special_rows, split_of, vocab_sql,
 )
 from registry.corpora import TAGGED_SQL, VOCAB, tagged
 from registry.vocabulary import (
@@ -81,7 +81,7 @@ def whole_word_mask(spark, sf):
 WITH {BASE}, {PACKED_SQL},
 seeded AS (SELECT *, {row_seed_sql(SEED, 'pack_group', 'chunk')} AS s FROM chunks),
 flags AS (SELECT pack_group, chunk, ids, list_transform(ws, lambda w, i: w IS NOT NULL
-        AND {mixu_sql('xor(s, rs[i] & 2147483647)', 'coalesce(w, 0)')} < {P}) AS f FROM seeded)
+        AND {mixu_sql(reseed_sql('s', 'rs[i]'), 'coalesce(w, 0)')} < {P}) AS f FROM seeded)
 SELECT pack_group, chunk, {joined_sql('list_transform(ids, lambda v, i: CASE WHEN f[i] THEN 4 ELSE v END)')} AS input_ids,
        {joined_sql('list_transform(ids, lambda v, i: CASE WHEN f[i] THEN v ELSE -100 END)')} AS labels FROM flags""")
 def whole_word_mask_packed(spark, sf):

@@ -14,7 +14,7 @@ from duolex.plans.recipes import denoise_data, keyword_ids, masked_language_data
 from duolex.session import materialise
 from registry.base import (
     LANGS, PAIR, SEED, below_sql, docs, encode_sql, framed_sql, h32, joined_sql, mix_sql, mixu_sql, padded_sql, query,
-    row_seed_sql, vocab_sql,
+    reseed_sql, row_seed_sql, vocab_sql,
 )
 from registry.cleaning import LENGTH_OK, fortran_sql
 from registry.corpora import VOCAB, top_sql
@@ -300,7 +300,7 @@ src AS (SELECT row_id, lang, text FROM rk WHERE i < (SELECT min(n) FROM rk)),
 {vocab_sql(VOCAB)}, {encode_sql()}, {packed_sql(R_CHUNK, 1000)},
 sd AS (SELECT *, {row_seed_sql(SEED, 'pack_group', 'chunk')} AS s FROM chunks),
 fl AS (SELECT pack_group, chunk, ids, list_transform(ws, lambda w, i: w IS NOT NULL
-        AND {mixu_sql('xor(s, rs[i] & 2147483647)', 'coalesce(w, 0)')} < 0.15) AS f FROM sd)
+        AND {mixu_sql(reseed_sql('s', 'rs[i]'), 'coalesce(w, 0)')} < 0.15) AS f FROM sd)
 SELECT pack_group, chunk, {joined_sql('list_transform(ids, lambda v, i: CASE WHEN f[i] THEN 4 ELSE v END)')} AS input_ids,
        {joined_sql('list_transform(ids, lambda v, i: CASE WHEN f[i] THEN v ELSE -100 END)')} AS labels FROM fl""")
 def recipe_masked_language(spark, sf):

@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from duolex.functions.rng import mix, mix_each, row_seed, uniform
+from duolex.functions.rng import mix, mix_each, reseed, row_seed, uniform
 from duolex.operators import backtrans as B
 from duolex.operators import noise as N
 from duolex.operators.encode import encode
@@ -51,6 +52,29 @@ def test_mix_is_even_and_partition_free(spark):
     assert all(abs(c - 1875) < 260 for c in pairs.values())
 
 
+def shared_pairs(*draws):
+    """Pairs of neighbouring draws that occur twice, over lists of equally long rows of draws."""
+    pairs = np.concatenate([((d[:, :-1] << 31) | d[:, 1:]).ravel() for d in draws])
+    return len(pairs) - len(np.unique(pairs))
+
+
+def test_rows_share_no_run_of_draws(spark):
+    drawn = spark.range(1_000_000).select(mix_each(row_seed(5, "id"), F.lit(9), 2).alias("m")).toArrow()
+    draws = drawn.column("m").combine_chunks().flatten().to_numpy().reshape(-1, 9)
+    assert shared_pairs(draws) == 0  # of eight million
+
+
+def test_steps_of_a_long_row_share_no_draws(spark):
+    drawn = spark.range(1_200_000).coalesce(1).select(*[mix(row_seed(5, F.lit(1)), F.col("id"), salt).alias(f"m{salt}") for salt in range(4)]).toArrow()
+    assert shared_pairs(*[drawn.column(k).to_numpy().reshape(1, -1) for k in range(4)]) == 0
+
+
+def test_source_rows_of_a_chunk_draw_apart(spark):
+    seeds = spark.range(-500, 500).select(reseed(row_seed(5, F.lit("chunk")), F.col("id")).alias("s"))
+    drawn = seeds.select(mix_each(F.col("s"), F.lit(64)).alias("m")).toArrow()
+    assert shared_pairs(drawn.column("m").combine_chunks().flatten().to_numpy().reshape(-1, 64)) == 0
+
+
 def test_content_length(spark):
     df = spark.createDataFrame([([0, 10, 11, 2, 1, 1],), ([0, 10, 11],), ([2],), ([],)], "x array<int>")
     assert [r[0] for r in df.select(N.content_length(F.col("x"))).collect()] == [3, 3, 0, 0]
