@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from duolex.functions import arrays as A
 from duolex.operators.encode import encode, lookup_tokens, mask_pad
 from duolex.functions import text as X
+from duolex.operators.noise import Ratios
 from duolex.schemas import IGNORE, PAD, lang_start, special_tokens
 
 
@@ -44,6 +45,11 @@ def noise_schedule(batches: DataFrame, every: int, mask=0.15, dropout=0.20, repl
     )
 
 
+def scheduled_ratios(shuffle=1) -> Ratios:
+    """The columns of ``noise_schedule`` as ratios of ``denoise_examples``."""
+    return Ratios(*[F.col(f"{name}_ratio") for name in ("mask", "dropout", "replace", "insert")], shuffle)
+
+
 def objective_schedule(batches: DataFrame, warmup=0, only=None, step="step") -> DataFrame:
     """``denoise`` or ``back_translate`` per batch, steps counted from 1: fixed by
     ``only``, denoise before step ``warmup``, then in turn."""

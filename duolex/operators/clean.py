@@ -1,5 +1,6 @@
 """Cleaning and projections."""
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,15 +46,32 @@ def rename_drop_columns(df: DataFrame, rename=None, drop=(), keep=None) -> DataF
     return df.select(*keep) if keep else df
 
 
-def map_batched(df: DataFrame, fn, schema) -> DataFrame:
+def map_batched(df: DataFrame, fn, schema, batch_size=None) -> DataFrame:
     """``fn(pandas.DataFrame) -> pandas.DataFrame`` over batches of rows; the row
     count and the columns may change.
 
-    The batch size is the session's ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    With ``batch_size`` every batch has exactly so many rows, but for the last one of a task:
+    what Spark sends is cut and joined anew, and at most one batch is held.  Else the
+    batches are those of ``spark.sql.execution.arrow.maxRecordsPerBatch``.
     """
+    if batch_size is not None and batch_size < 1:
+        raise ValueError("batch_size must be positive")
 
     def run(batches):
+        if batch_size is None:
+            yield from map(fn, batches)
+            return
+        held, size = [], 0
         for batch in batches:
-            yield fn(batch)
+            at = 0
+            while at < len(batch):
+                part = batch.iloc[at:at + batch_size - size]
+                held.append(part)
+                size, at = size + len(part), at + len(part)
+                if size == batch_size:
+                    yield fn(pd.concat(held, ignore_index=True))
+                    held, size = [], 0
+        if held:
+            yield fn(pd.concat(held, ignore_index=True))
 
     return df.mapInPandas(run, schema)

@@ -53,8 +53,7 @@ def _to_ids(tokens: pa.Array):
         found = pc.index_in(pieces.flatten(), value_set=tokens, skip_nulls=True)
         return _relist(pieces, pc.fill_null(found, UNK).cast(pa.int32()))
 
-    # keeps the optimizer from copying the call into filters it infers
-    return ids.asNondeterministic()
+    return ids
 
 
 def _to_tokens(tokens: pa.Array):
@@ -64,7 +63,7 @@ def _to_tokens(tokens: pa.Array):
         known = pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens)))
         return _relist(ids, tokens.take(pc.if_else(known, flat, pa.scalar(None, flat.type))))
 
-    return names.asNondeterministic()
+    return names
 
 
 def _join_lookup(df, col, out, vocab, id_col, key, value, default):
@@ -90,27 +89,28 @@ def _join_lookup(df, col, out, vocab, id_col, key, value, default):
     return df.join(found, id_col, "left").withColumn(out, F.coalesce(F.col(out), empty))
 
 
-def _settled(df: DataFrame, col: str) -> DataFrame:
-    """Fix ``col`` as the output of its own projection.
+def _called(df: DataFrame, col: str, out: str, call) -> DataFrame:
+    """Adds ``out``, the Python function ``call`` of the list column ``col``.
 
-    Inlined into a Python call, arguments with nested lambdas escape Spark 4.1's
-    extraction of such calls; a non-deterministic guard keeps them apart.
+    As the one row of a generator it is settled for the optimizer: filters on other columns
+    move below it, down to the scan; filters on it stay above, and are not copied with
+    the call into places where Spark 4.1 fails to run calls with nested lambdas.
     """
-    return df.withColumn(col, F.when(F.spark_partition_id() >= 0, F.col(col)))
+    return df.select("*", F.explode(F.array(call(F.col(col)))).alias(out))
 
 
 def lookup_ids(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id", limit=None) -> DataFrame:
     tokens = inline_tokens(vocab, limit)
     if tokens is None:
         return _join_lookup(df, col, out, vocab, id_col, "token", "token_id", UNK)
-    return _settled(df, col).withColumn(out, _to_ids(tokens)(F.col(col)))
+    return _called(df, col, out, _to_ids(tokens))
 
 
 def lookup_tokens(df: DataFrame, col: str, out: str, vocab: DataFrame, id_col="row_id", limit=None) -> DataFrame:
     tokens = inline_tokens(vocab, limit)
     if tokens is None:
         return _join_lookup(df, col, out, vocab, id_col, "token_id", "token", None)
-    return _settled(df, col).withColumn(out, _to_tokens(tokens)(F.col(col)))
+    return _called(df, col, out, _to_tokens(tokens))
 
 
 def _framed(df, pieces: Column, owner: Column, vocab, max_length, id_col, limit=None):
@@ -201,7 +201,7 @@ def _to_pieces(merges: DataFrame):
         cuts = pa.array([cut_word(w, ranks) for w in known.dictionary.to_pylist()], pa.list_(pa.string()))
         return _relist(words, cuts.take(known.indices))
 
-    return pieces.asNondeterministic()
+    return pieces
 
 
 def _segmented(df: DataFrame, segments: DataFrame, col, id_col) -> DataFrame:
@@ -236,7 +236,7 @@ def encode_learned(df: DataFrame, segments: DataFrame, vocab: DataFrame, col="te
         words = F.coalesce(X.words(F.col(col)), F.array().cast("array<string>"))
         if max_length is not None:  # a word has one piece at least
             words = A.take(words, F.lit(max_length - 2))
-        rows = _settled(df.withColumn("_words", words), "_words").withColumn("_words", _to_pieces(merges)(F.col("_words")))
+        rows = _called(df.withColumn("_words", words), "_words", "_cut", _to_pieces(merges)).drop("_words").withColumnRenamed("_cut", "_words")
     pieces = F.flatten(F.transform("_words", lambda p: X.marked(p)))
     owner = F.flatten(F.transform("_words", lambda p, i: F.array_repeat(i.cast("int"), F.size(p))))
     return _framed(rows, pieces, owner, vocab, max_length, id_col)

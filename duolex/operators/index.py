@@ -1,10 +1,11 @@
 """Exact row positions without a single-partition sort.
 
 A monotone bucket of the sort key splits the rows evenly; a row's position is
-the number of rows in earlier buckets plus its rank inside its own bucket.
+the number of rows in earlier buckets plus its rank inside its own bucket.  A hashed
+key is even by itself; ids are cut at quantiles, be they dense, sparse, hashed or negative.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -13,15 +14,37 @@ from duolex.functions.rng import hash32
 from duolex.session import materialise, small_side
 
 HASH_BITS = 16  # buckets per group under a hashed order: 2**16
-ID_WIDTH = 100_000  # ids per bucket under file order
-
-
-def _ordered(df, by, id_col, seed):
+BUCKET_ROWS = 100_000  # rows per bucket under file order
+MOST_BUCKETS = 1 << 14
+
+
+def id_bounds(ids: DataFrame, id_col: str, bucket_rows=None) -> list:
+    """Ascending values that cut the ids into buckets of about ``bucket_rows`` rows
+    (larger ones beyond ``MOST_BUCKETS``): quantiles from a sketch, whose size follows the number
+    of buckets."""
+    bucket_rows = bucket_rows or BUCKET_ROWS
+    n = min(ids.count() // bucket_rows + 1, MOST_BUCKETS)
+    if n == 1:
+        return []
+    shares = F.lit([k / n for k in range(1, n)])
+    return sorted(set(ids.agg(F.percentile_approx(id_col, shares, 10 * n).alias("q")).first()["q"] or []))
+
+
+def bucket_of(value: Column, bounds: list) -> Column:
+    """How many of the ascending ``bounds`` are at most ``value``, by bisection; 0 for null."""
+    if not bounds:
+        return F.lit(0).cast("bigint")
+    size = 1 << len(bounds).bit_length()
+    table, steps = F.lit(bounds), F.lit([size >> k for k in range(1, size.bit_length())])
+    # beyond the table ``get`` is null, which leaves the place as it is
+    at = F.aggregate(steps, F.lit(0), lambda a, h: F.when(F.get(table, a + h - 1) <= value, a + h).otherwise(a))
+    return at.cast("bigint")
+
+
+def _ordered(df, by, id_col, seed, bounds=()):
     """Add ``_b`` (bucket) and ``_k`` (sort key inside the bucket)."""
     if seed is None:
-        return df.withColumn("_k", F.lit(0).cast("bigint")).withColumn(
-            "_b", div(F.col(id_col), ID_WIDTH)
-        )
+        return df.withColumn("_k", F.lit(0).cast("bigint")).withColumn("_b", bucket_of(F.col(id_col), bounds))
     return df.withColumn("_k", hash32(seed, id_col)).withColumn(
         "_b", F.shiftright(F.col("_k"), 32 - HASH_BITS)
     )
@@ -49,18 +72,20 @@ def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx", li
     """0-based position of every row inside its ``by`` group.
 
     Order: by ``id_col``, or, with a ``seed``, by (hash of id, id).  ``id_col``
-    is a unique BIGINT, not negative.  The input is read twice: for the bucket
-    counts and for the rows, which move once; the join and the window share one
-    partitioning.
+    is a unique BIGINT.  The input is read twice: for the narrow keys, from which
+    bounds and bucket counts come, and for the rows, which move once; the join and the window
+    share one partitioning.
 
     ``limits`` maps the group sizes (by.., n) to limits (by.., k): only positions
     below ``k`` are kept, and buckets beyond it are left out before rows move.
     """
-    by = list(by)
+    by, bounds = list(by), ()
+    keys = df.select(*by, id_col)
+    if seed is None:
+        keys = materialise(keys, "keys")
+        bounds = id_bounds(keys, id_col)
     counts = materialise(
-        _ordered(df.select(*by, id_col), by, id_col, seed)
-        .groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")),
-        "counts",
+        _ordered(keys, by, id_col, seed, bounds).groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")), "counts"
     )
     offsets = bucket_offsets(counts, by).drop("_n")
     if limits is not None:
@@ -71,7 +96,7 @@ def global_index(df: DataFrame, id_col="row_id", by=(), seed=None, out="idx", li
     offsets = materialise(offsets, "offsets")
     rank = W.partitionBy(*by, "_b").orderBy("_k", id_col)
     ranked = (
-        _ordered(df, by, id_col, seed).join(offsets, [*by, "_b"])
+        _ordered(df, by, id_col, seed, bounds).join(offsets, [*by, "_b"])
         .withColumn(out, F.col("_lo") + F.row_number().over(rank) - 1)
     )
     if limits is not None:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duolex.functions import text as X
 from duolex.operators import encode as E
-from duolex.operators.backtrans import objective_schedule
+from duolex.operators.backtrans import noise_schedule, objective_schedule, scheduled_ratios
 from duolex.operators.clean import apply_cleaner_by_lang, strip_repo_prefix
 from duolex.operators.combine import interleave_batches
 from duolex.operators.filters import length_filter
@@ -57,11 +57,13 @@ def masked_language_data(corpus: DataFrame, langs, vocab_size=30_000, chunk_size
 
 
 def denoise_data(corpus: DataFrame, langs, keywords, vocab_size=30_000, chunk_size=512, batch_size=32,
-                 k=3000, ratios=Ratios(replace=0.05), seed=0) -> DataFrame:
+                 k=3000, ratios=Ratios(replace=0.05), seed=0, schedule=None) -> DataFrame:
     """interleave -> encode -> frequencies -> schedule -> noisy examples.
 
     Batches scheduled for back-translation leave with their clean ids; pair them
-    with generated outputs by ``back_translation_pairs``.
+    with generated outputs by ``back_translation_pairs``.  With a ``schedule``, the
+    arguments of ``noise_schedule``, noise grows with the step instead of keeping to ``ratios``;
+    ``warmup`` among them holds back-translation off so long.
     """
     part = corpus.where(F.col("lang").isin(*langs))
     rows = materialise(clean_corpus(part, balance=False, seed=seed), "clean")
@@ -75,7 +77,10 @@ def denoise_data(corpus: DataFrame, langs, keywords, vocab_size=30_000, chunk_si
     sampler = TokenSampler.from_table(probs)
     ids = keyword_ids(vocab, keywords)
     # the trainer counts its own batches, here one step per pair of languages
-    steps = objective_schedule(encoded.withColumn("step", F.col("batch_id") + 1))
+    schedule = dict(schedule or {})
+    steps = objective_schedule(encoded.withColumn("step", F.col("batch_id") + 1), schedule.pop("warmup", 0))
+    if schedule:
+        steps, ratios = noise_schedule(steps, **schedule), scheduled_ratios(ratios.shuffle)
     noisy = denoise_examples(steps.where(F.col("objective") == "denoise"), ratios, sampler, ids, langs, ["row_id"], seed)
     clean = steps.where(F.col("objective") != "denoise").withColumn("labels", E.mask_pad(F.col("input_ids")))
     return noisy.unionByName(clean)

@@ -282,6 +282,31 @@ def objective_schedule(spark, sf):
     return B.objective_schedule(steps(spark, sf), 6)
 
 
+def _scheduled(name):
+    """A row's ratio, looked up while the steps of noise pass only the row on."""
+    return f"(SELECT {name} FROM sched WHERE rid = row_id)"
+
+
+@query("denoise_scheduled", f"""
+WITH {NOISE_TABLES}, {seeded_sql('enc', PADDED)},
+bs AS (SELECT row_id AS rid, (row_number() OVER (ORDER BY row_id) - 1) // 4 + 1 AS step FROM enc WHERE lang IN ('en', 'fr')),
+up AS (SELECT rid, step, least(step // 5, (SELECT min(n) FROM range(200) t(n) WHERE 0.15 + n * 0.05 >= 0.58)) AS u FROM bs),
+sched AS (SELECT rid, step, 0.05::DOUBLE + u * 0.02::DOUBLE AS grown, 0.05::DOUBLE + u * 0.01::DOUBLE AS grown_d FROM up),
+{denoise_sql('rows0', LENGTH, _scheduled('grown_d'), 0.0, _scheduled('grown'), _scheduled('grown'))}
+SELECT row_id, step, {joined_sql('noisy.x')} AS input_ids, {joined_sql(IGNORED.format('rows0.x'))} AS labels
+FROM noisy JOIN rows0 USING (row_id) JOIN sched ON rid = row_id""")
+def denoise_scheduled(spark, sf):
+    """Noise that grows with the step of the row's batch."""
+    data, vocab = rows(spark, sf, PAIR)
+    data = materialise(data.drop("s", "l"), "encoded")
+    stepped = assemble_batches(data, 4).withColumn("step", F.col("batch_id") + 1)
+    out = N.denoise_examples(
+        B.noise_schedule(stepped, 5, 0.05, 0.05, 0.0, 0.05, 0.02, 0.01, 0.58), B.scheduled_ratios(),
+        sampler(unpadded(data), vocab), keyword_ids(vocab, WORDS), PAIR, ["row_id"], SEED,
+    )
+    return shown(out, "row_id", "step", "input_ids", "labels")
+
+
 R_CHUNK, R_LENGTH, R_BATCH = 128, 256, 8
 
 
