@@ -22,8 +22,9 @@ def id_bounds(ids: DataFrame, id_col: str, bucket_rows=None) -> list:
     """Ascending values that cut the ids into buckets of about ``bucket_rows`` rows
     (larger ones beyond ``MOST_BUCKETS``): quantiles from a sketch, whose size follows the number
     of buckets."""
-    bucket_rows = bucket_rows or BUCKET_ROWS
-    n = min(ids.count() // bucket_rows + 1, MOST_BUCKETS)
+    bucket_rows, rows = bucket_rows or BUCKET_ROWS, ids.count()
+    busy = min(ids.sparkSession.sparkContext.defaultParallelism, rows // 1000 + 1)  # smaller inputs fill the cores
+    n = max(min(rows // bucket_rows + 1, MOST_BUCKETS), busy)
     if n == 1:
         return []
     shares = F.lit([k / n for k in range(1, n)])
