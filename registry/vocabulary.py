@@ -6,6 +6,7 @@ from duolex.functions import arrays as A
 from duolex.operators import encode as E
 from duolex.operators import frequency as Q
 from duolex.operators.batches import assemble_batches
+from duolex.operators.merges import learn_merges
 from duolex.operators.metrics import distinct_lengths
 from duolex.operators.pack import pack_chunks
 from duolex.operators.vocab import add_special_tokens, learn_bpe_merges, learn_vocab, word_counts
@@ -100,6 +101,13 @@ def learn_bpe_query(spark, sf):
     return merges
 
 
+@query("learn_bpe_merges_500")
+def learn_bpe_merges_500(spark, sf):
+    """Drafted ahead and checked on all words.  A statement of 500 steps does not run;
+    tests compare with merging one by one."""
+    return learn_merges(word_counts(docs(spark, sf)), 500)[0]
+
+
 def _special_values():
     return ", ".join(f"({i}, '{t}', {s})" for i, t, s in special_rows())
 

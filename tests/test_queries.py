@@ -23,8 +23,11 @@ def duck():
     return con
 
 
+BRUTE = {"learn_bpe_merges_500"}  # too slow in SQL: tests/test_merges.py
+
+
 def test_every_query_has_a_statement():
-    assert set(registry.QUERIES) == set(registry.ORACLES)
+    assert set(registry.QUERIES) - BRUTE == set(registry.ORACLES)
 
 
 @pytest.mark.parametrize("name", SAMPLE)
