@@ -9,9 +9,10 @@ from duolex.operators.index import global_index
 
 
 def pack_chunks(df: DataFrame, cols=("input_ids", "attention_mask", "word_ids"), chunk_size=512,
-                group_rows=1000, id_col="row_id", by=()) -> DataFrame:
+                group_rows=1000, id_col="row_id", by=(), seed=None) -> DataFrame:
     """Concatenate the lists of every ``group_rows`` consecutive rows, cut into
     ``chunk_size``; the remainder is dropped unless it is the group's only chunk.
+    Rows stand in the order of their ids or, with a ``seed``, in a random one.
 
     ``labels`` = ``input_ids``; ``row_ids`` tells the source row of every
     element, so that equal word ids of neighbouring rows stay apart.  Rows move
@@ -19,7 +20,7 @@ def pack_chunks(df: DataFrame, cols=("input_ids", "attention_mask", "word_ids"),
     """
     by = list(by)
     main = cols[0]
-    rows = global_index(df.select(id_col, *by, *cols), id_col, by, out="_idx")
+    rows = global_index(df.select(id_col, *by, *cols), id_col, by, seed, "_idx")
     rows = rows.withColumn("pack_group", div(F.col("_idx"), group_rows)).withColumn("_n", F.size(main))
     group = [*by, "pack_group"]
     before = W.partitionBy(*group).orderBy("_idx").rowsBetween(W.unboundedPreceding, -1)
