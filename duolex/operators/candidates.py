@@ -1,33 +1,61 @@
 """Several candidates per source, scored against the source's reference."""
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from duolex.functions import arrays as A
 from duolex.operators.metrics import MAX_ORDER, bleu_tokens, combined_code_score, plain_tokens, score_totals
 from duolex.session import materialise
 
 PLAIN, WEIGHTED = 0, 1  # punctuation apart; white-space words with keyword weights
 
 
-def _grams(tokens, kind: int, max_order: int):
-    """(kind, n, gram, c): every n-gram position once, and for each order a row
-    without a gram, by which texts without words stay in the totals."""
+_TOTALS = ("array<struct<kind int, n int, matched double, in_prediction double, in_reference double, "
+           "hyp_len bigint, ref_len bigint>>")
+
+
+def gram_counts(words: list, max_order: int) -> list:
+    """For each order a counter of the n-grams."""
+    return [Counter(zip(*(words[i:] for i in range(n)))) for n in range(1, max_order + 1)]
+
+
+def _matcher(keywords, other: float, max_order: int):
+    """Totals of both kinds and all orders for words of (prediction, reference).  Rows of one source
+    stand side by side after the join, so its reference is counted once."""
+    keywords = frozenset(keywords)
+
+    def weight(gram):
+        return 1.0 if gram[0] in keywords else other
+
+    @F.arrow_udf(_TOTALS)
+    def totals(plain: pa.Array, plain_ref: pa.Array, words: pa.Array, words_ref: pa.Array) -> pa.Array:
+        known, out = {}, []
+        for i in range(len(plain)):
+            row = []
+            for kind, mine, theirs in ((PLAIN, plain, plain_ref), (WEIGHTED, words, words_ref)):
+                ref = theirs[i].as_py()
+                if kind not in known or known[kind][0] != ref:
+                    known[kind] = ref, gram_counts(ref, max_order)
+                for n, (a, b) in enumerate(zip(gram_counts(mine[i].as_py(), max_order), known[kind][1]), 1):
+                    hyp, all_ref = a.total(), b.total()
+                    if kind == WEIGHTED and n == 1:
+                        sums = (sum(min(c, b[g]) * weight(g) for g, c in a.items()),
+                                *(sum(c * weight(g) for g, c in side.items()) for side in (a, b)))
+                    else:
+                        sums = sum(min(c, b[g]) for g, c in a.items() if g in b), hyp, all_ref
+                    row.append((kind, n, *map(float, sums), hyp, all_ref))
+            out.append([dict(zip(_FIELDS, r)) for r in row])
+        return pa.array(out, _ARROW)
 
-    def row(n, gram, c):
-        return F.struct(
-            F.lit(kind).alias("kind"), F.lit(n).alias("n"), gram.alias("gram"), F.lit(c).cast("bigint").alias("c")
-        )
+    return totals
 
-    def order(n):
-        found = F.transform(
-            A.positions(F.size(tokens) - (n - 1)),
-            lambda i: row(n, F.array_join(F.slice(tokens, i + 1, F.lit(n)), "\u0001"), 1),
-        )
-        return F.concat(F.array(row(n, F.lit(None).cast("string"), 0)), found)
 
-    return F.concat(*[order(n) for n in range(1, max_order + 1)])
+_FIELDS = ("kind", "n", "matched", "in_prediction", "in_reference", "hyp_len", "ref_len")
+_ARROW = pa.list_(pa.struct(list(zip(
+    _FIELDS, (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())))))
 
 
 def candidate_totals(candidates: DataFrame, references: DataFrame, keywords, other=0.2, max_order=MAX_ORDER,
@@ -36,33 +64,16 @@ def candidate_totals(candidates: DataFrame, references: DataFrame, keywords, oth
 
     ``candidates`` (key, number, prediction) and ``references`` (key, reference) are unique
     by their keys; candidates without a reference are left out, a null text is an empty
-    one.  Both sides travel once, as texts, to the task of their source: a reference is cut
-    once for all its candidates, and n-grams are counted and matched where they arise.
+    one.  The texts meet by source and are cut there; n-grams are counted inside their row, so
+    that none is sorted or travels.
     """
-    texts = candidates.select(key, number, F.col("prediction").alias("_t"), F.lit(False).alias("_ref")).unionByName(
-        references.select(key, F.lit(None).cast(candidates.schema[number].dataType).alias(number),
-                          F.col("reference").alias("_t"), F.lit(True).alias("_ref"))
-    ).where(F.col(key).isNotNull())
-    texts = texts.withColumn("_t", F.coalesce("_t", F.lit(""))).repartition(key)
-    cut = texts.select(key, number, "_ref", bleu_tokens(F.col("_t")).alias("_p"), plain_tokens(F.col("_t")).alias("_w"))
-    grams = cut.select(key, number, "_ref", F.inline(
-        F.concat(_grams(F.col("_p"), PLAIN, max_order), _grams(F.col("_w"), WEIGHTED, max_order))
-    ))
-    counted = grams.groupBy(key, "kind", "n", "gram", "_ref", number).agg(F.sum("c").alias("c"))
-    same = W.partitionBy(key, "kind", "n", "gram")
-    light = (F.col("kind") == WEIGHTED) & (F.col("n") == 1) & ~F.coalesce(F.col("gram").isin(*keywords), F.lit(False))
-    counted = counted.withColumn("r", F.coalesce(F.max(F.when(F.col("_ref"), F.col("c"))).over(same), F.lit(0))).withColumn(
-        "w", F.when(light, F.lit(float(other))).otherwise(F.lit(1.0))
+    rows = candidates.select(key, number, F.coalesce("prediction", F.lit("")).alias("_t")).join(
+        references.select(key, F.coalesce("reference", F.lit("")).alias("_q")), key
     )
-    sums = counted.groupBy(key, "kind", "n", "_ref", number).agg(
-        F.sum(F.least("c", "r") * F.col("w")).alias("matched"), F.sum(F.col("c") * F.col("w")).alias("in_prediction"),
-        F.sum("c").alias("hyp_len"),
+    totals = _matcher(keywords, float(other), max_order)(
+        *[cut(F.col(c)) for cut in (bleu_tokens, plain_tokens) for c in ("_t", "_q")]
     )
-    source = W.partitionBy(key, "kind", "n")
-    return sums.withColumns({
-        "in_reference": F.max(F.when(F.col("_ref"), F.col("in_prediction"))).over(source),
-        "ref_len": F.max(F.when(F.col("_ref"), F.col("hyp_len"))).over(source),
-    }).where(~F.col("_ref") & F.col("ref_len").isNotNull()).drop("_ref")
+    return rows.select(key, number, totals.alias("_s")).select(key, number, F.inline("_s"))
 
 
 def rank_candidates(totals: DataFrame, max_order=MAX_ORDER, key="pair_id", number="candidate_no") -> DataFrame:

@@ -212,8 +212,8 @@ def test_candidates_against_brute_force(spark):
     assert evaluate_candidates(got_c.where("false"), got_r, KEYS).count() == 0
 
 
-def test_ngrams_stay_with_their_source(spark):
+def test_ngrams_stay_in_their_row(spark):
     c = spark.createDataFrame([(1, 0, "a b")], "pair_id bigint, candidate_no int, prediction string")
     r = spark.createDataFrame([(1, "a b")], "pair_id bigint, reference string")
-    plan = candidate_totals(c, r, KEYS)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1  # the texts, once
+    plan = candidate_totals(c, r.hint("merge"), KEYS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2 and "Window" not in plan  # the texts of both sides, once
