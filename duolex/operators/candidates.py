@@ -1,63 +1,16 @@
 """Several candidates per source, scored against the source's reference."""
 
-from collections import Counter
-
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from duolex.operators.grams import FIELDS, row_totals
 from duolex.operators.metrics import MAX_ORDER, bleu_tokens, combined_code_score, plain_tokens, score_totals
 from duolex.session import materialise
 
 PLAIN, WEIGHTED = 0, 1  # punctuation apart; white-space words with keyword weights
 
 
-_TOTALS = ("array<struct<kind int, n int, matched double, in_prediction double, in_reference double, "
-           "hyp_len bigint, ref_len bigint>>")
-
-
-def gram_counts(words: list, max_order: int) -> list:
-    """For each order a counter of the n-grams."""
-    return [Counter(zip(*(words[i:] for i in range(n)))) for n in range(1, max_order + 1)]
-
-
-def _matcher(keywords, other: float, max_order: int):
-    """Totals of both kinds and all orders for words of (prediction, reference).  Rows of one source
-    stand side by side after the join, so its reference is counted once."""
-    keywords = frozenset(keywords)
-
-    def weight(gram):
-        return 1.0 if gram[0] in keywords else other
-
-    @F.arrow_udf(_TOTALS)
-    def totals(plain: pa.Array, plain_ref: pa.Array, words: pa.Array, words_ref: pa.Array) -> pa.Array:
-        known, out = {}, []
-        for i in range(len(plain)):
-            row = []
-            for kind, mine, theirs in ((PLAIN, plain, plain_ref), (WEIGHTED, words, words_ref)):
-                ref = theirs[i].as_py()
-                if kind not in known or known[kind][0] != ref:
-                    known[kind] = ref, gram_counts(ref, max_order)
-                for n, (a, b) in enumerate(zip(gram_counts(mine[i].as_py(), max_order), known[kind][1]), 1):
-                    hyp, all_ref = a.total(), b.total()
-                    if kind == WEIGHTED and n == 1:
-                        sums = (sum(min(c, b[g]) * weight(g) for g, c in a.items()),
-                                *(sum(c * weight(g) for g, c in side.items()) for side in (a, b)))
-                    else:
-                        sums = sum(min(c, b[g]) for g, c in a.items() if g in b), hyp, all_ref
-                    row.append((kind, n, *map(float, sums), hyp, all_ref))
-            out.append([dict(zip(_FIELDS, r)) for r in row])
-        return pa.array(out, _ARROW)
-
-    return totals
-
-
-_FIELDS = ("kind", "n", "matched", "in_prediction", "in_reference", "hyp_len", "ref_len")
-_ARROW = pa.list_(pa.struct(list(zip(
-    _FIELDS, (pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.int64())))))
-
-
 def candidate_totals(candidates: DataFrame, references: DataFrame, keywords, other=0.2, max_order=MAX_ORDER,
                      key="pair_id", number="candidate_no") -> DataFrame:
     """(key, number, kind, n, matched, in_prediction, in_reference, hyp_len, ref_len).
@@ -70,10 +23,17 @@ def candidate_totals(candidates: DataFrame, references: DataFrame, keywords, oth
     rows = candidates.select(key, number, F.coalesce("prediction", F.lit("")).alias("_t")).join(
         references.select(key, F.coalesce("reference", F.lit("")).alias("_q")), key
     )
-    totals = _matcher(keywords, float(other), max_order)(
-        *[cut(F.col(c)) for cut in (bleu_tokens, plain_tokens) for c in ("_t", "_q")]
-    )
-    return rows.select(key, number, totals.alias("_s")).select(key, number, F.inline("_s"))
+    cut = rows.select(key, number, *[
+        cut(F.col(c)).alias(f"{c}{kind}") for kind, cut in ((PLAIN, bleu_tokens), (WEIGHTED, plain_tokens)) for c in ("_t", "_q")
+    ])
+    plain = row_totals(max_order)(f"_t{PLAIN}", f"_q{PLAIN}")
+    weighted = row_totals(max_order, keywords, other)(f"_t{WEIGHTED}", f"_q{WEIGHTED}")
+    both = cut.select(key, number, plain.alias("_0"), weighted.alias("_1"))
+
+    def of(kind):
+        return F.transform(f"_{kind}", lambda t: F.struct(F.lit(kind).alias("kind"), *[t[c].alias(c) for c in FIELDS]))
+
+    return both.select(key, number, F.inline(F.concat(of(PLAIN), of(WEIGHTED))))
 
 
 def rank_candidates(totals: DataFrame, max_order=MAX_ORDER, key="pair_id", number="candidate_no") -> DataFrame:

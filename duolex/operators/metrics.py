@@ -1,16 +1,20 @@
 """Corpus-level scores."""
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from duolex.functions import arrays as A
 from duolex.functions import text as X
 from duolex.operators.encode import decode
+from duolex.operators.grams import row_totals
 from duolex.operators.index import global_index
 from duolex.schemas import IGNORE, PAD
 from duolex.session import materialise
 
 MAX_ORDER = 4
+_GRAM_MARK = "\u0001"
+_SHARES = ("matched", "in_prediction", "in_reference")
 
 
 def decode_predictions(df: DataFrame, vocab: DataFrame, col="labels", out="text", id_col="row_id") -> DataFrame:
@@ -47,7 +51,7 @@ def _grams(tokens: Column, max_order: int, side: str) -> Column:
             A.positions(F.size(tokens) - (n - 1)),
             lambda i: F.struct(
                 F.lit(n).alias("n"),
-                F.array_join(F.slice(tokens, i + 1, F.lit(n)), "\u0001").alias("gram"),
+                F.array_join(F.slice(tokens, i + 1, F.lit(n)), _GRAM_MARK).alias("gram"),
                 F.lit(int(side == "hyp")).cast("bigint").alias("h"),
                 F.lit(int(side == "ref")).cast("bigint").alias("r"),
             ),
@@ -60,23 +64,43 @@ def ngram_totals(df: DataFrame, keys=("pair_id",), by=(), max_order=MAX_ORDER, t
                  keywords=None, other=0.2, prediction="prediction", reference="reference") -> DataFrame:
     """(by.., n, matched, in_prediction, in_reference) over all pairs.
 
-    The texts are partitioned by pair before they are cut into n-grams, so the
-    n-grams of a pair are counted where they arise and never travel.  With
+    The rows of a pair are brought together.  A row that is its pair's only one has its
+    n-grams counted inside it; of the others n-grams are added up by pair.  With
     ``keywords``, single words weigh 1 in the list and ``other`` outside it.
     """
     by = list(by)
     pair = [*by, *keys]
-    rows = df.select(*pair, F.col(prediction).alias("_p"), F.col(reference).alias("_q")).repartition(*pair)
-    rows = rows.select(*pair, tokenize(F.col("_p")).alias("_h"), tokenize(F.col("_q")).alias("_r"))
-    grams = rows.select(*pair, F.inline(F.concat(_grams(F.col("_h"), max_order, "hyp"), _grams(F.col("_r"), max_order, "ref"))))
-    counted = grams.groupBy(*pair, "n", "gram").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+    texts = [F.col(prediction).alias("_p"), F.col(reference).alias("_q")]
+    rows = df.select(*pair, *texts).repartition(*pair).withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*pair)))
+    # words with the mark inside would not stay apart in a joined n-gram
+    marked = F.contains(F.concat_ws("", "_p", "_q"), F.lit(_GRAM_MARK))
+    rows = rows.select(
+        *by, F.when((F.col("_rows") > 1) | marked, F.struct(*keys)).alias("_pair"),
+        tokenize(F.col("_p")).alias("_h"), tokenize(F.col("_q")).alias("_r"),
+    )
+    sides = [F.when(F.col("_pair").isNull(), F.col(c)) for c in ("_h", "_r")]
+    rows = rows.select("*", F.explode(F.array(row_totals(max_order, keywords, other)(*sides))).alias("_s"))
+    inside = F.transform(
+        F.filter("_s", lambda t: t["hyp_len"] + t["ref_len"] > 0),
+        lambda t: F.struct(
+            t["n"].alias("n"), F.lit(None).cast("string").alias("gram"), t["hyp_len"].alias("h"), t["ref_len"].alias("r"),
+            *[t[c].alias(c) for c in _SHARES],
+        ),
+    )
+    across = F.transform(
+        F.concat(_grams(F.col("_h"), max_order, "hyp"), _grams(F.col("_r"), max_order, "ref")),
+        lambda g: F.struct(g["n"], g["gram"], g["h"], g["r"], *[F.lit(0.0).alias(c) for c in _SHARES]),
+    )
+    grams = rows.select(*by, "_pair", F.inline(F.when(F.col("_pair").isNull(), inside).otherwise(across)))
+    counted = grams.groupBy(*by, "_pair", "n", "gram").agg(
+        *[F.sum(c).alias(c) for c in ("h", "r", *_SHARES)]
+    )
     weight = F.lit(1.0)
     if keywords is not None:
         weight = F.when((F.col("n") > 1) | F.col("gram").isin(*keywords), F.lit(1.0)).otherwise(F.lit(float(other)))
+    counts = (F.least("h", "r"), F.col("h"), F.col("r"))
     return counted.groupBy(*by, "n").agg(
-        F.sum(F.least("h", "r") * weight).alias("matched"),
-        F.sum(F.col("h") * weight).alias("in_prediction"),
-        F.sum(F.col("r") * weight).alias("in_reference"),
+        *[F.sum(F.when(F.col("gram").isNull(), F.col(c)).otherwise(n * weight)).alias(c) for c, n in zip(_SHARES, counts)],
         F.sum(F.when(F.col("n") == 1, F.col("h"))).alias("hyp_len"),
         F.sum(F.when(F.col("n") == 1, F.col("r"))).alias("ref_len"),
     )
