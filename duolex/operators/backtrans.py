@@ -8,6 +8,7 @@ from duolex.operators.encode import encode, lookup_tokens, mask_pad
 from duolex.functions import text as X
 from duolex.operators.noise import Ratios
 from duolex.schemas import IGNORE, PAD, lang_start, special_tokens
+from duolex.session import small_batches
 
 
 def steps_between_updates(every, n_rows: int, batch_size: int, processes=1) -> int:
@@ -80,7 +81,7 @@ def target_language(df: DataFrame, vocab: DataFrame, langs, col="lang") -> DataF
 
 def generate(df: DataFrame, fn, schema) -> DataFrame:
     """Run a user's generator (batches of pandas rows) over encoded rows."""
-    return df.mapInPandas(lambda batches: (fn(b) for b in batches), schema)
+    return small_batches(df).mapInPandas(lambda batches: (fn(b) for b in batches), schema)
 
 
 def back_translation_pairs(df: DataFrame, generated: DataFrame, vocab: DataFrame, langs,

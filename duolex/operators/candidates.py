@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duolex.operators.grams import FIELDS, row_totals
 from duolex.operators.metrics import MAX_ORDER, bleu_tokens, combined_code_score, plain_tokens, score_totals
-from duolex.session import materialise
+from duolex.session import materialise, small_batches
 
 PLAIN, WEIGHTED = 0, 1  # punctuation apart; white-space words with keyword weights
 
@@ -28,7 +28,7 @@ def candidate_totals(candidates: DataFrame, references: DataFrame, keywords, oth
     ])
     plain = row_totals(max_order)(f"_t{PLAIN}", f"_q{PLAIN}")
     weighted = row_totals(max_order, keywords, other)(f"_t{WEIGHTED}", f"_q{WEIGHTED}")
-    both = cut.select(key, number, plain.alias("_0"), weighted.alias("_1"))
+    both = small_batches(cut).select(key, number, plain.alias("_0"), weighted.alias("_1"))
 
     def of(kind):
         return F.transform(f"_{kind}", lambda t: F.struct(F.lit(kind).alias("kind"), *[t[c].alias(c) for c in FIELDS]))

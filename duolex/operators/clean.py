@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions import text as X
+from duolex.session import small_batches
 
 
 def add_lang_column(df: DataFrame, lang: str) -> DataFrame:
@@ -74,4 +75,4 @@ def map_batched(df: DataFrame, fn, schema, batch_size=None) -> DataFrame:
         if held:
             yield fn(pd.concat(held, ignore_index=True))
 
-    return df.mapInPandas(run, schema)
+    return small_batches(df).mapInPandas(run, schema)

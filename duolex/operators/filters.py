@@ -2,11 +2,13 @@
 
 import re
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions import text as X
 from duolex.keywords import CUDA, CUDA_STRICT
+from duolex.session import small_batches
 
 
 def keyword_predicate(df: DataFrame, col: str, keywords, mode="any"):
@@ -72,10 +74,10 @@ def keyword_profile(df: DataFrame, lists, col="text", id_col="row_id") -> DataFr
 
 def filter_rows(df: DataFrame, fn) -> DataFrame:
     """Keep rows where ``fn(pandas.DataFrame) -> boolean Series`` holds: the escape
-    hatch for predicates that native expressions cannot state."""
+    hatch for predicates that native expressions cannot state.  Rows are sent one way only."""
 
-    def run(batches):
-        for batch in batches:
-            yield batch[fn(batch)]
+    @F.pandas_udf("boolean")
+    def kept(batch: pd.DataFrame) -> pd.Series:
+        return pd.Series(batch.index.isin(batch[fn(batch)].index))
 
-    return df.mapInPandas(run, df.schema)
+    return small_batches(df).where(kept(F.struct(*[F.col(f"`{c}`") for c in df.columns])))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolex.session import materialise
+from duolex.session import materialise, small_batches
 
 AHEAD = 256
 DRAFT_WORDS = 4_000
@@ -122,7 +122,7 @@ def _pieces_after(words: DataFrame, merges) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("word"), batch.column("n"), pa.array(pieces, pa.list_(pa.string()))], names=["word", "n", "pieces"])
 
-    return words.select("word", "n", "pieces").mapInArrow(run, "word string, n bigint, pieces array<string>")
+    return small_batches(words).select("word", "n", "pieces").mapInArrow(run, "word string, n bigint, pieces array<string>")
 
 
 def _changes(words: DataFrame, done, ahead) -> DataFrame:
@@ -157,7 +157,7 @@ def _changes(words: DataFrame, done, ahead) -> DataFrame:
                     yield sent()
         yield sent()
 
-    return words.select("n", "pieces").mapInArrow(run, CHANGES)
+    return small_batches(words).select("n", "pieces").mapInArrow(run, CHANGES)
 
 
 def _timeline(counts: DataFrame, changes: DataFrame) -> DataFrame:

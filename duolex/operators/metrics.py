@@ -10,7 +10,7 @@ from duolex.operators.encode import decode
 from duolex.operators.grams import row_totals
 from duolex.operators.index import global_index
 from duolex.schemas import IGNORE, PAD
-from duolex.session import materialise
+from duolex.session import materialise, small_batches
 
 MAX_ORDER = 4
 _GRAM_MARK = "\u0001"
@@ -79,7 +79,7 @@ def ngram_totals(df: DataFrame, keys=("pair_id",), by=(), max_order=MAX_ORDER, t
         tokenize(F.col("_p")).alias("_h"), tokenize(F.col("_q")).alias("_r"),
     )
     sides = [F.when(F.col("_pair").isNull(), F.col(c)) for c in ("_h", "_r")]
-    rows = rows.select("*", F.explode(F.array(row_totals(max_order, keywords, other)(*sides))).alias("_s"))
+    rows = small_batches(rows).select("*", F.explode(F.array(row_totals(max_order, keywords, other)(*sides))).alias("_s"))
     inside = F.transform(
         F.filter("_s", lambda t: t["hyp_len"] + t["ref_len"] > 0),
         lambda t: F.struct(
