@@ -55,6 +55,16 @@ def mix(s: Column, pos: Column, salt: int = 0) -> Column:
     return (h.bitwiseXOR(F.shiftright(h, 15)) * F.lit(MUL2)).bitwiseAND(F.lit(MASK31))
 
 
+def mix_array(s, pos, salt: int = 0):
+    """``mix`` of numpy arrays of BIGINT."""
+    start, step = s & MASK31, s >> 31
+    if salt:
+        start, step = (start + salt * SALT_START) & MASK31, step + salt * SALT_STEP
+    h = (start + pos * ((step & MASK31) | 1)) & MASK31
+    h = ((h ^ (h >> 16)) * MUL1) & MASK31
+    return ((h ^ (h >> 15)) * MUL2) & MASK31
+
+
 def mix_each(s: Column, n: Column, salt: int = 0, start: int = 0) -> Column:
     """``mix`` for the positions start .. start+n-1, as an array.
 

@@ -1,11 +1,15 @@
 """Masked-language examples."""
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from duolex.functions import arrays as A
-from duolex.functions.rng import mix_below, mix_uniform, reseed, row_seed
+from duolex.functions.rng import mix_array, mix_uniform, reseed, row_seed
 from duolex.schemas import BOS, EOS, IGNORE, MASK, PAD
+from duolex.session import small_batches
 
 
 def _apply(df, ids, labels, flags):
@@ -48,24 +52,46 @@ def token_mask(df: DataFrame, key, vocab_size: int, n_special: int, p=0.15, seed
     random ordinary id (``n_special``.. ``vocab_size``-1), 10 % stay; special tokens
     are never chosen."""
 
-    def pairs(s):
-        def one(x, i):
-            chosen = ~x.isin(BOS, EOS, PAD) & (mix_uniform(s, i) < p)
-            u = mix_uniform(s, i, 1)
-            other = mix_below(s, i, F.lit(vocab_size - n_special), 2).cast("int") + n_special
-            new = F.when(~chosen, x).when(u < 0.8, F.lit(MASK)).when(u < 0.9, other).otherwise(x)
-            return F.struct(new.alias("id"), F.when(chosen, x).otherwise(IGNORE).alias("label"))
-
-        return F.transform(F.col(ids), one)
-
+    kind = df.schema[ids].dataType.elementType.simpleString()
+    call = _token_masker(vocab_size, n_special, p, kind)
+    # settled by the generator, as the lookups of tokens are
     return (
-        df.withColumn("_m", A.let(row_seed(seed, *key), pairs))
+        small_batches(df).select("*", F.explode(F.array(call(F.col(ids), row_seed(seed, *key)))).alias("_m"))
         .withColumn(ids, F.col("_m.id"))
         .withColumn(labels, F.col("_m.label"))
         .drop("_m")
     )
 
 
+def _token_masker(vocab_size: int, n_special: int, p: float, kind: str):
+    """Function of ids and row seed: the masked ids and their labels, whole batches at a time."""
+
+    @F.arrow_udf(f"struct<id array<{kind}>, label array<{kind}>>")
+    def masked(rows: pa.Array, seeds: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = rows.flatten()
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        x = flat.fill_null(0).to_numpy(zero_copy_only=False)
+        s, ends = np.repeat(seeds.to_numpy(zero_copy_only=False), sizes), np.cumsum(sizes)
+        pos = np.arange(len(x)) - np.repeat(ends - sizes, sizes)
+        chosen = (mix_array(s, pos) / 2147483648.0 < p) & ~(np.isin(x, (BOS, EOS, PAD)) & known)
+        at = np.flatnonzero(chosen)
+        u = mix_array(s[at], pos[at], 1) / 2147483648.0
+        other = (mix_array(s[at], pos[at], 2) * (vocab_size - n_special) >> 31) + n_special
+        new, gone, label = x.copy(), ~known, np.full_like(x, IGNORE)
+        new[at] = np.where(u < 0.8, MASK, np.where(u < 0.9, other, x[at]))
+        gone[at] &= u >= 0.9
+        label[at] = np.where(known[at], x[at], IGNORE)
+        offsets = pa.array(np.concatenate([[0], ends]), pa.int32())
+        lists = [
+            pa.ListArray.from_arrays(offsets, values, mask=rows.is_null())
+            for values in (pa.array(new, flat.type, mask=gone), pa.array(label, flat.type))
+        ]
+        return pa.StructArray.from_arrays(lists, names=["id", "label"])
+
+    return masked
+
+
 def masked_eval_set(df: DataFrame, key, seed=0, p=0.15, whole_words=True, vocab_size=None,
                     n_special=None, split="test") -> DataFrame:
     """The test split, masked once with a fixed seed; word ids dropped."""
