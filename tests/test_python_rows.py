@@ -73,3 +73,11 @@ def test_a_word_is_cut_once_a_task(spark, monkeypatch):
     df = spark.createDataFrame([(i, "abc ab abd " * 3) for i in range(9)], "row_id bigint, text string")
     for r in E.encode_learned(df, None, vocab, merges=merges).collect():
         assert r.input_ids == [0] + [5, 6, 5, 5, 3] * 3 + [2]
+
+
+def test_cut_words_carry_their_number(spark):
+    call = E._to_pieces(spark.createDataFrame([(1, "a", "b"), (2, "ab", "c")], "rank int, left string, right string"))
+    rows = [(0, ["abc", "abx", "é"]), (1, []), (2, ["xyz"])]
+    df = spark.createDataFrame(rows, "id int, words array<string>").repartition(1)
+    got = {r.id: (r.cut.pieces, r.cut.owner) for r in df.select("id", call("words").alias("cut")).collect()}
+    assert got == {0: (["abc", "ab", "##x", "é"], [0, 1, 1, 2]), 1: ([], []), 2: (["x", "##y", "##z"], [0, 0, 0])}
