@@ -71,15 +71,16 @@ def ngram_totals(df: DataFrame, keys=("pair_id",), by=(), max_order=MAX_ORDER, t
     by = list(by)
     pair = [*by, *keys]
     texts = [F.col(prediction).alias("_p"), F.col(reference).alias("_q")]
-    rows = df.select(*pair, *texts).repartition(*pair).withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*pair)))
+    # counted before the rows move: behind a Python call Spark would deal them out again
+    rows = df.select(*pair, *texts).select("*", tokenize(F.col("_p")).alias("_h"), tokenize(F.col("_q")).alias("_r"))
+    rows = small_batches(rows).select("*", F.explode(F.array(row_totals(max_order, keywords, other)("_h", "_r"))).alias("_s"))
+    rows = rows.drop("_h", "_r").repartition(*pair).withColumn("_rows", F.count(F.lit(1)).over(W.partitionBy(*pair)))
     # words with the mark inside would not stay apart in a joined n-gram
     marked = F.contains(F.concat_ws("", "_p", "_q"), F.lit(_GRAM_MARK))
-    rows = rows.select(
-        *by, F.when((F.col("_rows") > 1) | marked, F.struct(*keys)).alias("_pair"),
-        tokenize(F.col("_p")).alias("_h"), tokenize(F.col("_q")).alias("_r"),
-    )
-    sides = [F.when(F.col("_pair").isNull(), F.col(c)) for c in ("_h", "_r")]
-    rows = small_batches(rows).select("*", F.explode(F.array(row_totals(max_order, keywords, other)(*sides))).alias("_s"))
+    rows = rows.withColumn("_alone", (F.col("_rows") == 1) & ~marked)
+    rows = rows.select(*pair, "_alone", "_s", *[
+        F.when(~F.col("_alone"), tokenize(F.col(c))).alias(side) for c, side in (("_p", "_h"), ("_q", "_r"))
+    ])
     inside = F.transform(
         F.filter("_s", lambda t: t["hyp_len"] + t["ref_len"] > 0),
         lambda t: F.struct(
@@ -91,8 +92,8 @@ def ngram_totals(df: DataFrame, keys=("pair_id",), by=(), max_order=MAX_ORDER, t
         F.concat(_grams(F.col("_h"), max_order, "hyp"), _grams(F.col("_r"), max_order, "ref")),
         lambda g: F.struct(g["n"], g["gram"], g["h"], g["r"], *[F.lit(0.0).alias(c) for c in _SHARES]),
     )
-    grams = rows.select(*by, "_pair", F.inline(F.when(F.col("_pair").isNull(), inside).otherwise(across)))
-    counted = grams.groupBy(*by, "_pair", "n", "gram").agg(
+    grams = rows.select(*pair, F.inline(F.when(F.col("_alone"), inside).otherwise(across)))
+    counted = grams.groupBy(*pair, "n", "gram").agg(
         *[F.sum(c).alias(c) for c in ("h", "r", *_SHARES)]
     )
     weight = F.lit(1.0)
