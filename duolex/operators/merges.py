@@ -11,7 +11,9 @@ merging one by one gives.  The draft decides only how far a round gets.
 import heapq
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,14 +25,15 @@ DRAFT_PAIRS = 4_096
 DRAFT_CHARS = 64
 DRAFT_CHANGES = 20_000
 FOLD = 256
-HELD = 200_000
+HELD = 1 << 18  # pieces of words that a task merges together
 
 CHANGES = "left string, right string, step int, delta bigint"
 
 
-def merge_word(pieces, turns, at=0, note=None):
+def merge_word(pieces, turns):
     """``pieces`` after the merges of ``turns`` (pair to its rising steps), each at its
-    turn and from left to right; ``note(step, before, after)`` hears of every change."""
+    turn and from left to right."""
+    at = 0
     while len(pieces) > 1:
         best = None
         for pair in zip(pieces, pieces[1:]):
@@ -40,10 +43,7 @@ def merge_word(pieces, turns, at=0, note=None):
         if best is None:
             break
         at, (left, right) = best
-        after = merge_pair(pieces, left, right)
-        if note is not None:
-            note(at, pieces, after)
-        pieces = after
+        pieces = merge_pair(pieces, left, right)
     return pieces
 
 
@@ -110,17 +110,121 @@ def draft(words, pairs, ahead, heard=None):
     return found
 
 
+class Pieces:
+    """Words as one flat array of numbered pieces with links to their neighbours.  The
+    places of the pairs to be merged are looked up, so a merge costs what it changes."""
+
+    def __init__(self, pieces: pa.Array, weights, merges):
+        flat = pieces.flatten().dictionary_encode()
+        numbers = {p: i for i, p in enumerate(flat.dictionary.to_pylist())}
+        for left, right in merges:
+            for p in (left, right, left + right):
+                numbers.setdefault(p, len(numbers))
+        self.names, self.size = pa.array(list(numbers), pa.string()), max(len(numbers), 1)
+        self.merges = [(numbers[a], numbers[b], numbers[a + b]) for a, b in merges]
+        self.symbol = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.lengths = pc.fill_null(pc.list_value_length(pieces), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.weight = np.repeat(weights, self.lengths)
+        ends = np.cumsum(self.lengths)
+        filled = self.lengths > 0
+        self.next, self.before = np.arange(1, len(self.symbol) + 1), np.arange(-1, len(self.symbol) - 1)
+        self.next[ends[filled] - 1] = -1
+        self.before[(ends - self.lengths)[filled]] = -1
+
+    def keys(self, at):
+        """Number of the pair at each of these places."""
+        return self.symbol[at] * self.size + self.symbol[self.next[at]]
+
+    def summed(self, keys, steps, deltas):
+        """(left, right, step, delta), one row a pair and step."""
+        span = int(steps.max(initial=0)) + 1
+        both, which = np.unique(keys * span + steps, return_inverse=True)
+        total = np.zeros(len(both), np.int64)
+        np.add.at(total, which, deltas)
+        both, total = both[total != 0], total[total != 0]
+        left, right = np.divmod(both // span, self.size)
+        return [self.names.take(pa.array(left)), self.names.take(pa.array(right)), pa.array(both % span, pa.int32()), pa.array(total)]
+
+    def counts(self):
+        at = np.flatnonzero(self.next >= 0)
+        return self.summed(self.keys(at), np.zeros(len(at), np.int64), self.weight[at])
+
+    def merge(self, quiet):
+        """Applies all merges in order, each from left to right; how the counts of pairs
+        change at each of them but the first ``quiet`` ones, numbered from 1."""
+        asked, which = np.unique(np.array([a * self.size + b for a, b, _ in self.merges], np.int64), return_inverse=True)
+        places, noted = [[] for _ in asked], []
+
+        def file(at, keys):
+            found = np.searchsorted(asked, keys)
+            known = np.flatnonzero(asked[np.minimum(found, len(asked) - 1)] == keys)
+            order = known[np.argsort(found[known], kind="stable")]
+            pairs, first = np.unique(found[order], return_index=True)
+            for k, i in zip(pairs.tolist(), np.split(order, first[1:])):
+                places[k].append(at[i])
+
+        start = np.flatnonzero(self.next >= 0)
+        if len(asked):
+            file(start, self.keys(start))
+        for step, (k, (a, b, product)) in enumerate(zip(which.tolist(), self.merges), 1 - quiet):
+            if not places[k]:
+                continue
+            at, places[k] = np.unique(np.concatenate(places[k])), []
+            at = at[(self.symbol[at] == a) & (self.next[at] >= 0)]
+            at = at[self.symbol[self.next[at]] == b]
+            if a == b and len(at):  # of overlapping places every other one counts
+                number = np.arange(len(at))
+                apart = np.append(True, self.next[at[:-1]] != at[1:])
+                at = at[(number - np.maximum.accumulate(np.where(apart, number, 0))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = self.next[at]
+            right, left = self.next[gone], self.before[at]
+            inner = right >= 0
+            if step > 0:
+                lost = np.unique(np.concatenate([left[left >= 0], at, gone[inner]]))
+                noted.append((self.keys(lost), np.full(len(lost), step), -self.weight[lost]))
+            self.symbol[at], self.symbol[gone], self.next[at] = product, -1, right
+            self.before[right[inner]] = at[inner]
+            left = self.before[at]
+            made = np.unique(np.concatenate([left[left >= 0], at[inner]]))
+            keys = self.keys(made)
+            if step > 0:
+                noted.append((keys, np.full(len(made), step), self.weight[made]))
+            file(made, keys)
+        noted = noted or [(np.zeros(0, np.int64),) * 3]
+        return self.summed(*(np.concatenate(x) for x in zip(*noted)))
+
+    def lists(self):
+        """The pieces of each word as they are now."""
+        left = self.symbol >= 0
+        kept = np.concatenate([[0], np.cumsum(left)])[np.concatenate([[0], np.cumsum(self.lengths)])]
+        return pa.ListArray.from_arrays(pa.array(kept, pa.int32()), self.names.take(pa.array(self.symbol[left])))
+
+
+def _held(batches):
+    """The columns of some batches in a row, with about ``HELD`` pieces."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("pieces").flatten())
+        if size > HELD:
+            yield {name: pa.concat_arrays([b.column(name) for b in held]) for name in batch.schema.names}
+            held, size = [], 0
+    if held:
+        yield {name: pa.concat_arrays([b.column(name) for b in held]) for name in held[0].schema.names}
+
+
 def _pieces_after(words: DataFrame, merges) -> DataFrame:
     """(word, n, pieces) with ``merges`` applied in order."""
     if not merges:
         return words
-    turns = turns_of(merges)
 
     def run(batches):
-        for batch in batches:
-            pieces = [merge_word(p, turns) for p in batch.column("pieces").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(pieces, pa.list_(pa.string()))], names=["word", "n", "pieces"])
+        for unit in _held(batches):
+            pieces = Pieces(unit["pieces"], unit["n"].to_numpy(zero_copy_only=False), merges)
+            pieces.merge(len(merges))
+            yield pa.RecordBatch.from_arrays([unit["word"], unit["n"], pieces.lists()], names=["word", "n", "pieces"])
 
     return small_batches(words).select("word", "n", "pieces").mapInArrow(run, "word string, n bigint, pieces array<string>")
 
@@ -128,34 +232,12 @@ def _pieces_after(words: DataFrame, merges) -> DataFrame:
 def _changes(words: DataFrame, done, ahead) -> DataFrame:
     """How the counts of pairs change at each step of ``ahead``, on words that ``done``
     is applied to first.  Step 0 without both: the counts themselves."""
-    first, turns = turns_of(done), turns_of(ahead)
 
     def run(batches):
-        held = Counter()
-
-        def sent():
-            rows = [(*key, d) for key, d in held.items() if d]
-            held.clear()
-            columns = list(zip(*rows)) or [()] * 4
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["left", "right", "step", "delta"])
-
-        for batch in batches:
-            for pieces, n in zip(batch.column("pieces").to_pylist(), batch.column("n").to_pylist()):
-                def note(step, before, after):
-                    for pair in zip(before, before[1:]):
-                        held[*pair, step] -= n
-                    for pair in zip(after, after[1:]):
-                        held[*pair, step] += n
-
-                pieces = merge_word(pieces, first)
-                if turns:
-                    merge_word(pieces, turns, note=note)
-                else:
-                    note(0, (), pieces)
-                if len(held) > HELD:
-                    yield sent()
-        yield sent()
+        for unit in _held(batches):
+            pieces = Pieces(unit["pieces"], unit["n"].to_numpy(zero_copy_only=False), [*done, *ahead])
+            rows = pieces.merge(len(done)) if ahead else pieces.counts()
+            yield pa.RecordBatch.from_arrays(rows, names=["left", "right", "step", "delta"])
 
     return small_batches(words).select("n", "pieces").mapInArrow(run, CHANGES)
 

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from duolex.operators import merges as M
@@ -61,3 +63,24 @@ def test_odd_input(spark):
 def test_documents_as_one_by_one(spark):
     counts = word_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).cache()
     assert M.learn_merges(counts, 12)[0].collect() == learn_bpe_merges(counts, 12)[0].collect()
+
+
+def test_words_are_merged_together(spark):
+    """All words of a task at once, as word by word; the changes as counted before and after each merge."""
+    rng = random.Random(5)
+    words = ["", "a", "aaaaa", "ab" * 40, "aab" * 9] + ["".join(rng.choices("abcé", k=rng.randint(1, 12))) for _ in range(300)]
+    weights = [rng.randint(1, 9) for _ in words]
+    merges = [("a", "a"), ("a", "b"), ("ab", "ab"), ("aa", "b"), ("b", "c"), ("a", "bc"), ("x", "y"), ("a", "b"), ("c", "é"), ("aa", "a"), ("a", "a")]
+    for quiet in (0, 4):
+        pieces = M.Pieces(pa.array([list(w) for w in words], pa.list_(pa.string())), np.array(weights), merges)
+        left, right, step, delta = (c.to_pylist() for c in pieces.merge(quiet))
+        want, now = {}, [list(w) for w in words]
+        for i, pair in enumerate(merges, 1 - quiet):
+            for k, n in enumerate(weights):
+                after = M.merge_pair(now[k], *pair)
+                for sign, row in ((-n, now[k]), (n, after)):
+                    for p in zip(row, row[1:]):
+                        want[*p, i] = want.get((*p, i), 0) + sign
+                now[k] = after
+        assert pieces.lists().to_pylist() == now
+        assert dict(zip(zip(left, right, step), delta)) == {k: d for k, d in want.items() if d and k[2] > 0}
