@@ -47,11 +47,16 @@ def check_batch_language(df: DataFrame) -> DataFrame:
     )
 
 
-def pad_gathered(df: DataFrame, pads: dict) -> DataFrame:
+def pad_gathered(df: DataFrame, pads: dict, as_text=False) -> DataFrame:
     """Pad array columns to the widest one of the whole table, which is written once
-    and read for the widths and for the rows."""
+    and read for the widths and for the rows.
+
+    ``as_text`` gives the padded arrays as comma separated text: with one long row in
+    a large table nearly all cells are padding, which text repeats in one go.
+    """
     df = materialise(df, "gathered")
-    widths =df.agg(*[F.max(F.size(c)).alias(c) for c in pads]).head()
+    widths = df.agg(*[F.max(F.size(c)).alias(c) for c in pads]).head()
+    pad = A.joined_padded if as_text else A.pad_to
     for c, value in pads.items():
-        df = df.withColumn(c, A.pad_to(F.col(c), F.lit(widths[c] or 0), value))
+        df = df.withColumn(c, pad(F.col(c), F.lit(widths[c] or 0), value))
     return df

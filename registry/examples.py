@@ -215,7 +215,7 @@ def pad_gathered_query(spark, sf):
     rows = encoded(spark, sf)[0].select(
         "row_id", F.col("input_ids").alias("predictions"), F.col("input_ids").alias("labels")
     )
-    return shown(pad_gathered(rows, {"predictions": 1, "labels": -100}))
+    return pad_gathered(rows, {"predictions": 1, "labels": -100}, as_text=True)
 
 
 @query("decode_predictions", f"""

@@ -198,3 +198,16 @@ def test_lookups_agree_on_bad_input(spark, limit):
     assert got == {0: [0, 4, 3, 6, 2], 1: [0, 2], 2: [0, 3, 3, 4, 2]}
     ids = spark.createDataFrame([(0, [0, 4, 6, 99, -1, None, 5, 9, 7, 2]), (1, []), (2, None)], "row_id bigint, input_ids array<int>")
     assert {r.row_id: r.text for r in E.decode(ids, vocab, limit=limit).collect()} == {0: "red azur red", 1: "", 2: ""}
+
+
+def test_padded_rows_as_text(spark):
+    """As the padded arrays, joined: empty, null and full rows, null elements, one row much wider."""
+    from duolex.functions import arrays as A
+
+    rows = spark.createDataFrame([(0, [1, 2]), (1, []), (2, None), (3, [None, 5]), (4, [None]), (5, list(range(3000)))], "row_id bigint, x array<int>")
+    text = pad_gathered(rows, {"x": -100}, as_text=True)
+    plain = pad_gathered(rows, {"x": -100}).withColumn("x", A.joined(F.col("x")))
+    assert sorted(text.collect()) == sorted(plain.collect()) and dict(text.dtypes)["x"] == "string"
+    assert "array_repeat" not in text._jdf.queryExecution().executedPlan().toString()
+    empty = pad_gathered(rows.where("row_id = 1"), {"x": 1}, as_text=True)
+    assert empty.first().x == ""
