@@ -282,3 +282,29 @@ print("IDS", encode(df, learn_vocab(word_counts(df), 9, ["en"])).first().input_i
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert "IDS [0, 7, 8, 2]" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("kind,values", [
+    ("int", [5, -7, 0, 2**31 - 1, -2**31]), ("string", ["b", "a", "", "é", "##c"]), ("array<int>", [[3, 1], [], [-4], [2**31 - 1], [0, 0, 0]])])
+def test_cells_come_back_in_order(spark, kind, values):
+    """Values by place, equal places by value, null ids apart; no task gathers before it sends."""
+    rows = [(i % 3 or None, p, values[(p + i) % 5]) for i in range(6) for p in range(40)]
+    random.Random(1).shuffle(rows)
+    out = E._lists(spark.createDataFrame(rows, f"row_id bigint, _p int, _v {kind}").repartition(5), "row_id")
+    assert {r.row_id: r._l for r in out.collect()} == {k: [v for _, v in sorted(x[1:] for x in rows if x[0] == k)] for k in (1, 2, None)}
+    lines = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "Exchange" not in lines[next(i for i, x in enumerate(lines) if "partial_collect_list" in x) - 1]
+
+
+def test_learned_pieces_come_back_as_ids(spark, monkeypatch):
+    """Words of no segment stay whole and are known if the vocabulary has them; only numbers travel to the row."""
+    monkeypatch.setattr(E, "HOT_WORDS", 1)
+    df = spark.createDataFrame([(0, "ab cd ab zz yy"), (1, None), (None, "ab")], "row_id bigint, text string")
+    segments = spark.createDataFrame([("ab", 5, ["a", "b"]), ("cd", 1, ["cd"])], "word string, n bigint, pieces array<string>")
+    vocab = spark.createDataFrame([(4, "a", False), (5, "##b", False), (6, "yy", False), (7, "yy", False)], VOCAB_SCHEMA)
+    out = E.encode_learned(df, segments, vocab)
+    got = {r.row_id: (r.input_ids, r.word_ids) for r in out.collect()}
+    assert got[0] == ([0, 4, 5, 3, 4, 5, 3, 6, 2], [None, 0, 0, 1, 2, 2, 3, 4, None])
+    assert got[1][0] == [0, 2] and got[None][0] == [0, 2]
+    assert E.encode_learned(df, segments, vocab, max_length=4).where("row_id = 0").first().input_ids == [0, 4, 5, 2]
+    assert dict(E._segmented(df, segments, vocab, "text", "row_id").dtypes)["_words"] == "array<array<int>>"
