@@ -44,9 +44,13 @@ def text_slices(batch, name="text", limit=2 << 20):
 
 def spread_bits(x):
     """A 64-bit finaliser."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
+    out = x >> U(30)
+    out ^= x
+    out *= U(0xBF58476D1CE4E5B9)
+    out ^= out >> U(27)
+    out *= U(0x94D049BB133111EB)
+    out ^= out >> U(31)
+    return out
 
 
 class Powers:
@@ -106,6 +110,20 @@ def windows(prints, rows, n):
     return spread_bits(out[first] + U(n)), first
 
 
+def stable_order(keys):
+    """``np.argsort(keys, kind="stable")``: the quicker sort, then equal keys by place."""
+    order = np.argsort(keys)
+    again = keys[order][1:] == keys[order][:-1]
+    if again.any():
+        among = np.append(False, again)
+        group = np.cumsum(~among)
+        among[:-1] |= again
+        places = group[among] * len(keys) + order[among]
+        places.sort()
+        order[among] = places % len(keys)
+    return order
+
+
 def per_row(flags, offsets):
     """Sum of a byte-wise array for each row."""
     sums = np.zeros(len(flags) + 1, np.int64)

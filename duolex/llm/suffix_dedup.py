@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duolex.llm.bytesets import U, Powers, per_row, prefix_sums, span_prints, spread_bits, text_slices
+from duolex.llm.bytesets import U, Powers, per_row, prefix_sums, span_prints, spread_bits, stable_order, text_slices
 
 ANCHOR = 12
 NO_ID = (1 << 63) - 1  # null ids come after all others
@@ -36,10 +36,7 @@ PAIRS = 1 << 20  # places of hits looked at together
 
 def eights(data):
     """The 8 bytes from every position as one number."""
-    v = data.astype(np.uint64)
-    for width in (1, 2, 4):
-        v = v[:-width] | (v[width:] << U(8 * width))
-    return v
+    return np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), 0, (1,))
 
 
 def anchor_print(first, second):
@@ -55,10 +52,13 @@ def anchored_runs(data, offsets, length):
     v = eights(data)
     prints = anchor_print(v[:-4], v[4:])
     low = U((1 << POSITION) - 1)
-    least = (prints & ~low) | np.arange(len(prints), dtype=np.uint64)  # leftmost on ties
+    least = prints & ~low
+    least |= np.arange(len(prints), dtype=np.uint64)  # leftmost on ties
+    spare = np.empty_like(least)
     width, span = 1, length - ANCHOR + 1
-    while 2 * width <= span:
-        least = np.minimum(least[:-width], least[width:])
+    while 2 * width <= span:  # by turns into one of two arrays
+        n = len(least) - width
+        least, spare = np.minimum(least[:-width], least[width:], out=spare[:n]), least
         width *= 2
     if span > width:
         least = np.minimum(least[:width - span], least[span - width:])
@@ -122,7 +122,7 @@ def text_rows(slices, n_buckets):
 def chained(starts, same, length):
     """Equal runs at even, short distances: first of each chain, its step, its count.
     ``starts`` ascends; short distances do not reach into another row's run."""
-    order = np.argsort(same, kind="stable")
+    order = stable_order(same)
     gaps = np.diff(starts[order], prepend=0)
     link = gaps <= length // 2
     link[:1] = False
@@ -170,7 +170,8 @@ def unit_rows(slices, length, n_shards, powers):
     slice_no, starts, ends, at, prints, ids, positions, same, text, step, count = (np.concatenate(x) for x in zip(*found))
     if not len(starts):
         return
-    order = np.lexsort((ids, same))
+    order = stable_order(ids)
+    order = order[stable_order(same[order])]
     first = np.ones(len(order), bool)
     first[1:] = same[order][1:] != same[order][:-1]
     least = np.repeat(ids[order][first], np.diff(np.append(np.flatnonzero(first), len(order))))
@@ -243,7 +244,7 @@ def shard_hits(blobs, length, powers):
     begins = np.cumsum(sizes) - sizes
     # anchors of a single document match nothing
     anchor = begins + at
-    eight = np.ndarray(len(data) - 7, "<u8", data, 0, (1,))
+    eight = eights(data)
     key = anchor_print(eight[anchor], eight[anchor + 4])
     order = np.argsort(key)
     groups = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
@@ -263,11 +264,11 @@ def shard_hits(blobs, length, powers):
     prints = span_prints(sums, place, place + length, powers)
     owner = ids[run]
     hit = np.zeros(len(place), bool)
-    family = LevelFamily(np.ndarray(len(data) - 7, "<u8", data, 0, (1,)), length)
+    family = LevelFamily(eights(data), length)
     low = 0
     while low < len(place):
         high = int(np.searchsorted(owner, owner[min(low + BATCH, len(place)) - 1], side="right"))
-        order = low + np.argsort(prints[low:high], kind="stable")
+        order = low + stable_order(prints[low:high])
         first = np.append(True, prints[order][1:] != prints[order][:-1])
         size = np.diff(np.append(np.flatnonzero(first), len(order)))
         heads = order[first]
@@ -392,7 +393,7 @@ def remove_repeats(docs: DataFrame, *, key="doc_id", text="text", length=50, sha
         none = [np.zeros(0, t) for t in ("<i8", "<i8", "<i4", "<u4")]
         parts = [with_chains(p, 4) for p in [unpacked(b) for b in found.column("blob").to_pylist()] or [none]]
         hits = [np.concatenate(x) for x in zip(*parts)]
-        order = np.argsort(hits[0], kind="stable")
+        order = stable_order(hits[0])
         hits = [h[order] for h in hits]
         out = []
         for blob in texts.column("text_blob").to_pylist():

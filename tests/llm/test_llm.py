@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -542,3 +543,15 @@ def test_pipeline(spark):
             assert kept[name] == {r.doc_id for r in before.collect()} - {r.doc_id for r in hits}
     last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert last.count() == docs.count() and last.where("shard is null").count() == 0
+
+
+def test_sorts_of_suffix_dedup():
+    from duolex.llm.bytesets import stable_order
+
+    rng = np.random.default_rng(3)
+    for keys in (np.zeros(0, np.int64), np.zeros(9, np.uint64), rng.integers(0, 1 << 63, 5000, dtype=np.uint64), rng.integers(-40, 40, 5000)):
+        assert (stable_order(keys) == np.argsort(keys, kind="stable")).all()
+    data = rng.integers(0, 256, 500, dtype=np.uint8)
+    words = suffix_dedup.eights(data[3:])
+    assert words.tolist() == [int.from_bytes(data[i:i + 8].tobytes(), "little") for i in range(3, 493)]
+    assert np.shares_memory(words, data)  # a view, nothing is copied
