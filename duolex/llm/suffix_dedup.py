@@ -32,6 +32,8 @@ UNIT = 8 << 20  # bytes of text whose runs are compared before they are sent
 BATCH = 1 << 16  # suffixes
 CHAIN = 1 << 12  # equal runs that travel as one
 PAIRS = 1 << 20  # places of hits looked at together
+GATHERED = 1 << 17  # bytes copied together
+BLOCK = 10  # neighbouring windows that are asked for together first
 
 
 def eights(data):
@@ -74,9 +76,16 @@ def anchored_runs(data, offsets, length):
 
 def gathered(data, starts, ends):
     sizes = ends - starts
-    total = int(sizes.sum())
-    where = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(total)
-    return data[where]
+    to = np.append(0, np.cumsum(sizes))
+    out = np.empty(to[-1], data.dtype)
+    first = 0
+    while first < len(sizes):  # a part at a time, whose places stay in the cache
+        last = max(first + 1, int(np.searchsorted(to, to[first] + GATHERED, side="right")) - 1)
+        part = slice(first, last)
+        where = np.repeat(starts[part] - to[part], sizes[part]) + np.arange(to[first], to[last])
+        np.take(data, where, out=out[to[first]:to[last]], mode="clip")
+        first = last
+    return out
 
 
 def packed(*arrays):
@@ -184,10 +193,13 @@ def unit_rows(slices, length, n_shards, powers):
     shard[hit] = -1
     parts = {}
     for k, (data, *_) in enumerate(slices):
-        mine = np.flatnonzero(slice_no == k)
-        for s, i in split_by(shard[mine]):
-            if s >= 0:
-                parts.setdefault(s, []).append((mine[i], gathered(data, starts[mine[i]], ends[mine[i]])))
+        mine = np.flatnonzero((slice_no == k) & (shard >= 0))
+        mine = mine[stable_order(shard[mine])]
+        texts = gathered(data, starts[mine], ends[mine])
+        to = np.append(0, np.cumsum(ends[mine] - starts[mine]))
+        values, opens = np.unique(shard[mine], return_index=True)
+        for s, a, b in zip(values.tolist(), opens.tolist(), [*opens[1:].tolist(), len(mine)]):
+            parts.setdefault(s, []).append((mine[a:b], texts[to[a]:to[b]]))
     for s, pieces in parts.items():
         i = np.concatenate([p[0] for p in pieces])
         steps = np.diff(ids[i], prepend=0)
@@ -204,6 +216,51 @@ def equal_bytes(words, tail, a, b, length):
     return same
 
 
+def equal_strings(words, a, b, length):
+    """``equal_bytes`` for ascending ``a``: where both places are one beyond those of the
+    pair before, only the last byte is new."""
+    tail = length - 8
+    same = words[a + tail] == words[b + tail]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1] + 1) | (b[1:] != b[:-1] + 1)
+    same[new] &= equal_bytes(words, tail, a[new], b[new], length)
+    return same if same.all() else equal_bytes(words, tail, a, b, length)
+
+
+def under_two_ids(keys, ids):
+    """Which keys stand under more than one id."""
+    out = np.zeros(len(keys), bool)
+    if len(keys):
+        order = np.argsort(keys)
+        groups = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        shared = np.minimum.reduceat(ids[order], groups) < np.maximum.reduceat(ids[order], groups)
+        out[order] = np.repeat(shared, np.diff(np.append(groups, len(order))))
+    return out
+
+
+def shared_blocks(sums, begins, sizes, at, ids, length, powers):
+    """(run, first window, number of windows) of what may match another id, in order.
+
+    Equal windows have their anchor at the same distance.  The windows of a run whose
+    distance is ``low`` to ``high`` are a block; each of them holds the bytes from ``low``
+    before the anchor to the end of the first of them.  Blocks whose bytes no other id has
+    match nothing.
+    """
+    found = []
+    for low in range(0, length - ANCHOR + 1, BLOCK):
+        high = min(low + BLOCK - 1, length - ANCHOR)
+        first = np.maximum(at - high, 0)
+        n = np.minimum(at - low, sizes - length) + 1 - first
+        run = np.flatnonzero(n > 0)
+        anchor = (begins + at)[run]
+        held = span_prints(sums, anchor - low, anchor - high + length, powers)
+        run = run[under_two_ids(held, ids[run])]
+        found.append((run, first[run], n[run]))
+    run, first, n = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((first, run))
+    return run[order], first[order], n[order]
+
+
 class LevelFamily:
     """Sorted levels of (fingerprint, place); ranks descend strictly."""
 
@@ -216,7 +273,8 @@ class LevelFamily:
         for _, level, level_places in self.levels:
             at = np.minimum(np.searchsorted(level, prints), len(level) - 1)
             same = np.flatnonzero(level[at] == prints)
-            out[same] |= equal_bytes(self.words, self.length - 8, level_places[at[same]], places[same], self.length)
+            same = same[np.argsort(places[same])]
+            out[same] |= equal_strings(self.words, places[same], level_places[at[same]], self.length)
         return out
 
     def add(self, prints, places):
@@ -245,22 +303,18 @@ def shard_hits(blobs, length, powers):
     # anchors of a single document match nothing
     anchor = begins + at
     eight = eights(data)
-    key = anchor_print(eight[anchor], eight[anchor + 4])
-    order = np.argsort(key)
-    groups = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    shared = np.minimum.reduceat(ids[order], groups) < np.maximum.reduceat(ids[order], groups)
-    kept = order[np.repeat(shared, np.diff(np.append(groups, len(order))))]
+    kept = np.flatnonzero(under_two_ids(anchor_print(eight[anchor], eight[anchor + 4]), ids))
     if not len(kept):
         return none
     kept = kept[np.argsort(ids[kept], kind="stable")]
-    ids, positions, sizes, step, count = ids[kept], positions[kept], sizes[kept], step[kept], count[kept]
+    ids, positions, sizes, at, step, count = ids[kept], positions[kept], sizes[kept], at[kept], step[kept], count[kept]
     data = np.append(gathered(data, begins[kept], begins[kept] + sizes), np.zeros(8, np.uint8))
     begins = np.cumsum(sizes) - sizes
     sums = prefix_sums(data, powers)
-    # all suffixes that are long enough
-    n = sizes - length + 1
-    run = np.repeat(np.arange(len(n)), n)
-    place = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    # all suffixes that are long enough and may match
+    run, first, n = shared_blocks(sums, begins, sizes, at, ids, length, powers)
+    place = np.repeat(begins[run] + first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    run = np.repeat(run, n)
     prints = span_prints(sums, place, place + length, powers)
     owner = ids[run]
     hit = np.zeros(len(place), bool)
@@ -272,16 +326,18 @@ def shard_hits(blobs, length, powers):
         first = np.append(True, prints[order][1:] != prints[order][:-1])
         size = np.diff(np.append(np.flatnonzero(first), len(order)))
         heads = order[first]
-        head_of = np.repeat(heads, size)
-        inner = (owner[order] > owner[head_of]) & equal_bytes(family.words, length - 8, place[order], place[head_of], length)
         known = family.known(prints[heads], place[heads])
-        hit[order] = inner | np.repeat(known, size)
+        hit[order] = np.repeat(known, size)
+        head_of = np.empty(high - low, np.int64)
+        head_of[order - low] = np.repeat(heads, size)
+        later = low + np.flatnonzero(owner[low:high] > owner[head_of])
+        hit[later] |= equal_strings(family.words, place[later], place[head_of[later - low]], length)
         family.add(prints[heads[~known]], place[heads[~known]])
         low = high
     h = np.flatnonzero(hit)
     if not len(h):
         return none
-    opens = np.append(True, (h[1:] != h[:-1] + 1) | (run[h][1:] != run[h][:-1]))
+    opens = np.append(True, (place[h][1:] != place[h][:-1] + 1) | (run[h][1:] != run[h][:-1]))
     a, b = h[opens], h[np.append(opens[1:], True)]
     start = positions[run[a]] + place[a] - begins[run[a]]
     end = positions[run[b]] + place[b] - begins[run[b]] + length

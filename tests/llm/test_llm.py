@@ -555,3 +555,36 @@ def test_sorts_of_suffix_dedup():
     words = suffix_dedup.eights(data[3:])
     assert words.tolist() == [int.from_bytes(data[i:i + 8].tobytes(), "little") for i in range(3, 493)]
     assert np.shares_memory(words, data)  # a view, nothing is copied
+
+
+def test_windows_are_asked_for_if_their_surroundings_are_shared(monkeypatch):
+    # all texts share words of 30 bytes, hence anchors, and two of them a passage of 60
+    rng = np.random.default_rng(5)
+    word = [rng.integers(97, 123, 30, dtype=np.uint8) for _ in range(20)]
+    own = [np.concatenate([np.append(word[j], rng.integers(48, 58, 40, dtype=np.uint8)) for j in rng.permutation(20)]) for _ in range(40)]
+    own[7][500:560] = own[31][900:960]
+    offsets = np.append(0, np.cumsum([len(t) for t in own]))
+    powers, asked, known = suffix_dedup.Powers(), [], suffix_dedup.LevelFamily.known
+
+    def counted(self, prints, places):
+        asked.append(len(prints))
+        return known(self, prints, places)
+
+    monkeypatch.setattr(suffix_dedup.LevelFamily, "known", counted)
+    blobs = []  # each text as a unit of its own, so that equal runs are not found before they are sent
+    for i, text in enumerate(own):
+        unit = [(text, np.array([0, len(text)]), np.array([i]), np.array([0]))]
+        blobs += [blob for _, bucket, blob in suffix_dedup.unit_rows(unit, 50, 1, powers) if bucket < 0]
+    ids, starts, ends, *_ = suffix_dedup.shard_hits(blobs, 50, powers)
+    assert set(ids.tolist()) == {31}
+    assert (starts.min(), ends.max()) == (900, 960)
+    assert 0 < sum(asked) < offsets[-1] / 100
+
+
+@pytest.mark.parametrize("length", [20, 21, 50, 61, 120])
+def test_repeats_of_other_lengths(spark, length):
+    rng = np.random.default_rng(length)
+    passages = ["".join(rng.choice(list("abcd "), size=int(n))) for n in rng.integers(length - 4, length + 9, 12)]
+    rows = [(i, "".join("".join(rng.choice(list("abcdefgh "), size=int(rng.integers(0, 30)))) + passages[j] for j in rng.integers(0, 12, 6))) for i in range(40)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), length=length, shard_bytes=1 << 12)
+    assert sorted(map(tuple, got.collect())) == sorted(brute_repeats(rows, length))
