@@ -26,7 +26,7 @@ from pyspark.sql.window import Window
 
 from duolex.llm.bytesets import BASE, LOWER, U, Powers, prefix_sums, span_prints, spread_bits, text_slices, windows, word_spans
 from duolex.llm.suffix_dedup import packed, split_by, unpacked
-from duolex.session import materialise
+from duolex.session import materialise, small_batches
 
 ROWS = 5  # coordinates to a band
 MISS = 1e-8  # chance that a pair right at the threshold shares no band
@@ -122,7 +122,7 @@ def sign(docs: DataFrame, k: int, n_bands: int) -> DataFrame:
                      pa.array(seq[0]), pa.array(seq[1]), pa.ListArray.from_arrays(offs, pa.array(bands.reshape(-1)))],
                     names=["doc_id", "th", "n", "k1", "k2", "bands"])
 
-    return docs.select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
+    return small_batches(docs).select("doc_id", "th", "text").mapInArrow(run, "doc_id bigint, th bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def private_shingles(texts: DataFrame, k: int, n_shingles: int) -> DataFrame:
         ids, counts = np.unique(least[least == most], return_counts=True)
         return pa.table({"node": pa.array(ids), "u": pa.array(counts)})
 
-    sent = texts.select("node", "text").mapInArrow(send, "shard bigint, blob binary")
+    sent = small_batches(texts).select("node", "text").mapInArrow(send, "shard bigint, blob binary")
     return sent.groupBy("shard").applyInArrow(count, "node bigint, u bigint").groupBy("node").agg(F.sum("u").alias("u"))
 
 
@@ -211,7 +211,7 @@ def sketches(texts: DataFrame, k: int) -> DataFrame:
                     [batch.column(0).slice(first, last - first), *(pa.array(words[:, i].copy()) for i in range(SKETCH))],
                     names=["node", *SKETCHED])
 
-    return texts.select("node", "text").mapInArrow(run, "node bigint, " + ", ".join(f"{c} bigint" for c in SKETCHED))
+    return small_batches(texts).select("node", "text").mapInArrow(run, "node bigint, " + ", ".join(f"{c} bigint" for c in SKETCHED))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -254,7 +254,7 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(lead[linked]), pa.array(node[linked])], names=["a", "b"])
                 held = lead_prints[lead_groups == group[-1]]
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return small_batches(rows).mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, *, key="doc_id", text="text", words=5, num=4, den=5) -> DataFrame:

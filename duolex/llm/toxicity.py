@@ -26,7 +26,7 @@ from pyspark.sql.types import StructType
 
 from duolex.llm.language_id import held_out_fold
 from duolex.llm.token_counts import head_bound
-from duolex.session import materialise
+from duolex.session import materialise, small_batches
 
 ORDER = 6
 SHARED = 3  # characters up to which both classes share their counts
@@ -63,7 +63,7 @@ def count_words(labelled: DataFrame) -> DataFrame:
                     counts, long = (Counter(), Counter()), 0
         yield from class_counts(*counts, "word")
 
-    return labelled.mapInArrow(run, "word string, c0 bigint, c1 bigint").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return small_batches(labelled).mapInArrow(run, "word string, c0 bigint, c1 bigint").groupBy("word").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def count_grams(words: DataFrame) -> DataFrame:
@@ -85,7 +85,7 @@ def count_grams(words: DataFrame) -> DataFrame:
                     counts = Counter(), Counter()
         yield from class_counts(*counts, "gram")
 
-    return words.mapInArrow(run, "gram string, c0 bigint, c1 bigint").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+    return small_batches(words).mapInArrow(run, "gram string, c0 bigint, c1 bigint").groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
 def gram_levels(grams: DataFrame) -> dict[int, DataFrame]:
@@ -187,7 +187,7 @@ def word_totals(words: DataFrame, ratios: DataFrame, backoffs: DataFrame) -> Dat
     Words are dealt into buckets of about BUCKET characters.  A bucket asks once for each
     of its n-grams, and adds up its words when the answers have come.
     """
-    words = materialise(words.select("word"), "toxic-words")
+    words = small_batches(materialise(words.select("word"), "toxic-words"))
     n_chars = words.agg(F.sum(F.char_length("word"))).first()[0] or 0
     words = words.withColumn("bucket", F.pmod(F.xxhash64("word"), F.lit(n_chars // BUCKET + 1)))
 
@@ -309,7 +309,7 @@ class ToxicityModel:
                     yield pa.RecordBatch.from_arrays(
                         part.columns[:-1] + [pa.array([f[k] for f in found], kind) for k, kind in enumerate(kinds)], names=schema.names)
 
-        parts = materialise(rows.mapInArrow(run, schema), "toxic-rows")
+        parts = materialise(small_batches(rows).mapInArrow(run, schema), "toxic-rows")
         head.unpersist()
         key = F.when(F.char_length("word") <= LONG, F.col("word")).otherwise(F.concat(F.lit("#"), F.md5("word")))
         rare = parts.select("row_", F.inline("rare"))

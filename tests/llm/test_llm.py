@@ -588,3 +588,20 @@ def test_repeats_of_other_lengths(spark, length):
     rows = [(i, "".join("".join(rng.choice(list("abcdefgh "), size=int(rng.integers(0, 30)))) + passages[j] for j in rng.integers(0, 12, 6))) for i in range(40)]
     got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3), length=length, shard_bytes=1 << 12)
     assert sorted(map(tuple, got.collect())) == sorted(brute_repeats(rows, length))
+
+
+def test_steps_of_pipeline_bound_what_workers_are_sent(spark):
+    from duolex import session
+
+    kept = {k: spark.conf.get(k, None) for k in (session._BATCH_LIMIT, "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    wide = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"), F.repeat(F.lit("ab "), 2000).alias("text"))
+    steps = [lambda: toxicity.count_words(wide.select("toxic", "text")), lambda: toxicity.count_grams(wide.select(F.col("text").alias("word"), F.lit(1).alias("a"), F.lit(0).alias("b"))),
+             lambda: minhash.sketches(wide.select(F.col("doc_id").alias("node"), "text"), 3)]
+    try:
+        for step in steps:
+            spark.conf.set(session._BATCH_LIMIT, 64 << 20)
+            step()
+            assert int(spark.conf.get(session._BATCH_LIMIT)) == session.BATCH_BYTES
+    finally:
+        for k, v in kept.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
