@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from duolex.functions import arrays as A
 from duolex.operators.index import global_index
 from duolex.schemas import IGNORE, PAD
-from duolex.session import materialise
+from duolex.session import materialise, zstd_files
 
 
 def assemble_batches(df: DataFrame, batch_size: int, id_col="row_id", by=(), seed=None) -> DataFrame:
@@ -52,9 +52,10 @@ def pad_gathered(df: DataFrame, pads: dict, as_text=False) -> DataFrame:
     and read for the widths and for the rows.
 
     ``as_text`` gives the padded arrays as comma separated text: with one long row in
-    a large table nearly all cells are padding, which text repeats in one go.
+    a large table nearly all cells are padding, which text repeats in one go and
+    ``zstd_files`` keeps small on disk.
     """
-    df = materialise(df, "gathered")
+    df = materialise(zstd_files(df) if as_text else df, "gathered")
     widths = df.agg(*[F.max(F.size(c)).alias(c) for c in pads]).head()
     pad = A.joined_padded if as_text else A.pad_to
     for c, value in pads.items():

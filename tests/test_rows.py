@@ -211,3 +211,24 @@ def test_padded_rows_as_text(spark):
     assert "array_repeat" not in text._jdf.queryExecution().executedPlan().toString()
     empty = pad_gathered(rows.where("row_id = 1"), {"x": 1}, as_text=True)
     assert empty.first().x == ""
+
+
+def test_padded_text_is_small_on_disk(spark, tmp_path):
+    """Padding costs next to nothing once written, by the session's defaults; a codec that was set stays."""
+    codec = "spark.sql.parquet.compression.codec"
+
+    def written(name):
+        rows = spark.range(0, 200, 1, 1).select(F.col("id").alias("row_id"), F.when(F.col("id") == 0, F.sequence(F.lit(1), F.lit(20_000))).otherwise(F.array(F.col("id").cast("int"))).alias("x"))
+        pad_gathered(rows, {"x": -100}, as_text=True).write.parquet(str(tmp_path / name))
+        back = spark.read.parquet(str(tmp_path / name))
+        assert back.where("length(x) < 90000").count() == 0 and back.where("row_id = 7").first().x == "7" + ",-100" * 19_999
+        return sum(p.stat().st_size for p in (tmp_path / name).glob("*.parquet"))
+
+    kept = spark.conf.getAll.get(codec)
+    try:
+        spark.conf.unset(codec)
+        assert written("default") < 200_000  # 20 MB of text; snappy: 1 MB
+        spark.conf.set(codec, "snappy")
+        assert written("told") > 500_000 and spark.conf.get(codec) == "snappy"
+    finally:
+        spark.conf.unset(codec) if kept is None else spark.conf.set(codec, kept)
